@@ -18,12 +18,18 @@ Z_95 = 1.959963984540054
 
 
 def rnd(x: Column, digits: int = 0) -> Column:
-    """Half-even rounding, kept as double."""
-    return F.bround(x.cast("double"), digits)
+    """Half-even rounding of the scaled binary value, kept as double.
+
+    ``rint`` stays in primitive doubles, where ``bround`` would build a decimal per row.
+    """
+    if digits == 0:
+        return F.rint(x.cast("double"))
+    scale = F.lit(10.0**digits)
+    return F.rint(x.cast("double") * scale) / scale
 
 
 def rint(x: Column) -> Column:
-    return F.bround(x.cast("double"), 0).cast("bigint")
+    return F.rint(x.cast("double")).cast("bigint")
 
 
 def miles(metres: Column) -> Column:
