@@ -63,16 +63,18 @@ def number_rows(
     )
 
 
-def chunked(
-    df: DataFrame, halo: int = 0, seq: str = "seq", rows: int = CHUNK_ROWS
-) -> DataFrame:
+def chunk_of(position: Column) -> Column:
+    return F.floor(position / CHUNK_ROWS)
+
+
+def chunked(df: DataFrame, halo: int = 0, seq: str = "seq") -> DataFrame:
     """Add ``chunk`` and ``own``; rows within ``halo`` of a later chunk are copied into it."""
-    home = F.floor(F.col(seq) / rows)
+    home = chunk_of(F.col(seq))
     if halo <= 0:
         return df.withColumn("chunk", home).withColumn("own", F.lit(True))
-    last = F.floor((F.col(seq) + halo) / rows)
-    return df.withColumn("chunk", F.explode(F.sequence(home, last))).withColumn(
-        "own", F.col("chunk") == F.floor(F.col(seq) / rows)
+    copies = F.sequence(home, chunk_of(F.col(seq) + halo))
+    return df.withColumn("chunk", F.explode(copies)).withColumn(
+        "own", F.col("chunk") == chunk_of(F.col(seq))
     )
 
 
@@ -80,6 +82,11 @@ def chunk_window(keys: list[str], seq: str = "seq"):
     return Window.partitionBy(*keys, "chunk").orderBy(seq)
 
 
+def before_chunk(keys: list[str]):
+    """All earlier chunks of the group, for one-row-per-chunk tables."""
+    return Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def trailing(keys: list[str], n: int, seq: str = "seq"):
     """The last ``n`` rows up to the current one, inside a chunk."""
     return chunk_window(keys, seq).rowsBetween(-(n - 1), 0)
@@ -88,26 +95,31 @@ def trailing(keys: list[str], n: int, seq: str = "seq"):
 def fill_forward(df: DataFrame, keys: list[str], columns: list[str], seq: str = "seq") -> DataFrame:
     """Forward fill across the whole group; a chunk inherits the last value before it.
 
-    The input must carry ``seq``; chunk columns are internal and dropped again.
+    The input must carry ``seq``. Adds ``rows``, the group's row count, and ``lead``, the
+    first position at which every column has a value (null if that never happens).
     """
-    parts = chunked(df, 0, seq)
+    parts = chunked(df, 0, seq).drop("own")
+    position = {c: F.when(F.col(c).isNotNull(), F.col(seq)) for c in columns}
     known = parts.groupBy(*keys, "chunk").agg(
-        *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_last_{c}")
-            for c in columns
-        ]
+        F.count(F.lit(1)).alias("_n"),
+        *[F.max_by(c, position[c]).alias(f"_last_{c}") for c in columns],
+        *[F.min(position[c]).alias(f"_first_{c}") for c in columns],
     )
-    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before, group = before_chunk(keys), Window.partitionBy(*keys)
+    firsts = [F.min(f"_first_{c}").over(group) for c in columns]
+    lead = firsts[0] if len(firsts) == 1 else F.greatest(*firsts)
+    complete = F.lit(True)
+    for f in firsts:
+        complete = complete & f.isNotNull()
     carry = known.select(
-        *keys,
-        "chunk",
+        *keys, "chunk", F.sum("_n").over(group).alias("rows"), F.when(complete, lead).alias("lead"),
         *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_in_{c}") for c in columns],
     )
     within = chunk_window(keys, seq).rowsBetween(Window.unboundedPreceding, 0)
-    filled = parts
-    for c in columns:
-        filled = filled.withColumn(c, F.last(c, ignorenulls=True).over(within))
-    filled = filled.join(carry, [*keys, "chunk"], "left")
-    for c in columns:
-        filled = filled.withColumn(c, F.coalesce(c, f"_in_{c}")).drop(f"_in_{c}")
-    return filled.drop("chunk", "own")
+    filled = parts.select(
+        "*", *[F.last(c, ignorenulls=True).over(within).alias(f"_fill_{c}") for c in columns]
+    ).join(carry, [*keys, "chunk"])
+    kept = [c for c in df.columns if c not in columns]
+    return filled.select(
+        *kept, *[F.coalesce(f"_fill_{c}", f"_in_{c}").alias(c) for c in columns], "rows", "lead"
+    )
