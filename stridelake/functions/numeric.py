@@ -32,6 +32,12 @@ def rint(x: Column) -> Column:
     return F.rint(x.cast("double")).cast("bigint")
 
 
+def mean(x: Column | str, digits: int) -> Column:
+    """Average to ``digits``; summation noise is cut first, so a tie does not depend on the
+    order in which partitions were added."""
+    return rnd(F.round(F.avg(x), 9), digits)
+
+
 def miles(metres: Column) -> Column:
     return metres / F.lit(METRES_PER_MILE)
 

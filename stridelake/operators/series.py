@@ -35,24 +35,29 @@ def number_rows(
     bucket: Column,
     seq: str = "seq",
     totals: dict[str, Column] | None = None,
+    firsts: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add ``seq``, the 0-based position of a row within ``keys`` ordered by ``order``.
 
-    ``bucket`` must not decrease along ``order``. ``totals`` adds whole-group sums
-    of the given counting aggregates without another pass.
+    ``bucket`` must not decrease along ``order``. ``totals`` adds whole-group sums of the
+    given counting aggregates and ``firsts`` the group's first value of a column, both
+    through the table of buckets, without another pass.
     """
-    totals = totals or {}
+    totals, firsts = totals or {}, firsts or {}
     rows = df.withColumn("_bucket", bucket)
     counts = rows.groupBy(*keys, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in totals.items()]
+        F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in totals.items()],
+        *[F.min_by(c, F.struct(*order)).alias(n) for n, c in firsts.items()],
     )
     group = Window.partitionBy(*keys)
+    whole = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *keys,
         "_bucket",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         *[F.sum(n).over(group).alias(n) for n in totals],
+        *[F.first(n).over(whole).alias(n) for n in firsts],
     )
     local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
@@ -123,3 +128,11 @@ def fill_forward(df: DataFrame, keys: list[str], columns: list[str], seq: str =
     return filled.select(
         *kept, *[F.coalesce(f"_fill_{c}", f"_in_{c}").alias(c) for c in columns], "rows", "lead"
     )
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 16) -> DataFrame:
+    """Equi join whose hot keys in ``big`` spread over ``salts`` tasks; ``small`` has one row
+    per key and is repeated per salt. ``spread`` varies within a key."""
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
