@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import Z_95, f_tail_p, normal_two_sided_p, rnd
 from ..functions.timekeys import DEFAULT_TZ, local_date, month_start
+from ..session import shuffle_width
 from .series import ACTIVITY
 
 OWNER = "athlete_id"
@@ -241,26 +242,31 @@ def bootstrap(rows: DataFrame, labels: list[str], fits: DataFrame, replicates: i
     generated, so only one row of sums per replicate is shuffled. Replicates whose months
     leave the slopes undetermined are left out and not counted.
     """
-    fields = ["x1", "x2", *labels]
-    months = rows.groupBy(OWNER, "variant").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("month", *fields))), lambda m: F.struct(*[m[f].alias(f) for f in fields])).alias("m")
+    p, q = F.coalesce("x1", F.lit(0.0)), F.coalesce("x2", F.lit(0.0))
+    # a month carries its products, so a draw adds plain doubles
+    parts = {"p": p, "q": q, "pp": p * p, "pq": p * q, "qq": q * q}
+    for c in labels:
+        parts |= {f"y_{c}": F.col(c), f"p_{c}": p * F.col(c), f"q_{c}": q * F.col(c)}
+    values = rows.select(
+        OWNER, "variant", "month", F.col("x1").isNotNull().alias("h1"), F.col("x2").isNotNull().alias("h2"),
+        F.array(*[v for v in parts.values()]).alias("v"),
+    )
+    group = [OWNER, "variant", "h1", "h2"]
+    months = values.groupBy(*group).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("month", "v"))), lambda m: m["v"]).alias("m")
     )
     slices = -(-replicates // SLICE)
-    cut = months.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    if slices > 1:
-        cut = cut.repartition(OWNER, "variant", "slice")
+    # the exchange also fixes the array: below it the generators would rebuild it per draw
+    cut = months.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(
+        shuffle_width(rows), OWNER, "variant", "slice"
+    )
     first = F.col("slice") * SLICE
     last = F.least(first + SLICE - 1, F.lit(replicates - 1))
-    by_rep = cut.select(OWNER, "variant", "m", F.size("m").cast("bigint").alias("n"), F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("b"))
-    draws = by_rep.select(OWNER, "variant", "b", "n", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
-    picked = draws.select(OWNER, "variant", "b", F.element_at("m", (draw(F.col("b"), F.col("j"), F.col("n"), seed) + 1).cast("int")).alias("r"))
-    flat = picked.select(OWNER, "variant", "b", *[F.col(f"r.{f}").alias(f) for f in fields])
-    p, q = F.coalesce("x1", F.lit(0.0)), F.coalesce("x2", F.lit(0.0))
-    gram = flat.groupBy(OWNER, "variant", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("x1").isNotNull()).alias("h1"), F.max(F.col("x2").isNotNull()).alias("h2"),
-        F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * p).alias("pp"), F.sum(p * q).alias("pq"), F.sum(q * q).alias("qq"),
-        *[F.sum(c).alias(f"y_{c}") for c in labels], *[F.sum(p * F.col(c)).alias(f"p_{c}") for c in labels],
-        *[F.sum(q * F.col(c)).alias(f"q_{c}") for c in labels],
+    by_rep = cut.select(*group, "m", F.size("m").cast("bigint").alias("n"), F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("b"))
+    draws = by_rep.select(*group, "b", "n", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
+    picked = draws.select(*group, "b", F.get("m", draw(F.col("b"), F.col("j"), F.col("n"), seed).cast("int")).alias("v"))
+    gram = picked.groupBy(*group, "b").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.get("v", F.lit(i))).alias(name) for i, name in enumerate(parts)]
     )
     n, sp, sq = F.col("n"), F.col("p"), F.col("q")
     s11, s12, s22 = F.col("pp") - sp * sp / n, F.col("pq") - sp * sq / n, F.col("qq") - sq * sq / n

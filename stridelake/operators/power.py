@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rint, rnd
 from ..functions.timekeys import as_date, utc_date
+from ..session import shuffle_width
 from . import series
 from .series import ACTIVITY
 
@@ -36,13 +37,15 @@ DAYS_PER_MONTH = 30
 FEW_DURATIONS = 64
 
 
-def repaired_power(records: DataFrame, order: list[str] | None = None, halo: int = 0) -> DataFrame:
+def repaired_power(records: DataFrame, order: list[str] | None = None, halo: int = 0,
+                   heavy: bool = False) -> DataFrame:
     """Chunked whole-watt power of every activity that has any.
 
     A missing value becomes the mean of the two raw values before it when both exist, else
     0; the result is cut to whole watts. Columns: keys, order columns, ``seq``, ``chunk``,
     ``own`` and ``power``. ``halo`` is the look-back the caller needs; values of the copied
     rows are right except in the first two, which no frame within ``halo`` reaches.
+    ``heavy`` keeps the configured number of tasks for costly work that follows.
     """
     order = order or ["timestamp"]
     thin = records.select(*ACTIVITY, *order, "power")
@@ -50,6 +53,8 @@ def repaired_power(records: DataFrame, order: list[str] | None = None, halo: int
         thin, ACTIVITY, order, series.hour_bucket(order[0]), totals={"_known": F.count("power")}
     )
     parts = series.chunked(numbered.filter(F.col("_known") > 0).drop("_known"), halo + 2)
+    if heavy:
+        parts = parts.repartition(shuffle_width(records), *ACTIVITY, "chunk")
     w = series.chunk_window(ACTIVITY)
     gap = (F.lag("power", 1).over(w) + F.lag("power", 2).over(w)) / 2
     return parts.withColumn("power", F.coalesce("power", gap, F.lit(0.0)).cast("bigint"))
@@ -98,7 +103,7 @@ def _chunk_curve(durations: list[int]):
 
 
 def _many(records: DataFrame, durations: list[int], order: list[str] | None) -> DataFrame:
-    parts = repaired_power(records, order, max(durations) - 1)
+    parts = repaired_power(records, order, max(durations) - 1, heavy=True)
     curves = parts.select(*ACTIVITY, "chunk", "seq", "own", "power").groupBy(*ACTIVITY, "chunk").applyInPandas(
         _chunk_curve(durations), "athlete_id string, source_file string, duration_s int, watts double"
     )

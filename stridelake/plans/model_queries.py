@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import covariates as K
 from ..operators import critical_power as C
 from ..operators import power as P
+from ..session import cut_lineage
 from . import views as V
 from .power_queries import LAP_CURVE, ORDER, POWER, curve_cte, cycling, lap_curves
 
@@ -118,7 +119,9 @@ def _rides(spark, sf_dir):
 
 def _design(spark, sf_dir):
     rides = _rides(spark, sf_dir)
-    return K.design(K.monthly_peaks(rides, LABELS), K.monthly_sleep(rides, V.score_nights(spark, sf_dir)), LABELS)
+    rows = K.design(K.monthly_peaks(rides, LABELS), K.monthly_sleep(rides, V.score_nights(spark, sf_dir)), LABELS)
+    # one row per athlete and month feeds every model; the point-level plan runs once
+    return cut_lineage(rows)
 
 
 MONTHLY = f"""{LAP_CURVE},

@@ -41,3 +41,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="stridelake-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """Configured shuffle width, for exchanges ahead of work that is heavy per byte.
+
+    Runtime coalescing goes by bytes and would fold such a stage into a task or two.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

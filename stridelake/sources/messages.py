@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from . import schemas as S
 
 NULLISH = (T.NullType,)
+BAD = "_unparsed"
 
 
 def flatten_messages(messages: DataFrame, msg_type: str, schema: T.StructType | None = None) -> DataFrame:
@@ -22,22 +23,22 @@ def flatten_messages(messages: DataFrame, msg_type: str, schema: T.StructType |
     booleans become doubles, unparsable documents become null rows flagged ``_bad``."""
     schema = schema or S.ingest_schema(msg_type)
     own = [f for f in schema.fields if f.name != "source_file"]
-    picked = messages.filter(F.col("msg_type") == msg_type)
-    fields = F.from_json("fields", T.MapType(T.StringType(), T.StringType()))
-    parsed = picked.withColumn("_f", fields)
+    # every declared field as text: nested values arrive as JSON text and are told apart
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in own] + [T.StructField(BAD, T.StringType())])
+    parsed = messages.filter(F.col("msg_type") == msg_type).withColumn(
+        "_f", F.from_json("fields", as_text, {"columnNameOfCorruptRecord": BAD})
+    )
 
     def column(f: T.StructField):
         raw = F.col("_f")[f.name]
-        scalar = F.when(~F.substring(F.ltrim(raw), 1, 1).isin("[", "{"), raw)
+        scalar = F.when(~raw.startswith("[") & ~raw.startswith("{"), raw)
         if isinstance(f.dataType, T.DoubleType):
-            number = F.when(scalar == "true", 1.0).when(scalar == "false", 0.0)
-            return F.coalesce(number, scalar.try_cast("double"))
+            return F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(scalar.try_cast("double"))
         return scalar.try_cast(f.dataType)
 
     keys = [c for c in ("athlete_id", "source_file") if c in messages.columns]
-    return parsed.select(
-        *keys, F.col("_f").isNull().alias("_bad"), *[column(f).alias(f.name) for f in own]
-    )
+    bad = F.col("_f").isNull() | F.col("_f")[BAD].isNotNull()
+    return parsed.select(*keys, bad.alias("_bad"), *[column(f).alias(f.name) for f in own])
 
 
 def not_yet_stored(messages: DataFrame, stored: dict[str, DataFrame]) -> DataFrame:
