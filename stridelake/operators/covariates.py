@@ -95,6 +95,46 @@ def _slopes(s11, s12, s22, s1y, s2y, has1, has2) -> tuple[Column, Column]:
     return b1, b2
 
 
+def smallest_solution(sums: DataFrame) -> DataFrame:
+    """Add least-squares ``b0 b1 b2``; of several solutions the one of smallest norm.
+
+    Input columns are centred sums s11 s12 s22 s1y s2y and means a1 a2 ybar, an absent
+    covariate being all zero. Points on a line (or one point) in covariate space fix the
+    fit only along it; the rest follows from minimising the norm under the one or two
+    equations that remain. Each step is a projection of its own, so shared parts are
+    computed once.
+    """
+    s11, s12, s22, s1y, s2y, a1, a2, ybar = (F.col(c) for c in "s11 s12 s22 s1y s2y a1 a2 ybar".split())
+    keep = sums.columns
+    ranked = sums.withColumns({
+        "_det": s11 * s22 - s12 * s12, "_line": s11 + s22 > 0,
+        "_u1": F.when(s11 >= s22, s11).otherwise(s12), "_u2": F.when(s11 >= s22, s12).otherwise(s22),
+    })
+    size = F.sqrt(F.col("_u1") * F.col("_u1") + F.col("_u2") * F.col("_u2"))
+    unit = ranked.withColumns({
+        "_plane": (s11 > 0) & (s22 > 0) & (F.col("_det") > 1e-12 * s11 * s22),
+        "_d1": F.when(F.col("_line"), F.col("_u1") / size).otherwise(0.0),
+        "_d2": F.when(F.col("_line"), F.col("_u2") / size).otherwise(0.0),
+    })
+    d1, d2, line, plane = F.col("_d1"), F.col("_d2"), F.col("_line"), F.col("_plane")
+    projected = unit.withColumns({
+        "_along": F.when(line, (d1 * s1y + d2 * s2y) / (s11 + s22)).otherwise(0.0),
+        "_dot": a1 * d1 + a2 * d2, "_norm": 1 + a1 * a1 + a2 * a2,
+    })
+    along, dot, norm = F.col("_along"), F.col("_dot"), F.col("_norm")
+    weighed = projected.withColumns({
+        "_k1": (ybar - dot * along) / (norm - dot * dot),
+        "_k2": F.when(line, (norm * along - dot * ybar) / (norm - dot * dot)).otherwise(0.0),
+    })
+    k1, k2 = F.col("_k1"), F.col("_k2")
+    slopes = weighed.withColumns({
+        "b1": F.when(plane, (s1y * s22 - s2y * s12) / F.col("_det")).otherwise(k1 * a1 + k2 * d1),
+        "b2": F.when(plane, (s2y * s11 - s1y * s12) / F.col("_det")).otherwise(k1 * a2 + k2 * d2),
+    })
+    b0 = F.when(plane, ybar - F.col("b1") * a1 - F.col("b2") * a2).otherwise(k1)
+    return slopes.select(*keep, b0.alias("b0"), "b1", "b2")
+
+
 def fit_models(rows: DataFrame, labels: list[str]) -> DataFrame:
     """One row per athlete, variant and peak: coefficients, fit quality and lag-robust
     (Bartlett, three lags) variances.
@@ -239,8 +279,8 @@ def bootstrap(rows: DataFrame, labels: list[str], fits: DataFrame, replicates: i
 
     The months of a group ride along as one short array. Replicates are generated in
     slices over the cluster, and the draws of a replicate are summed where they are
-    generated, so only one row of sums per replicate is shuffled. Replicates whose months
-    leave the slopes undetermined are left out and not counted.
+    generated, so only one row of sums per replicate is shuffled. Where the drawn months
+    leave the slopes undetermined the solution of smallest norm counts.
     """
     p, q = F.coalesce("x1", F.lit(0.0)), F.coalesce("x2", F.lit(0.0))
     # a month carries its products, so a draw adds plain doubles
@@ -269,29 +309,34 @@ def bootstrap(rows: DataFrame, labels: list[str], fits: DataFrame, replicates: i
         F.count(F.lit(1)).alias("n"), *[F.sum(F.get("v", F.lit(i))).alias(name) for i, name in enumerate(parts)]
     )
     n, sp, sq = F.col("n"), F.col("p"), F.col("q")
-    s11, s12, s22 = F.col("pp") - sp * sp / n, F.col("pq") - sp * sq / n, F.col("qq") - sq * sq / n
-    tiny = 1e-9
-    s11 = F.when(s11 > tiny * F.col("pp"), s11).otherwise(0.0)
-    s22 = F.when(s22 > tiny * F.col("qq"), s22).otherwise(0.0)
-    out = []
-    for c in labels:
-        y = F.col(f"y_{c}")
-        b1, b2 = _slopes(s11, s12, s22, F.col(f"p_{c}") - sp * y / n, F.col(f"q_{c}") - sq * y / n, F.col("h1"), F.col("h2"))
-        solved = (b1.isNotNull() | ~F.col("h1")) & (b2.isNotNull() | ~F.col("h2"))
-        b0 = (y - F.coalesce(b1, F.lit(0.0)) * sp - F.coalesce(b2, F.lit(0.0)) * sq) / n
-        out += [F.when(solved, v).alias(f"{c}|{k}") for k, v in enumerate((b0, b1, b2))]
-    solved = gram.select(OWNER, "variant", *out)
-    cells = [(c, name, f"{c}|{k}") for c in labels for name, k in TERMS]
-    stats = solved.groupBy(OWNER, "variant").agg(*[
+    shared = gram.select(
+        *group, "n", (sp / n).alias("a1"), (sq / n).alias("a2"), "p", "q",
+        # squares below summation noise are zero
+        F.when(F.col("pp") - sp * sp / n > 1e-9 * F.col("pp"), F.col("pp") - sp * sp / n).otherwise(0.0).alias("s11"),
+        F.when(F.col("qq") - sq * sq / n > 1e-9 * F.col("qq"), F.col("qq") - sq * sq / n).otherwise(0.0).alias("s22"),
+        (F.col("pq") - sp * sq / n).alias("s12"),
+        F.explode(F.array(*[
+            F.struct(F.lit(c).alias("dep"), F.col(f"y_{c}").alias("y"), F.col(f"p_{c}").alias("py"), F.col(f"q_{c}").alias("qy")) for c in labels
+        ])).alias("d"),
+    )
+    y = F.col("d.y")
+    solved = smallest_solution(shared.select(
+        *group, F.col("d.dep").alias("dep"), "a1", "a2", "s11", "s12", "s22", (y / n).alias("ybar"),
+        (F.col("d.py") - sp * y / n).alias("s1y"), (F.col("d.qy") - sq * y / n).alias("s2y"),
+    ))
+    # zero up to summation noise is zero, whatever the order of addition
+    kept = solved.select(
+        *MODEL, F.round("b0", 9).alias("b0"), F.when(F.col("h1"), F.round("b1", 9)).alias("b1"), F.when(F.col("h2"), F.round("b2", 9)).alias("b2")
+    )
+    stats = kept.groupBy(*MODEL).agg(*[
         F.struct(
-            F.lit(c).alias("dep"), F.lit(name).alias("term"), F.count(F.col(f"`{key}`")).alias("n_bootstrap"),
-            F.percentile(F.col(f"`{key}`"), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("pc"),
-            F.avg(F.col(f"`{key}`")).alias("mean"),
-            F.avg((F.col(f"`{key}`") <= 0).cast("double")).alias("le"), F.avg((F.col(f"`{key}`") >= 0).cast("double")).alias("ge"),
-        ).alias(f"s{i}") for i, (c, name, key) in enumerate(cells)
+            F.lit(name).alias("term"), F.count(f"b{k}").alias("n_bootstrap"),
+            F.percentile(f"b{k}", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("pc"), F.avg(f"b{k}").alias("mean"),
+            F.avg((F.col(f"b{k}") <= 0).cast("double")).alias("le"), F.avg((F.col(f"b{k}") >= 0).cast("double")).alias("ge"),
+        ).alias(f"s{k}") for name, k in TERMS
     ])
-    rows_out = stats.select(OWNER, "variant", F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cells))])).alias("s")).select(
-        OWNER, "variant", "s.*"
+    rows_out = stats.select(*MODEL, F.explode(F.array(*[F.col(f"s{k}") for _, k in TERMS])).alias("s")).select(
+        *MODEL, "s.*"
     ).filter(F.col("n_bootstrap") > 0)
     point = fits.select(*MODEL, F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"b{k}").alias("point")) for t, k in TERMS])).alias("t")).select(*MODEL, "t.*")
     signed = F.when(F.col("point") >= 0, F.col("le")).otherwise(F.col("ge"))

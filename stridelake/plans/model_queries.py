@@ -250,13 +250,17 @@ gr as (select athlete_id, variant, dep, b, bool_or(x1 is not null) h1, bool_or(x
     coalesce(sum(x1 * x1), 0) q1, coalesce(sum(x2 * x2), 0) q2,
     count(*) * var_pop(coalesce(x1, 0)) s11, count(*) * var_pop(coalesce(x2, 0)) s22, count(*) * covar_pop(coalesce(x1, 0), coalesce(x2, 0)) s12,
     count(*) * covar_pop(coalesce(x1, 0), y) s1y, count(*) * covar_pop(coalesce(x2, 0), y) s2y from smp group by 1, 2, 3, 4),
-sl as (select *, case when h1 and h2 then case when s11 > 1e-9 * q1 and s22 > 1e-9 * q2 and s11 * s22 - s12 * s12 > 1e-12 * s11 * s22 then (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) end
-      when h1 and s11 > 1e-9 * q1 then s1y / s11 end c1,
-    case when h1 and h2 then case when s11 > 1e-9 * q1 and s22 > 1e-9 * q2 and s11 * s22 - s12 * s12 > 1e-12 * s11 * s22 then (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) end
-      when h2 and s22 > 1e-9 * q2 then s2y / s22 end c2 from gr),
-cf as (select athlete_id, variant, dep, 'const' term, ay - coalesce(c1, 0) * a1 - coalesce(c2, 0) * a2 v from sl where (c1 is not null or not h1) and (c2 is not null or not h2)
-  union all select athlete_id, variant, dep, 'tss_per_100', c1 from sl where c1 is not null
-  union all select athlete_id, variant, dep, 'sleep_score', c2 from sl where c2 is not null),
+sz as (select *, case when s11 > 1e-9 * q1 then s11 else 0 end z11, case when s22 > 1e-9 * q2 then s22 else 0 end z22 from gr),
+rk as (select *, z11 > 0 and z22 > 0 and z11 * z22 - s12 * s12 > 1e-12 * z11 * z22 flat, z11 + z22 > 0 line,
+    case when z11 >= z22 then z11 else s12 end u1, case when z11 >= z22 then s12 else z22 end u2 from sz),
+dr as (select *, case when line then u1 / sqrt(u1 * u1 + u2 * u2) else 0 end d1, case when line then u2 / sqrt(u1 * u1 + u2 * u2) else 0 end d2 from rk),
+al as (select *, case when line then (d1 * s1y + d2 * s2y) / (z11 + z22) else 0 end t, a1 * d1 + a2 * d2 o, 1 + a1 * a1 + a2 * a2 m from dr),
+kk as (select *, (ay - o * t) / (m - o * o) k1, case when line then (m * t - o * ay) / (m - o * o) else 0 end k2 from al),
+sl as (select *, case when flat then (s1y * z22 - s2y * s12) / (z11 * z22 - s12 * s12) else k1 * a1 + k2 * d1 end c1,
+    case when flat then (s2y * z11 - s1y * s12) / (z11 * z22 - s12 * s12) else k1 * a2 + k2 * d2 end c2 from kk),
+cf as (select athlete_id, variant, dep, 'const' term, round(case when flat then ay - c1 * a1 - c2 * a2 else k1 end, 9) v from sl
+  union all select athlete_id, variant, dep, 'tss_per_100', round(c1, 9) from sl where h1
+  union all select athlete_id, variant, dep, 'sleep_score', round(c2, 9) from sl where h2),
 bt as (select c.athlete_id, c.variant, c.dep, c.term, count(*) n_bootstrap, round_even(quantile_cont(v, 0.5), 4) coef_median, round_even(avg(v), 4) coef_mean,
     round_even(least(2 * avg(case when any_coef >= 0 then (v <= 0)::int else (v >= 0)::int end), 1), 4) pvalue_boot,
     round_even(quantile_cont(v, 0.025), 4) boot_low, round_even(quantile_cont(v, 0.975), 4) boot_high

@@ -106,3 +106,20 @@ def test_sleep_counts_the_night_before_each_ride(spark):
     nights = spark.createDataFrame([("a", "2024-05-01", 60), ("a", "2024-05-08", 90), ("a", "2024-05-02", 10), ("a", None, 1)],
                                    "athlete_id string, calendar_date string, score_overall int")
     assert K.monthly_sleep(rides, nights).first().sleep_score == 70.0
+
+
+def test_undetermined_systems_take_the_smallest_solution(spark):
+    cases = [[(1.0, 2.0), (1.0, 2.0)], [(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], [(1.0, 0.0), (2.0, 0.0), (2.0, 0.0)], [(0.0, 3.0), (0.0, 3.0), (0.0, 3.0)],
+             [(1.0, 2.0), (2.0, 1.0), (4.0, 4.0)], [(1.0, 5.0), (1.0, 7.0), (1.0, 9.0)]]
+    rnd = random.Random(1)
+    for points in cases:
+        y = [rnd.uniform(-5, 5) for _ in points]
+        x = np.column_stack([np.ones(len(points)), np.array(points)])
+        c = x[:, 1:] - x[:, 1:].mean(axis=0)
+        s = c.T @ c
+        t = c.T @ np.array(y)
+        values = [s[0, 0], s[0, 1], s[1, 1], t[0], t[1], *x[:, 1:].mean(axis=0), sum(y) / len(y)]
+        sums = spark.createDataFrame([tuple(float(v) for v in values)], ", ".join(f"{c} double" for c in "s11 s12 s22 s1y s2y a1 a2 ybar".split()))
+        got = K.smallest_solution(sums).select("b0", "b1", "b2").first()
+        want, *_ = np.linalg.lstsq(x, np.array(y), rcond=None)
+        assert list(got) == pytest.approx(list(want), abs=1e-9)
