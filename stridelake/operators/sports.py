@@ -151,13 +151,19 @@ def climb_numbering(splits: DataFrame, order: list[str] | None = None) -> DataFr
 
 
 def ski_totals(days: DataFrame) -> DataFrame:
-    """Days, seasons, laps, descent and top speed; needs ``local_date``."""
-    return days.groupBy(OWNER).agg(
-        F.count_distinct("local_date").alias("total_days"),
+    """Days, seasons, laps, descent and top speed; needs ``local_date``.
+
+    One row per day first: days then need no distinct count, and seasons one over days.
+    """
+    per_day = days.groupBy(OWNER, "local_date").agg(
+        F.sum("total_descent").alias("_descent"), F.sum("num_laps").alias("_laps"), F.max("enhanced_max_speed").alias("_top")
+    )
+    return per_day.groupBy(OWNER).agg(
+        F.count("local_date").alias("total_days"),
         F.count_distinct(season_label(F.col("local_date"))).alias("total_seasons"),
-        N.rint(N.feet(_total("total_descent"))).alias("total_descent_ft"),
-        _total("num_laps").cast("bigint").alias("total_laps"),
-        N.rnd(N.mph(F.max("enhanced_max_speed")), 1).alias("max_speed_mph"),
+        N.rint(N.feet(_total("_descent"))).alias("total_descent_ft"),
+        _total("_laps").cast("bigint").alias("total_laps"),
+        N.rnd(N.mph(F.max("_top")), 1).alias("max_speed_mph"),
     )
 
 

@@ -215,6 +215,20 @@ def covariate_model(spark, sf_dir):
     return K.model_summary(_fits(spark, sf_dir)[1])
 
 
+# F(2, m) has a closed tail; F(1, m) is a two-sided t, integrated by Simpson's rule
+MODEL_SQL = V.with_views("sessions", "lap_points", "score_nights", body=f"""{HAC},
+wd as (select *, (n - (h1::int + h2::int) - 1)::double m, g11 * g12 * m11 + (g11 * g22 + g12 * g12) * m12 + g12 * g22 * m22 v12 from vv),
+ff as (select *, case when h1 and h2 then (b1 * b1 * v2 - 2 * b1 * b2 * v12 + b2 * b2 * v1) / (v1 * v2 - v12 * v12) / 2
+  when h1 then b1 * b1 / v1 else b2 * b2 / v2 end f from wd),
+tt as (select *, sqrt(f) t from ff),
+ar as (select *, list_sum(list_transform(range(0, 4001), lambda i: (case when i = 0 or i = 4000 then 1 when i % 2 = 1 then 4 else 2 end)
+  * pow(1 + pow(t * i / 4000.0, 2) / m, -(m + 1) / 2))) * t / 4000.0 / 3 area from tt)
+select athlete_id, variant, dep, n, round_even(1 - ssr / sst, 3) r2, round_even(1 - (ssr / sst) * (n - 1) / m, 3) r2_adj,
+  round_even(case when h1 and h2 then pow(1 + 2 * f / m, -m / 2)
+    else greatest(0, 1 - 2 * area * exp(lgamma((m + 1) / 2) - lgamma(m / 2)) / sqrt(m * pi())) end, 4) f_pvalue
+from ar join fq using (athlete_id, variant, dep)""")
+
+
 def covariate_correlation(spark, sf_dir):
     return K.correlations(_design(spark, sf_dir), LABELS)
 
@@ -291,7 +305,7 @@ QUERIES = {
     "sleep_covariate": (sleep_covariate, SLEEP_SQL),
     "covariate_ols": (covariate_ols, OLS_SQL),
     "covariate_hac": (covariate_hac, HAC_SQL),
-    "covariate_model": (covariate_model, None),
+    "covariate_model": (covariate_model, MODEL_SQL),
     "covariate_correlation": (covariate_correlation, CORRELATION_SQL),
     "covariate_bootstrap": (covariate_bootstrap, BOOT_SQL),
     "covariate_report": (covariate_report, REPORT_SQL),

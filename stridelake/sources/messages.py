@@ -16,6 +16,7 @@ from . import schemas as S
 
 NULLISH = (T.NullType,)
 BAD = "_unparsed"
+CONTENT = "_content"
 
 
 def flatten_messages(messages: DataFrame, msg_type: str, schema: T.StructType | None = None) -> DataFrame:
@@ -79,9 +80,24 @@ def dedup(df: DataFrame, ignore: str = "source_file") -> DataFrame:
     """One row per distinct content; of equal copies the smallest ``source_file`` stays.
 
     A partial aggregate runs before the shuffle, so many copies of one row do not travel.
+    The content hash leads the group key: the aggregate sorts (its result is text), and a
+    leading long settles nearly every comparison.
     """
     content = [c for c in df.columns if c != ignore]
-    return df.groupBy(*content).agg(F.min(ignore).alias(ignore)).select(*df.columns)
+    hashed = df.withColumn(CONTENT, F.xxhash64(*content))
+    return hashed.groupBy(CONTENT, *content).agg(F.min(ignore).alias(ignore)).select(*df.columns)
+
+
+def without_stored(new: DataFrame, stored: DataFrame, ignore: str = "source_file") -> DataFrame:
+    """Rows of ``new`` whose content ``stored`` does not hold under any ``source_file``."""
+    left, right = align(stored, new)
+    content = [c for c in right.columns if c != ignore]
+    s = left.withColumn(CONTENT, F.xxhash64(*content)).alias("s")
+    n = right.withColumn(CONTENT, F.xxhash64(*content)).alias("n")
+    same = F.col(f"n.{CONTENT}") == F.col(f"s.{CONTENT}")
+    for c in content:  # the hash finds candidates, the content decides
+        same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}"))
+    return n.join(s, same, "left_anti").drop(CONTENT)
 
 
 def append_dedup(existing: DataFrame | None, new: DataFrame) -> DataFrame:

@@ -24,8 +24,20 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if fs.exists(target) else None
 
 
+def _same_days(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored rows that can equal one of ``rows``: those inside its span of time."""
+    if "timestamp" not in rows.columns:
+        return stored
+    low, high = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    undated = F.col("timestamp").isNull()
+    return stored.filter(undated if low is None else undated | F.col("timestamp").between(F.lit(low), F.lit(high)))
+
+
 def append_batch(batch: DataFrame, base: str, msg_types: list[str] | None = None) -> None:
-    """Append a batch's unseen activities to the tables under ``base``."""
+    """Append a batch's unseen activities to the tables under ``base``.
+
+    An activity's messages are expected in one file, as devices export them.
+    """
     spark = batch.sparkSession
     for msg_type in msg_types or M.S.MESSAGE_TYPES:
         path = f"{base}/{msg_type}"
@@ -34,11 +46,7 @@ def append_batch(batch: DataFrame, base: str, msg_types: list[str] | None = None
         fresh = M.not_yet_stored(of_type, {} if stored is None else {msg_type: stored})
         rows = M.dedup(M.flatten_messages(fresh, msg_type).filter(~F.col("_bad")).drop("_bad"))
         if stored is not None:
-            # the same content under another file name is already there
-            content = [c for c in rows.columns if c != "source_file"]
-            left, right = M.align(stored, rows)
-            same = [F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}")) for c in content]
-            rows = right.alias("n").join(left.alias("s"), same, "left_anti")
+            rows = M.without_stored(rows, _same_days(stored, rows))
         write_table(rows, path)
 
 
