@@ -26,6 +26,13 @@ def utc_date(ts: Column | str) -> Column:
     return F.to_date(ts.cast("timestamp_ntz"))
 
 
+def seconds_between(start: Column, end: Column) -> Column:
+    """Elapsed seconds of two zoneless timestamps, whatever the session's zone is."""
+    gap = end - start
+    part = lambda unit: F.extract(F.lit(unit), gap).cast("double")
+    return part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
+
+
 def as_date(value: date | str) -> Column:
     return F.lit(str(value)).cast("date")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import FEET_PER_METRE, METRES_PER_MILE, degrees, feet, miles, mph, rint, rnd
+from ..functions.timekeys import seconds_between
 from ..session import cut_lineage
 from . import series
 from .series import ACTIVITY
@@ -207,8 +208,7 @@ def climbs(records: DataFrame, order: list[str] | None = None, min_grade: float
     joined = numbered.join(stats, [*ACTIVITY, "start_seq"], "left")
     distance = F.col("end_m") - F.col("start_m")
     gain = F.col("end_alt_m") - F.col("start_alt_m")
-    micros = F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col("end_ts"))
-    seconds = micros / 1e6
+    seconds = seconds_between(F.col("start_ts"), F.col("end_ts"))
     return joined.select(
         *ACTIVITY, (F.col("_k") + 1).alias("climb_no"), "start_seq", "end_seq",
         rnd(F.col("start_m") / METRES_PER_MILE, 2).alias("start_mi"),
@@ -217,8 +217,8 @@ def climbs(records: DataFrame, order: list[str] | None = None, min_grade: float
         rint(gain * FEET_PER_METRE).alias("elevation_gain_ft"),
         rnd(F.when(distance > 0, gain / distance * 100).otherwise(0.0), 1).alias("avg_grade"),
         rnd(F.col("max_instant"), 1).alias("max_grade"),
-        F.when(micros > 0, F.floor(seconds).cast("bigint")).alias("duration_s"),
-        F.when(micros > 0, rint(gain / (seconds / 3600))).alias("vam"),
+        F.when(seconds > 0, F.floor(seconds).cast("bigint")).alias("duration_s"),
+        F.when(seconds > 0, rint(gain / (seconds / 3600))).alias("vam"),
         "avg_power", "normalized_power", "avg_cadence",
     )
 

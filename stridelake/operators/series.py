@@ -39,7 +39,7 @@ def number_rows(
 ) -> DataFrame:
     """Add ``seq``, the 0-based position of a row within ``keys`` ordered by ``order``.
 
-    ``bucket`` must not decrease along ``order``. ``totals`` adds whole-group sums of the
+    ``bucket`` must not decrease along ``order``; keys must not be null. ``totals`` adds whole-group sums of the
     given counting aggregates and ``firsts`` the group's first value of a column, both
     through the table of buckets, without another pass.
     """

@@ -26,19 +26,21 @@ def flatten_messages(messages: DataFrame, msg_type: str, schema: T.StructType |
     own = [f for f in schema.fields if f.name != "source_file"]
     # every declared field as text: nested values arrive as JSON text and are told apart
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in own] + [T.StructField(BAD, T.StringType())])
-    parsed = messages.filter(F.col("msg_type") == msg_type).withColumn(
-        "_f", F.from_json("fields", as_text, {"columnNameOfCorruptRecord": BAD})
+    keys = [c for c in ("athlete_id", "source_file") if c in messages.columns]
+    document = F.from_json("fields", as_text, {"columnNameOfCorruptRecord": BAD})
+    # a generator keeps filters on the result above it, so a document is parsed once
+    parsed = messages.filter(F.col("msg_type") == msg_type).select(
+        *keys, F.col("fields").isNull().alias("_none"), F.inline(F.array(document))
     )
 
     def column(f: T.StructField):
-        raw = F.col("_f")[f.name]
+        raw = F.col(f.name)
         scalar = F.when(~raw.startswith("[") & ~raw.startswith("{"), raw)
         if isinstance(f.dataType, T.DoubleType):
             return F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(scalar.try_cast("double"))
         return scalar.try_cast(f.dataType)
 
-    keys = [c for c in ("athlete_id", "source_file") if c in messages.columns]
-    bad = F.col("_f").isNull() | F.col("_f")[BAD].isNotNull()
+    bad = F.col("_none") | F.col(BAD).isNotNull()
     return parsed.select(*keys, bad.alias("_bad"), *[column(f).alias(f.name) for f in own])
 
 
