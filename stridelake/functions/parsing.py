@@ -25,35 +25,43 @@ def parse_whole(text: Column) -> Column:
 def parse_date_text(text: Column) -> Column:
     """ISO date text from the accepted layouts; anything else passes through unchanged."""
     t = F.trim(text)
-    layouts = ["yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d"]
-    days = [F.to_date(F.try_to_timestamp(t, F.lit(p))) for p in layouts]
-    stamped = F.to_date(t.try_cast("timestamp_ntz"))
-    return F.when(t == "", None).otherwise(
-        F.coalesce(F.date_format(F.coalesce(*days, stamped), "yyyy-MM-dd"), t)
-    )
+    # the shape is tested first: a failed timestamp parse costs an exception per value
+    layouts = {
+        r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d", r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+        r"^\d{1,2}-\d{1,2}-\d{4}$": "M-d-yyyy", r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
+    }
+    day = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.to_date(t.try_cast("timestamp_ntz")))
+    for shape, layout in layouts.items():
+        day = F.when(t.rlike(shape), F.to_date(F.try_to_timestamp(t, F.lit(layout)))).otherwise(day)
+    return F.when(t == "", None).otherwise(F.coalesce(F.date_format(day, "yyyy-MM-dd"), t))
 
 
 def parse_duration(text: Column) -> Column:
     """Seconds from ``h:m:s``, ``m:s``, ``7h 32m``-style marks or plain digits."""
-    t = F.lower(F.trim(text))
-    parts = F.transform(F.split(t, ":"), lambda p: F.trim(p).try_cast("bigint"))
-    whole = F.forall(parts, lambda p: p.isNotNull())
-    clock = F.when(
-        whole & (F.size(parts) == 3),
-        F.get(parts, 0) * 3600 + F.get(parts, 1) * 60 + F.get(parts, 2),
-    ).when(whole & (F.size(parts) == 2), F.get(parts, 0) * 60 + F.get(parts, 1))
-
-    marks = F.regexp_extract_all(t, F.lit(r"(\d+\s*[hms])"), 1)
-    seconds = F.transform(
-        marks,
-        lambda m: F.regexp_extract(m, r"(\d+)", 1).try_cast("bigint")
-        * F.when(m.endswith("h"), 3600).when(m.endswith("m"), 60).otherwise(1),
-    )
-    marked = F.when(
-        F.size(marks) > 0, F.aggregate(seconds, F.lit(0).cast("bigint"), lambda a, s: a + s)
-    )
-    digits = F.when(t.rlike(r"^\d+$"), t.try_cast("bigint"))
-    return F.coalesce(F.when(t.contains(":"), clock), marked, digits)
+    def clock(parts: Column) -> Column:
+        a, b, c = (F.get(parts, i) for i in range(3))
+        return F.when(
+            F.forall(parts, lambda p: p.isNotNull()),
+            F.when(F.size(parts) == 3, a * 3600 + b * 60 + c).when(F.size(parts) == 2, a * 60 + b),
+        )
+
+    def seconds(mark: Column) -> Column:
+        unit = F.when(mark.endswith("h"), 3600).when(mark.endswith("m"), 60).otherwise(1)
+        return F.regexp_extract(mark, r"(\d+)", 1).try_cast("bigint") * unit
+
+    def added(marks: Column) -> Column:
+        total = F.aggregate(marks, F.lit(0).cast("bigint"), lambda acc, m: acc + seconds(m))
+        return F.when(F.size(marks) > 0, total)
+
+    def parsed(t: Column) -> Column:
+        parts = F.transform(F.split(t, ":"), lambda p: F.trim(p).try_cast("bigint"))
+        return F.coalesce(
+            F.when(t.rlike(r"^\d+$"), t.try_cast("bigint")),
+            F.when(t.contains(":"), _bound(parts, clock)),
+            _bound(F.regexp_extract_all(t, F.lit(r"(\d+\s*[hms])"), 1), added),
+        )
+
+    return _bound(F.lower(F.trim(text)), parsed)
 
 
 def expand_sets(weights: Column, reps: Column) -> Column:
@@ -61,25 +69,39 @@ def expand_sets(weights: Column, reps: Column) -> Column:
 
     A single value on either side repeats; unequal lengths or non-numbers give no sets.
     """
-    w = F.transform(F.split(weights, ","), lambda x: F.trim(x).try_cast("int"))
-    r = F.transform(F.split(reps, ","), lambda x: F.trim(x).try_cast("int"))
-    n = F.greatest(F.size(w), F.size(r))
-    w = F.when(F.size(w) == 1, F.array_repeat(F.get(w, 0), n)).otherwise(w)
-    r = F.when(F.size(r) == 1, F.array_repeat(F.get(r, 0), n)).otherwise(r)
-    ok = (
-        (F.size(w) == F.size(r))
-        & F.forall(w, lambda x: x.isNotNull())
-        & F.forall(r, lambda x: x.isNotNull())
-    )
-    sets = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(
-            i.alias("set"),
-            F.get(w, i - 1).cast("double").alias("weight"),
-            F.get(r, i - 1).alias("reps"),
-        ),
-    )
-    return F.when(ok, sets).otherwise(F.array().cast("array<struct<set:int,weight:double,reps:int>>"))
+    def numbers(text: Column) -> Column:
+        return F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("int"))
+
+    def filled(values: Column, n: Column) -> Column:
+        return F.when(F.size(values) == 1, F.array_repeat(F.get(values, 0), n)).otherwise(values)
+
+    def same_length(typed: Column) -> Column:
+        n = F.greatest(F.size(typed["w"]), F.size(typed["r"]))
+        return F.struct(filled(typed["w"], n).alias("w"), filled(typed["r"], n).alias("r"))
+
+    def numbered(pair: Column) -> Column:
+        w, r = pair["w"], pair["r"]
+        ok = (
+            (F.size(w) == F.size(r))
+            & F.forall(w, lambda x: x.isNotNull())
+            & F.forall(r, lambda x: x.isNotNull())
+        )
+        sets = F.transform(
+            F.sequence(F.lit(1), F.size(w)),
+            lambda i: F.struct(
+                i.alias("set"), F.get(w, i - 1).cast("double").alias("weight"), F.get(r, i - 1).alias("reps")
+            ),
+        )
+        return F.when(ok, sets).otherwise(F.array().cast("array<struct<set:int,weight:double,reps:int>>"))
+
+    typed = F.struct(numbers(weights).alias("w"), numbers(reps).alias("r"))
+    return _bound(_bound(typed, same_length), numbered)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; a lambda evaluates what it captures anew
+    for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def sets_text(sets: Column) -> Column:

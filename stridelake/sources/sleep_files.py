@@ -131,8 +131,13 @@ def parse_key_values(lines: DataFrame) -> DataFrame:
     packed = last.groupBy(OWNER, "file").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("kv"))
     types = {f.name: f.dataType.simpleString() for f in S.SLEEP_SCHEMA.fields}
 
+    # texts first, in a projection of their own: the parsers look at them many times
+    texts = packed.select(OWNER, "file", *[
+        F.coalesce(*[F.col("kv")[_norm(label)] for label in labels]).alias(name) for name, labels in CSV_LABELS.items()
+    ])
+
     def parsed(name: str) -> Column:
-        text = F.coalesce(*[F.col("kv")[_norm(label)] for label in CSV_LABELS[name]])
+        text = F.col(name)
         if name == "calendar_date":
             return X.parse_date_text(text)
         if name in SECONDS:
@@ -141,7 +146,7 @@ def parse_key_values(lines: DataFrame) -> DataFrame:
             return X.parse_whole(text).try_cast(types[name])
         return X.parse_number(text) if types[name] == "double" else text
 
-    named = packed.select(OWNER, "file", *[parsed(n).alias(n) for n in CSV_LABELS]).filter("calendar_date is not null")
+    named = texts.select(OWNER, "file", *[parsed(n).alias(n) for n in CSV_LABELS]).filter("calendar_date is not null")
     in_bed = F.coalesce("total_in_bed_sec", F.col("total_sleep_sec") + F.col("awake_sec"))
     full = named.withColumn("total_in_bed_sec", in_bed)
     for n in ("deep", "light", "rem", "awake", "total_sleep"):
