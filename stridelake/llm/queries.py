@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, quality, simhash
+from . import bpe, decontaminate, exact_dedup, quality, simhash, substring_dedup
 from .common import read, texts
 
 
@@ -63,10 +63,30 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.removed(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", _sha(F.col("kept")).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20),
+wins AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS win FROM starts),
+later AS (SELECT doc_id, s FROM wins QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM later),
+gone_of AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t
+         FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p)
+         GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN gone_of g USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
     "op2_bpe_encode_decode": (op2_bpe_encode_decode, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_benchmark_decontamination": (op4_benchmark_decontamination, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
+    "op10_substring_dedup": (op10_substring_dedup, OP10_SQL),
 }
