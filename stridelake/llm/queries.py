@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, quality, simhash, substring_dedup
+from . import bpe, decontaminate, exact_dedup, quality, simhash, substring_dedup, toxicity
 from .common import read, texts
 
 
@@ -63,6 +63,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.char_model(docs)
+    found = toxicity.score(docs, model, toxicity.fit(docs, labels.where(~toxicity.held_out()), model))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.removed(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", _sha(F.col("kept")).alias("kept_sha256"))
@@ -88,5 +96,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_benchmark_decontamination": (op4_benchmark_decontamination, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
+    "op7_toxicity": (op7_toxicity, None),
     "op10_substring_dedup": (op10_substring_dedup, OP10_SQL),
 }
