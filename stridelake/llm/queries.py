@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, quality, simhash, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash, substring_dedup, toxicity
 from .common import read, texts
 
 
@@ -63,6 +63,33 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", _sha(F.col("text")).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM d),
+toks AS (SELECT doc_id, no, list_transform(
+           list_filter(regexp_split_to_array(line, '[\x09\x0B\x0C\x0D\x20]+'), lambda t: t <> ''),
+           lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM lines),
+keyed AS (SELECT *, len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM toks WHERE len(tokens) >= 4),
+near AS (SELECT * FROM keyed WHERE leaf IN (SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5)),
+seen AS (SELECT leaf, pos, token, count(*) AS n
+         FROM (SELECT leaf, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM near) GROUP BY ALL),
+places AS (SELECT leaf, pos, CASE WHEN max(n) * 2 > sum(n) THEN arg_max(token, n) ELSE '<*>' END AS token FROM seen GROUP BY leaf, pos),
+tmpl AS (SELECT leaf, list(token ORDER BY pos) AS template FROM places GROUP BY leaf),
+members AS (SELECT doc_id, no, leaf FROM near JOIN tmpl USING (leaf)
+            WHERE len(list_filter(list_zip(tokens, template), lambda p: p[1] = p[2])) >= 0.6 * len(tokens)),
+dropped AS (SELECT doc_id, no FROM members
+            WHERE leaf IN (SELECT leaf FROM members GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5))
+SELECT doc_id, count(*) AS n_lines, count(x.no) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY l.no) FILTER (WHERE x.no IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN dropped x USING (doc_id, no) GROUP BY doc_id
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.char_model(docs)
@@ -96,6 +123,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_benchmark_decontamination": (op4_benchmark_decontamination, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
+    "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_toxicity": (op7_toxicity, None),
     "op10_substring_dedup": (op10_substring_dedup, OP10_SQL),
 }

@@ -35,7 +35,7 @@ from .common import cut, texts
 SAMPLE_ROWS, CANDIDATES = 20_000, 5_000
 THRESHOLD, PRECISION, SUPPORT, STEMS = 0.3, 0.6, 3, (3, 4, 5, 6, 7, 8)
 #: Weight of a document's first, second, third and further entries in the cover; least gain of an entry.
-COVERS, GAIN = (1.0, 0.4, 0.4, 0.0), 2.0
+COVERS, GAIN = (1.0, 0.1, 0.1, 0.0), 2.0
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 EDGE, OTHER = "\x02", "\x01"
