@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, html_text, line_dedup, quality, simhash, substring_dedup, toxicity, url_filters
 from .common import read, texts
 
 
@@ -98,6 +98,64 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def captures_and_entries(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fetch days of the pages, and dated entries of three lists for hosts, domains and paths that occur.
+
+    The tables have no dates, so they follow from page_id; entries are added, removed and added again.
+    """
+    captures = pages.select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(page_id % 730 as int))").alias("fetched"))
+    parts = url_filters.path_parts(F.col("url"))
+    named = captures.select("page_id", url_filters.host(F.col("url")).alias("host"), F.get(parts, F.lit(0)).alias("part")).where("host <> ''")
+    values = (named.select("page_id", F.expr("stack(3, 'host', host, 'domain', regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1), "
+                                             "'path', host || '/' || part) as (kind, value)"))
+              .where("value <> ''").groupBy("kind", "value").agg(F.min("page_id").alias("k")))
+    picked = values.where("kind = 'host' and k % 3 = 0 or kind = 'domain' and k % 5 = 0 or kind = 'path' and k % 7 = 0")
+    dated = picked.select(F.expr("case k % 3 when 0 then 'malware' when 1 then 'adult' else 'spam' end as list"), "kind", "value", "k",
+                          F.expr("explode(array(named_struct('action', 'add', 'after', 0, 'every', 1), "
+                                 "named_struct('action', 'remove', 'after', 150, 'every', 2), named_struct('action', 'add', 'after', 300, 'every', 4))) as e"))
+    return captures, dated.where("k % e.every = 0").select(
+        "list", "kind", "value", "e.action", F.expr("date_add(date'2024-01-01', cast(k % 400 as int) + e.after)").alias("day"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filters.evaluate(*captures_and_entries(read(spark, sf_dir, "pages")))
+    lists = F.array_join(F.array_sort(F.array_distinct(F.col("matches.list"))), ",")
+    return found.select("page_id", "url", "fetched", "blocked", F.size("matches").cast("long").alias("n_matches"),
+                        lists.alias("lists"), F.array_min(F.col("matches.since")).alias("since"))
+
+
+OP8_SQL = r"""
+WITH c AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 730 AS INTEGER) AS fetched,
+             rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '.') AS host,
+             list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+           FROM pages),
+named AS (SELECT page_id, 'host' AS kind, host AS value FROM c WHERE host <> ''
+          UNION ALL SELECT page_id, 'domain', regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) FROM c WHERE host <> ''
+          UNION ALL SELECT page_id, 'path', host || '/' || parts[1] FROM c WHERE host <> '' AND len(parts) > 0),
+picked AS (SELECT kind, value, min(page_id) AS k FROM named WHERE value <> '' GROUP BY ALL
+           HAVING kind = 'host' AND k % 3 = 0 OR kind = 'domain' AND k % 5 = 0 OR kind = 'path' AND k % 7 = 0),
+entries AS (SELECT CASE k % 3 WHEN 0 THEN 'malware' WHEN 1 THEN 'adult' ELSE 'spam' END AS list, kind, lower(value) AS value, action,
+              DATE '2024-01-01' + CAST(k % 400 + after AS INTEGER) AS day
+            FROM picked, (VALUES ('add', 0, 1), ('remove', 150, 2), ('add', 300, 4)) e(action, after, every) WHERE k % every = 0),
+spans AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, value ORDER BY day) AS until FROM entries),
+keys AS (SELECT page_id, url, fetched, 'host' AS kind, host AS value FROM c
+         UNION ALL SELECT page_id, url, fetched, 'domain', array_to_string(string_split(host, '.')[i :], '.')
+           FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM c)
+         UNION ALL SELECT page_id, url, fetched, 'path', lower(host || '/' || array_to_string(parts[1 : i], '/'))
+           FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM c)),
+hits AS (SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(list))), ',') AS lists, min(day) AS since
+         FROM keys JOIN spans USING (kind, value)
+         WHERE action = 'add' AND fetched >= day AND (until IS NULL OR fetched < until) GROUP BY page_id)
+SELECT c.page_id, c.url, c.fetched, h.n IS NOT NULL AS blocked, coalesce(h.n, 0) AS n_matches, coalesce(h.lists, '') AS lists, h.since
+FROM c LEFT JOIN hits h USING (page_id)
+"""
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.removed(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", _sha(F.col("kept")).alias("kept_sha256"))
@@ -125,5 +183,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_line_dedup": (op6_line_dedup, OP6_SQL),
     "op7_toxicity": (op7_toxicity, None),
+    "op8_url_filters": (op8_url_filters, OP8_SQL),
+    "op9_html_extraction": (op9_html_extraction, None),
     "op10_substring_dedup": (op10_substring_dedup, OP10_SQL),
 }
