@@ -100,7 +100,7 @@ def calendar_totals(events: DataFrame, grain: str) -> DataFrame:
         OWNER, "period_start", "is_total", "sport",
         F.when(F.col("is_total"), F.lit("All")).otherwise(sport_label(F.col("sport"))).alias("label"),
         "activities", "seconds", rnd(hours(F.col("seconds")), 1).alias("hours"), "miles",
-    ).orderBy(OWNER, "period_start", F.desc("is_total"), F.desc("activities"))
+    )
 
 
 def score_band(score: Column) -> Column:

@@ -14,9 +14,6 @@ from ..functions.timekeys import DEFAULT_TZ, local_date, period_keys, period_lab
 # Display names and column order of sports.
 RENAMED = {"training": "weight_lifting"}
 LEADING_SPORTS = ["cycling", "weight_lifting", "rock_climbing"]
-KNOWN_SPORTS = """
-cycling training rock_climbing running hiking alpine_skiing generic racket
-""".split()
 
 OWNER = "athlete_id"
 
@@ -45,7 +42,7 @@ def period_summary(rides: DataFrame, grain: str, tz: str = DEFAULT_TZ) -> DataFr
         rnd(miles(F.col("_m")), 1).alias("miles"),
         rnd(hours(F.col("_s")), 1).alias("hours"),
         rint(F.col("_t")).alias("tss"),
-    ).orderBy(OWNER, *keys)
+    )
 
 
 def hours_by_sport(sessions: DataFrame) -> DataFrame:
@@ -54,7 +51,6 @@ def hours_by_sport(sessions: DataFrame) -> DataFrame:
         sessions.groupBy(OWNER, "sport")
         .agg(F.coalesce(F.sum("total_timer_time"), F.lit(0.0)).alias("_s"))
         .select(OWNER, "sport", clock(F.col("_s")).alias("total_time"))
-        .orderBy(OWNER, "sport")
     )
 
 
@@ -64,31 +60,38 @@ def ordered_sports(sports: list[str]) -> list[str]:
     return lead + sorted(s for s in shown if s not in lead)
 
 
+def found_sports(sessions: DataFrame) -> list[str]:
+    """Recorded sport names; a device's enumeration, so a few dozen at most."""
+    names = sessions.where(F.col("sport").isNotNull()).groupBy("sport").count()
+    return sorted(r.sport for r in names.collect())
+
+
 def sport_pivot(sessions: DataFrame, grain: str, tz: str = DEFAULT_TZ,
                 sports: list[str] | None = None) -> DataFrame:
-    """Period × sport table of ``HH:MM:SS (share%)`` with a ``total`` column.
+    """Period × sport table of ``HH:MM:SS (share%)`` with a ``total`` column over all rows.
 
-    ``sports`` fixes the columns, so no extra job has to look for them; a session without
+    Without ``sports`` every recorded sport has a column; a given list fixes the columns
+    (no extra job) and what it does not name counts in a column ``other``. A session without
     a sport counts in a column of its own named ``null``.
     """
-    sports = sports or KNOWN_SPORTS
-    back = {RENAMED.get(s, s): s for s in sports}
-    columns = ordered_sports(sports) + ["null"]
+    listed = found_sports(sessions) if sports is None else sports
+    back = {RENAMED.get(s, s): s for s in listed}
+    matches = {c: F.col("sport") == back[c] for c in ordered_sports(listed)}
+    if sports is not None:
+        matches["other"] = F.col("sport").isNotNull() & ~F.coalesce(F.col("sport").isin(listed), F.lit(False))
+    matches["null"] = F.col("sport").isNull()
     keys = period_keys(local_date("timestamp", tz), grain)
     named = [c.alias(n) for n, c in keys.items()]
 
     def seconds(shown: str):
-        raw = back.get(shown)
-        match = F.col("sport") == raw if raw else F.col("sport").isNull()
+        match = matches[shown]
         present = F.max(F.when(match, True))
         return F.when(
             present, F.coalesce(F.sum(F.when(match, F.col("total_timer_time"))), F.lit(0.0))
         ).alias(f"_{shown}")
 
-    grouped = sessions.groupBy(OWNER, *named).agg(*[seconds(c) for c in columns])
-    total = sum((F.coalesce(F.col(f"_{c}"), F.lit(0.0)) for c in columns[1:]),
-                F.coalesce(F.col(f"_{columns[0]}"), F.lit(0.0)))
-    with_total = grouped.withColumn("_total", total)
+    whole = F.coalesce(F.sum("total_timer_time"), F.lit(0.0)).alias("_total")
+    with_total = sessions.groupBy(OWNER, *named).agg(*[seconds(c) for c in matches], whole)
 
     def cell(c: str):
         value = F.col(f"_{c}")
@@ -96,9 +99,7 @@ def sport_pivot(sessions: DataFrame, grain: str, tz: str = DEFAULT_TZ,
         text = F.concat(clock(value), F.lit(" ("), share.cast("string"), F.lit("%)"))
         return F.when(value.isNull(), F.lit("")).otherwise(text).alias(c)
 
-    return with_total.select(
-        OWNER, *keys, *[cell(c) for c in columns], clock(F.col("_total")).alias("total")
-    ).orderBy(OWNER, *keys)
+    return with_total.select(OWNER, *keys, *[cell(c) for c in matches], clock(F.col("_total")).alias("total"))
 
 
 def sport_chart(sessions: DataFrame, grain: str, tz: str = DEFAULT_TZ) -> DataFrame:
@@ -123,7 +124,6 @@ def total_hours(sessions: DataFrame, grain: str, tz: str = DEFAULT_TZ) -> DataFr
         sport_chart(sessions, grain, tz)
         .groupBy(OWNER, "label")
         .agg(rnd(F.sum("hours"), 1).alias("hours"))
-        .orderBy(OWNER, "label")
     )
 
 
@@ -147,4 +147,4 @@ def year_to_date(sessions: DataFrame, as_of: date | str, tz: str = DEFAULT_TZ) -
         OWNER, "is_total", "sport", rounded.alias("hours"), "activities",
         F.when(~F.col("is_total"), rnd(rounded / F.lit(float(weeks)), 1)).alias("hours_per_week"),
         F.col("_s").alias("total_seconds"),
-    ).orderBy(OWNER, F.desc("is_total"), F.desc("total_seconds"))
+    )

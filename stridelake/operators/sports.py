@@ -51,7 +51,6 @@ def hike_monthly(hikes: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
             N.rnd(N.hours(_total("total_timer_time")), 1).alias("hours"),
             N.rnd(N.feet(_total("total_ascent")), 0).alias("ascent_ft"),
         )
-        .orderBy(OWNER, "month")
     )
 
 
@@ -98,7 +97,7 @@ def climb_monthly(sessions: DataFrame, splits: DataFrame, tz: str = DEFAULT_TZ)
     routes = _routes_by(of_sessions, OWNER, split_month.alias("month"))
     return monthly.join(routes, [OWNER, "month"], "left").withColumn(
         "routes", F.coalesce("routes", F.lit(0).cast("bigint"))
-    ).orderBy(OWNER, "month")
+    )
 
 
 def climb_session_splits(sessions: DataFrame, splits: DataFrame) -> DataFrame:
@@ -181,7 +180,7 @@ def ski_daily(days: DataFrame) -> DataFrame:
         _total("num_laps").alias("num_laps"),
         N.rnd(F.max("enhanced_max_speed"), 2).alias("enhanced_max_speed"),
         N.rnd(F.avg("enhanced_avg_speed"), 2).alias("enhanced_avg_speed"),
-    ).orderBy(OWNER, F.desc("local_date"))
+    )
 
 
 def ski_seasons(days: DataFrame) -> DataFrame:
@@ -214,7 +213,7 @@ def ski_seasons(days: DataFrame) -> DataFrame:
         N.rnd(_total("total_ascent"), 0).alias("total_ascent"),
         N.rnd(_total("total_descent"), 0).alias("total_descent"),
         _total("num_laps").alias("num_laps"),
-    ).orderBy(OWNER, F.desc("season"))
+    )
 
 
 # ── one activity ─────────────────────────────────────────────────────────────
@@ -263,7 +262,7 @@ def _number(x: Column) -> Column:
 
 
 def recent_rides(rides: DataFrame, as_of: date | str, tz: str = DEFAULT_TZ) -> DataFrame:
-    """Rides of the last 182 days by UTC date, newest first."""
+    """Rides of the last 182 days by UTC date."""
     local = to_local("timestamp", tz)
     label = F.concat(
         iso(F.to_date(local)), F.lit(f" {MISSING} "),
@@ -273,7 +272,6 @@ def recent_rides(rides: DataFrame, as_of: date | str, tz: str = DEFAULT_TZ) -> D
     return (
         rides.filter(utc_date("timestamp") >= F.date_sub(as_date(as_of), RECENT_DAYS))
         .select(OWNER, "source_file", local.alias("local_timestamp"), label.alias("label"))
-        .orderBy(OWNER, F.desc("local_timestamp"))
     )
 
 
@@ -286,7 +284,6 @@ def _recent_on_foot(sessions: DataFrame, as_of, tz: str, digits: int) -> DataFra
     return (
         sessions.filter(F.to_date(local) >= F.date_sub(as_date(as_of), RECENT_DAYS))
         .select(OWNER, "source_file", local.alias("local_timestamp"), label.alias("label"))
-        .orderBy(OWNER, F.desc("local_timestamp"))
     )
 
 
@@ -299,7 +296,7 @@ def recent_runs(runs: DataFrame, as_of: date | str, tz: str = DEFAULT_TZ) -> Dat
 
 
 def recent_ski_days(days: DataFrame, as_of: date | str, season: str | None = None) -> DataFrame:
-    """Ski sessions of the last 182 days with their season, newest first; needs ``local_date``."""
+    """Ski sessions of the last 182 days with their season; needs ``local_date``."""
     tagged = days.withColumn("season", season_label(F.col("local_date"))).filter(
         F.col("local_date") >= F.date_sub(as_date(as_of), RECENT_DAYS)
     )
@@ -312,13 +309,11 @@ def recent_ski_days(days: DataFrame, as_of: date | str, season: str | None = Non
     label = F.concat_ws(
         f" {MISSING} ", iso(F.col("local_date")), profile, F.concat(laps, F.lit(" laps")), descent
     )
-    return tagged.select(OWNER, "source_file", "local_date", label.alias("label"), "season").orderBy(
-        OWNER, F.desc("local_date")
-    )
+    return tagged.select(OWNER, "source_file", "local_date", label.alias("label"), "season")
 
 
 def climb_session_list(sessions: DataFrame, splits: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
-    """Every climbing session with its route count, newest first."""
+    """Every climbing session with its route count."""
     local = to_local("timestamp", tz)
     routes = _routes_by(splits, OWNER, "source_file")
     joined = sessions.join(routes, [OWNER, "source_file"], "left")
@@ -327,9 +322,7 @@ def climb_session_list(sessions: DataFrame, splits: DataFrame, tz: str = DEFAULT
         F.coalesce("routes", F.lit(0)).cast("string"), F.lit(" routes, "),
         X.hours_or_seconds(F.col("total_timer_time")),
     )
-    return joined.select(OWNER, "source_file", local.alias("local_timestamp"), label.alias("label")).orderBy(
-        OWNER, F.desc("local_timestamp")
-    )
+    return joined.select(OWNER, "source_file", local.alias("local_timestamp"), label.alias("label"))
 
 
 def _or_dash(value: Column, unit: str = "") -> Column:

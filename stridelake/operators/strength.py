@@ -42,7 +42,7 @@ def exploded_sets(workouts: DataFrame, body_weight: float = BODY_WEIGHT) -> Data
 def exercise_names(workouts: DataFrame) -> DataFrame:
     return workouts.select(OWNER, F.explode("exercises.name").alias("name")).distinct().withColumn(
         "label", title_words(F.col("name"))
-    ).orderBy(OWNER, "name")
+    )
 
 
 def session_volume(workouts: DataFrame, body_weight: float = BODY_WEIGHT) -> DataFrame:

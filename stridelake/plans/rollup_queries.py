@@ -44,27 +44,28 @@ HOURS_SQL = V.with_views("sessions", body=f"""
 select athlete_id, sport, {CLOCK.format('s')} total_time
 from (select athlete_id, sport, coalesce(sum(total_timer_time), 0) s from sessions group by all)""")
 
-PIVOT_SPORTS = ["cycling", "training", "rock_climbing", "alpine_skiing", "generic", "hiking", "racket", "running"]
+LISTED = ["cycling", "training", "running"]
+# every sport of the view, in the order of the columns
+PIVOT_SPORTS = ["cycling", "training", "rock_climbing", "alpine_skiing", "hiking", "rowing", "racket", "running", "swimming"]
 
 
-def _pivot(grain):
-    return lambda spark, sf_dir: P.sport_pivot(V.sessions(spark, sf_dir), grain)
+def _pivot(grain, sports=None):
+    return lambda spark, sf_dir: P.sport_pivot(V.sessions(spark, sf_dir), grain, sports=sports)
 
 
-def _pivot_sql(grain):
-    names = [("weight_lifting" if s == "training" else s, f"sport = '{s}'") for s in PIVOT_SPORTS] + [("null", "sport is null")]
+def _pivot_sql(grain, sports=PIVOT_SPORTS, other=False):
+    names = [("weight_lifting" if s == "training" else s, f"sport = '{s}'") for s in sports]
+    names += [("other", "sport not in ({})".format(", ".join(f"'{s}'" for s in sports)))] * other + [("null", "sport is null")]
     aggs = ", ".join(
-        f"case when count(*) filter (where {p}) > 0 then coalesce(sum(total_timer_time) filter (where {p}), 0) end s_{n}" for n, p in names
+        f'case when count(*) filter (where {p}) > 0 then coalesce(sum(total_timer_time) filter (where {p}), 0) end "s_{n}"' for n, p in names
     )
     cells = ", ".join(
-        f"""case when s_{n} is null then '' else {CLOCK.format('s_' + n)} || ' (' ||
-        cast(case when tot > 0 then cast(round_even(s_{n} / tot * 100, 0) as bigint) else 0 end as varchar) || '%)' end "{n}\"""" for n, _ in names
+        f"""case when "s_{n}" is null then '' else {CLOCK.format(f'"s_{n}"')} || ' (' ||
+        cast(case when tot > 0 then cast(round_even("s_{n}" / tot * 100, 0) as bigint) else 0 end as varchar) || '%)' end "{n}\"""" for n, _ in names
     )
-    total = " + ".join(f"coalesce(s_{n}, 0)" for n, _ in names)
     plain = {"year": '"year"', "month": '"year", "month"', "week": '"year", week_starting, week_ending'}[grain]
     return V.with_views("sessions", body=f"""{LOCAL},
-g as (select athlete_id, {KEYS[grain]}, {aggs} from loc group by all),
-t as (select *, {total} tot from g)
+t as (select athlete_id, {KEYS[grain]}, {aggs}, coalesce(sum(total_timer_time), 0) tot from loc group by all)
 select athlete_id, {plain}, {cells}, {CLOCK.format('tot')} total from t""")
 
 
@@ -175,6 +176,7 @@ QUERIES = {
     **{f"period_summary_{g}": (_period(g), _period_sql(g)) for g in ("year", "month", "week")},
     "hours_by_sport": (hours_by_sport, HOURS_SQL),
     **{f"sport_pivot_{g}": (_pivot(g), _pivot_sql(g)) for g in ("year", "month", "week")},
+    "sport_pivot_listed": (_pivot("year", LISTED), _pivot_sql("year", LISTED, True)),
     "sport_chart_data": (sport_chart_data, CHART_SQL),
     "sport_total_hours": (sport_total_hours, TOTAL_SQL),
     "ytd_stats": (ytd_stats, YTD_SQL),

@@ -53,6 +53,42 @@ def ingest_messages(spark, sf_dir):
     return M.dedup(good).select("athlete_id", "source_file", "timestamp", "power", "heart_rate", "grit", "cadence")
 
 
+# one message of each type per event, with undeclared fields, bracketed text and whole numbers
+TYPED = [
+    ("athlete_id", "cast(user_id as string)"),
+    ("source_file", "concat('ride-', cast(user_id as string))"),
+    ("msg_type", """case event_id % 6 when 0 then 'file_id_mesgs' when 1 then 'activity_mesgs' when 2 then 'session_mesgs'
+      when 3 then 'record_mesgs' when 4 then 'split_mesgs' else 'split_summary_mesgs' end"""),
+    ("fields", """concat('{"timestamp":"', substr(cast(ts as string), 1, 19), '","number":', cast(event_id as string),
+      ',"num_sessions":', cast(event_id % 9 as string), ',"num_laps":', cast(event_id % 20 as string), ',"power":', cast(event_id % 300 as string),
+      ',"total_timer_time":', cast(event_id % 5000 as string), ',"num_splits":', cast(event_id % 7 as string),
+      ',"type":"[Race] day","event":"{x} ', cast(event_id % 3 as string), '","split_type":"[climb]","activity_type":"', event_type,
+      '","nested":{"a":1},"list":[', cast(event_id as string), '],"core_temp":', cast(event_id % 40 as string), '}')"""),
+]
+MAIN = {"file_id_mesgs": ("number", "type"), "activity_mesgs": ("num_sessions", "type"), "session_mesgs": ("num_laps", "event"),
+        "record_mesgs": ("power", "activity_type"), "split_mesgs": ("total_timer_time", "split_type"), "split_summary_mesgs": ("num_splits", "split_type")}
+
+
+def ingest_all_types(spark, sf_dir):
+    msgs = V.table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in TYPED])
+    out = None
+    for msg_type, rows in M.ingest(msgs, {}).items():
+        number, text = MAIN[msg_type]
+        temp = F.get_json_object("extra", "$.core_temp").alias("core_temp")
+        part = rows.select("athlete_id", "source_file", F.lit(msg_type).alias("msg_type"), F.col(number).alias("number"), F.col(text).alias("label"), temp)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+ALL_TYPES_SQL = f"""
+select {TYPED[0][1]} athlete_id, {TYPED[1][1]} source_file, {TYPED[2][1]} msg_type,
+  cast(case event_id % 6 when 0 then event_id when 1 then event_id % 9 when 2 then event_id % 20 when 3 then event_id % 300
+       when 4 then event_id % 5000 else event_id % 7 end as double) number,
+  case event_id % 6 when 0 then '[Race] day' when 1 then '[Race] day' when 2 then concat('{{x}} ', cast(event_id % 3 as string))
+       when 3 then event_type else '[climb]' end AS label,
+  cast(event_id % 40 as string) core_temp
+from events"""
+
 INGEST_SQL = f"""with {PLAIN}
 select athlete_id, min(source_file) source_file, "timestamp", power, heart_rate, grit, cast(null as double) cadence
 from plain group by athlete_id, "timestamp", power, heart_rate, grit"""
@@ -241,6 +277,7 @@ QUERIES = {
     "split_summaries_for_activities": (split_summaries_for_activities, SPLIT_SUMMARIES_SQL),
     "conform_schema": (conform_schema, CONFORM_SQL),
     "ingest_messages": (ingest_messages, INGEST_SQL),
+    "ingest_all_types": (ingest_all_types, ALL_TYPES_SQL),
     "ingest_incremental": (ingest_incremental, INCREMENTAL_SQL),
     "dedup_append": (dedup_append, DEDUP_SQL),
     "align_union": (align_union, ALIGN_SQL),

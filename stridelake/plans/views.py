@@ -22,6 +22,8 @@ AS_OF = "2001-06-15"
 ATHLETE = "cast(cast(floor(o_custkey / 20) as bigint) as string)"
 SESSION_TS = "o_orderdate + (o_orderkey % 24) * INTERVAL '1' HOUR + (o_orderkey % 60) * INTERVAL '1' MINUTE"
 SPORT = """case when o_orderkey % 97 = 0 then null
+  when o_orderkey % 89 = 0 then 'swimming'
+  when o_orderkey % 83 = 0 then 'rowing'
   when o_orderkey % 11 = 0 then 'training'
   when o_orderkey % 13 = 0 then 'racket'
   when substr(o_orderpriority, 1, 1) = '1' then 'cycling'
@@ -198,16 +200,15 @@ def score_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored night per athlete and date, for the prior-night join."""
     return (
         table(spark, sf_dir, "orders")
-        .filter("o_orderkey % 5 <> 0")
         .selectExpr(f"{ATHLETE} AS athlete_id", "cast(cast(o_orderdate - INTERVAL '1' DAY as date) as string) AS calendar_date", "o_orderkey")
         .groupBy("athlete_id", "calendar_date")
-        .agg(F.expr("cast(case when sum(o_orderkey) % 9 = 0 then null else sum(o_orderkey) % 101 end as int)").alias("score_overall"))
+        .agg(F.expr("cast(case when sum(o_orderkey) % 9 = 0 or min(o_orderkey) % 5 = 0 then null else sum(o_orderkey) % 101 end as int)").alias("score_overall"))
     )
 
 
 def workout_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat lifting sets behind the nested log: every third order is a workout."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    """Flat lifting sets behind the nested log: every order is a workout."""
+    orders = table(spark, sf_dir, "orders")
     lines = table(spark, sf_dir, "lineitem")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(*_project(WORKOUT_SETS))
 
@@ -250,10 +251,10 @@ CTE: dict[str, str] = {
         select cast(user_id as string) athlete_id, cast(cast(ts as date) as string) calendar_date, {_sql(NIGHT_STAGES)}
         from events group by 1, 2)""",
     "score_nights": f"""select athlete_id, calendar_date,
-        cast(case when sum(o_orderkey) % 9 = 0 then null else sum(o_orderkey) % 101 end as int) score_overall
+        cast(case when sum(o_orderkey) % 9 = 0 or min(o_orderkey) % 5 = 0 then null else sum(o_orderkey) % 101 end as int) score_overall
         from (select {ATHLETE} athlete_id, cast(cast(o_orderdate - INTERVAL '1' DAY as date) as string) calendar_date, o_orderkey
-              from orders where o_orderkey % 5 <> 0) group by 1, 2""",
-    "workout_sets": f"select {_sql(WORKOUT_SETS)} from lineitem join orders on l_orderkey = o_orderkey where o_orderkey % 3 = 0",
+              from orders) group by 1, 2""",
+    "workout_sets": f"select {_sql(WORKOUT_SETS)} from lineitem join orders on l_orderkey = o_orderkey",
 }
 
 

@@ -15,33 +15,38 @@ from pyspark.sql import types as T
 from . import schemas as S
 
 NULLISH = (T.NullType,)
-BAD = "_unparsed"
+EXTRA = "extra"
 CONTENT = "_content"
 
 
 def flatten_messages(messages: DataFrame, msg_type: str, schema: T.StructType | None = None) -> DataFrame:
     """Typed rows of one message type. Arrays and objects are dropped, whole numbers and
-    booleans become doubles, unparsable documents become null rows flagged ``_bad``."""
+    booleans become doubles, unparsable documents become null rows flagged ``_bad``.
+
+    Undeclared scalars stay, as JSON text with sorted keys in ``extra`` (null if there are none).
+    """
     schema = schema or S.ingest_schema(msg_type)
-    own = [f for f in schema.fields if f.name != "source_file"]
-    # every declared field as text: nested values arrive as JSON text and are told apart
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in own] + [T.StructField(BAD, T.StringType())])
+    own = [f for f in schema.fields if f.name not in ("source_file", EXTRA)]
     keys = [c for c in ("athlete_id", "source_file") if c in messages.columns]
-    document = F.from_json("fields", as_text, {"columnNameOfCorruptRecord": BAD})
-    # a generator keeps filters on the result above it, so a document is parsed once
-    parsed = messages.filter(F.col("msg_type") == msg_type).select(
-        *keys, F.col("fields").isNull().alias("_none"), F.inline(F.array(document))
-    )
+    # what a value is decides whether it is nested, not what its text looks like
+    document = F.expr("try_cast(try_parse_json(fields) as map<string, variant>)")
+    plain = F.map_filter("_all", lambda k, v: ~F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)"))
+    scalars = F.transform_values(plain, lambda k, v: F.try_variant_get(v, "$", "string"))
+    # generators keep filters on the result above them, so a document is parsed once
+    parsed = (messages.filter(F.col("msg_type") == msg_type)
+              .select(*keys, F.explode(F.array(document)).alias("_all"))
+              .select(*keys, F.col("_all").isNull().alias("_bad"), F.explode(F.array(scalars)).alias("_f")))
 
     def column(f: T.StructField):
-        raw = F.col(f.name)
-        scalar = F.when(~raw.startswith("[") & ~raw.startswith("{"), raw)
+        raw = F.try_element_at("_f", F.lit(f.name))
         if isinstance(f.dataType, T.DoubleType):
-            return F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(scalar.try_cast("double"))
-        return scalar.try_cast(f.dataType)
+            return F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(raw.try_cast("double"))
+        return raw.try_cast(f.dataType)
 
-    bad = F.col("_none") | F.col(BAD).isNotNull()
-    return parsed.select(*keys, bad.alias("_bad"), *[column(f).alias(f.name) for f in own])
+    declared = [f.name for f in schema.fields] + keys
+    rest = F.map_filter("_f", lambda k, v: ~k.isin(declared) & v.isNotNull())
+    extra = F.when(F.size(rest) > 0, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(rest)))))
+    return parsed.select(*keys, "_bad", *[column(f).alias(f.name) for f in own], extra.alias(EXTRA))
 
 
 def not_yet_stored(messages: DataFrame, stored: dict[str, DataFrame]) -> DataFrame:
@@ -110,7 +115,7 @@ def append_dedup(existing: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def schema_drift(spark: SparkSession, columns: dict[str, list[str]],
-                 allow: tuple[str, ...] = ("athlete_id", "dt")) -> DataFrame:
+                 allow: tuple[str, ...] = ("athlete_id", "dt", EXTRA)) -> DataFrame:
     """(msg_type, column) for columns no declared schema names. Metadata only, no scan."""
     rows = []
     for msg_type, names in sorted(columns.items()):

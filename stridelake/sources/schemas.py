@@ -149,7 +149,8 @@ def ingest_schema(msg_type: str) -> T.StructType:
     if msg_type == "split_summary_mesgs":
         return _merge([SPLIT_SUMMARY_SCHEMA])
     if msg_type == "file_id_mesgs":
-        return T.StructType([T.StructField(c, T.StringType()) for c in ["source_file"] + FILE_ID_COLUMNS])
+        numbers, times = ["number", "product", "serial_number"], ["time_created"]
+        return _struct(["source_file"] + [c for c in FILE_ID_COLUMNS if c not in numbers + times], times, numbers)
     if msg_type == "activity_mesgs":
         times = ["local_timestamp", "timestamp"]
         numbers = ["event_group", "num_sessions", "total_timer_time"]
