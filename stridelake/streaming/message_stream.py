@@ -1,53 +1,64 @@
 """Ingestion of new message files as a Structured Streaming job.
 
 The file source's checkpoint remembers which files were read, so a restart neither skips
-nor repeats one; a batch that is retried after a failure is safe because appended rows are
-de-duplicated by content against the activities already stored.
+nor repeats one. A batch appends the rows that the tables do not hold yet, whatever file they
+come from: a retried batch adds nothing, and a source that is split over batches loses nothing.
+Tables are partitioned by day, and a batch reads only the days it has rows of.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import messages as M
-from ..sources.sinks import write_table
+from ..sources.sinks import write_records, write_table
 
 MESSAGE_SCHEMA = "athlete_id string, source_file string, msg_type string, fields string"
+#: Column that gives a row's day; types without one are one undated partition.
+DAY_OF = {"record_mesgs": "timestamp", "session_mesgs": "timestamp", "activity_mesgs": "timestamp",
+          "split_mesgs": "start_time", "file_id_mesgs": "time_created"}
+UNDATED = "1900-01-01"
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(target) else None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def _same_days(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    """Stored rows that can equal one of ``rows``: those inside its span of time."""
-    if "timestamp" not in rows.columns:
-        return stored
-    low, high = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
-    undated = F.col("timestamp").isNull()
-    return stored.filter(undated if low is None else undated | F.col("timestamp").between(F.lit(low), F.lit(high)))
+def _dated(rows: DataFrame, msg_type: str) -> DataFrame:
+    day = F.to_date(DAY_OF[msg_type]) if msg_type in DAY_OF else F.lit(None)
+    return rows.withColumn("dt", F.coalesce(day, F.lit(UNDATED)).cast("date"))
 
 
 def append_batch(batch: DataFrame, base: str, msg_types: list[str] | None = None) -> None:
-    """Append a batch's unseen activities to the tables under ``base``.
+    """Append a batch's unseen rows to the tables under ``base``.
 
-    An activity's messages are expected in one file, as devices export them.
+    The batch is parsed once per type from one cached copy. Only its days (a distinct list, one value a
+    day) reach the driver, where they become a filter on the partition column of the stored table.
     """
     spark = batch.sparkSession
-    for msg_type in msg_types or M.S.MESSAGE_TYPES:
-        path = f"{base}/{msg_type}"
-        stored = _stored(spark, path)
-        of_type = batch.filter(F.col("msg_type") == msg_type)
-        fresh = M.not_yet_stored(of_type, {} if stored is None else {msg_type: stored})
-        rows = M.dedup(M.flatten_messages(fresh, msg_type).filter(~F.col("_bad")).drop("_bad"))
-        if stored is not None:
-            rows = M.without_stored(rows, _same_days(stored, rows))
-        write_table(rows, path)
+    batch.persist()
+    try:
+        for msg_type in msg_types or M.S.MESSAGE_TYPES:
+            path = f"{base}/{msg_type}"
+            rows = _dated(M.dedup(M.flatten_messages(batch, msg_type).filter(~F.col("_bad")).drop("_bad")), msg_type).persist()
+            days = [r.dt for r in rows.select("dt").distinct().collect()]
+            stored = _stored(spark, path) if days else None
+            new = rows
+            if stored is not None:
+                new = M.without_stored(rows, stored.filter(F.col("dt").isin(days)))
+            if days:
+                write_records(new, path) if msg_type == "record_mesgs" else write_table(new, path, ["dt"])
+            rows.unpersist()
+    finally:
+        batch.unpersist()
 
 
 def run_available(spark: SparkSession, source: str, base: str, checkpoint: str,

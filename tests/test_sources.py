@@ -122,5 +122,11 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     drop("1.json", [_msg("a.fit", _second(i)) for i in range(3)])
     assert run() == [("a.fit", 200.0), ("a.fit", 201.0), ("a.fit", 202.0)]
     drop("2.json", [_msg("b.fit", _second(0)), _msg("b.fit", _second(7)), _msg("a.fit", _second(8))])
-    want = [("a.fit", 200.0), ("a.fit", 201.0), ("a.fit", 202.0), ("b.fit", 207.0)]
+    # a source that is split over two batches loses nothing; a copy under another name adds nothing
+    want = [("a.fit", 200.0), ("a.fit", 201.0), ("a.fit", 202.0), ("a.fit", 208.0), ("b.fit", 207.0)]
     assert run() == want and run() == want
+    again = spark.createDataFrame([_msg("a.fit", _second(1)), _msg("c.fit", _second(9))], MSG)
+    for _ in range(2):  # a retried batch
+        message_stream.append_batch(again, base)
+    assert run() == [*want, ("c.fit", 209.0)]
+    assert "dt=" in str(list((tmp_path / "tables" / "record_mesgs").iterdir()))
