@@ -10,9 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import decontaminate, exact_dedup, quality, simhash
+from stridelake.llm import bpe, decontaminate, exact_dedup, quality, simhash
 from stridelake.llm.common import checkpoint_folder, read
-from stridelake.llm.queries import bpe_digest
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of each document's token ids, and digest of what they decode to."""
-    return bpe_digest(docs)
+    return bpe.round_trip(docs)
 
 
 STAGES = [

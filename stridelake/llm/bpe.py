@@ -21,21 +21,23 @@ tokens' strings in a text become their ids unless ``special`` is off.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import per_text, texts
 
 # fixed values: the pattern of the byte-level tokenizers, with Unicode classes
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -65,6 +67,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Ids of pieces as bytes; two generations, so that what is in use outlives a full table."""
+
+    def __init__(self, ids: Callable[[bytes], list[int]]) -> None:
+        super().__init__()
+        self.ids, self.older = ids, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece) or np.array(self.ids(piece.encode()), np.int32).tobytes()
+        if len(self) >= KNOWN:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class Transducer:
     """Encoder and decoder of one vocabulary file."""
 
@@ -82,8 +100,7 @@ class Transducer:
         self.rank = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
         self.made = [vocab[a + b] for a, b in pairs]
         self.lookahead = lookahead([(raw(a), raw(b)) for a, b in pairs])
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Pieces(self._short)
         names = sorted(self.special, key=len, reverse=True)
         self.cuts = regex.compile("|".join(map(regex.escape, names))) if names else None
 
@@ -106,19 +123,11 @@ class Transducer:
             to = edge.start() if edge else len(text)
             pieces = split.findall(text[at:to])
             at = to
-            new = set(pieces).difference(known)
-            if len(known) + len(new) > KNOWN:  # two generations: what is still in use moves on
-                self.older = known
-                known = self.known = {}
-                new = set(pieces)
-            long = {p for p in new if len(p) > SHORT}
-            for p in new - long:
-                known[p] = self.older.get(p) or np.array(self._short(p.encode()), np.int32).tobytes()
-            if not long:
+            if max(map(len, pieces)) <= SHORT:
                 yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
                 continue
             for p in pieces:
-                if p in long:
+                if len(p) > SHORT:
                     for ids in self.stream(p.encode()):
                         yield np.array(ids, np.int32)
                 else:
@@ -184,7 +193,7 @@ class Transducer:
                 heapq.heappush(heap, (r, h))
         return [x for x in ids if x >= 0]
 
-    def decode(self, ids: Iterable[int], chunk: int = 1 << 16) -> Iterator[str]:
+    def decode(self, ids: Iterable[int], chunk: int = 1 << 14) -> Iterator[str]:
         """Text of the ids, a part at a time; bytes of an unfinished character wait for the next part."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         known, rest = self.bytes_of, iter(ids)
@@ -238,3 +247,38 @@ def encode(docs: DataFrame, path: str | None = None, special: bool = True) -> Da
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, text) of (doc_id, ids)."""
     return encoded.select("doc_id", "ids", text_of(F.col("ids"), path or default_path()).alias("text"))
+
+
+_TRIP = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
+def round_trip(docs: DataFrame, path: str | None = None, special: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, encoded and decoded part by part.
+
+    The digests are those of the decimal ids joined by commas and of the decoded text in UTF-8. Tokens go
+    from the encoder to the decoder as they become stable, so neither ids nor text are ever held whole.
+    """
+    path = path or default_path()
+
+    def prepare() -> Callable[[int, bytes], list[tuple]]:
+        own = transducer(path)
+
+        def trip(doc_id: int, text: bytes) -> list[tuple]:
+            n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
+
+            def tokens() -> Iterator[int]:
+                nonlocal n
+                for part in own.encode(text.decode(), special):
+                    ids = part.tolist()
+                    if ids:
+                        ids_sha.update(("," if n else "").encode() + ",".join(map(str, ids)).encode())
+                        n += len(ids)
+                        yield from ids
+
+            for part in own.decode(tokens()):
+                text_sha.update(part.encode())
+            return [(doc_id, n, ids_sha.hexdigest(), text_sha.hexdigest())]
+
+        return trip
+
+    return per_text(texts(docs), None, _TRIP, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", prepare)

@@ -20,14 +20,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digest(read(spark, sf_dir, "documents"))
-
-
-def bpe_digest(docs: DataFrame) -> DataFrame:
-    back = bpe.decode(bpe.encode(docs))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       _sha(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
-                       _sha(F.col("text")).alias("decoded_sha256"))
+    return bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
 def _sha(text: Column) -> Column:
