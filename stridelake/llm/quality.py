@@ -28,6 +28,8 @@ from .common import texts
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, BINS, LEAF_ROWS, SHRINKAGE, LASSO = 40, 3, 64, 8, 0.3, 2e-3
 THRESHOLD = 0.3
+#: Words within which distinct ones are counted, so that long texts do not look repetitive.
+BLOCK = 64
 
 STATISTICS = [
     "size", "word_bytes", "marks", "bangs", "bars", "upper", "digits", "repeats", "distinct", "stops", "lines", "wide",
@@ -44,7 +46,7 @@ def _statistics(text: bytes) -> tuple[float, ...]:
         math.log1p(len(text)), (len(text) - (w - 1)) / w,
         c[[35, 36, 37, 38, 42, 60, 62, 94, 95, 126]].sum() / n, c[33] / w, c[124] / w,
         c[65:91].sum() / letters, c[48:58].sum() / n, sum(map(eq, words, islice(words, 1, None))) / w,
-        len(set(words)) / w, (c[46] + c[44]) / w, c[10] / n, c[128:].sum() / n,
+        sum(len(set(words[i : i + BLOCK])) for i in range(0, len(words), BLOCK)) / w, (c[46] + c[44]) / w, c[10] / n, c[128:].sum() / n,
     )
 
 
