@@ -84,3 +84,8 @@ def whole_or_dash(x: Column) -> Column:
 
 def title_words(name: Column) -> Column:
     return F.initcap(F.translate(name, "_", " "))
+
+
+def exercise_key(name: Column) -> Column:
+    """Stored form of an exercise name: trimmed, lower case, underscores for blanks."""
+    return F.translate(F.lower(F.trim(name)), " ", "_")

@@ -176,10 +176,23 @@ def best_chart_curve(sessions: DataFrame, curves: DataFrame, records: DataFrame,
     return kept.unionByName(best_extra).groupBy("athlete_id", "duration_s").agg(F.max("watts").alias("watts"))
 
 
+def to_process(sessions: DataFrame, stored: DataFrame, processed: DataFrame | None = None) -> DataFrame:
+    """Activities without stored curve rows that were not looked at before either.
+
+    ``processed`` are the activities of earlier runs, with or without a curve; append the result to it
+    with the curves, so rides that are too short or have no power are not read again.
+    """
+    done = stored.select(*ACTIVITY)
+    if processed is not None:
+        done = done.union(processed.select(*ACTIVITY))
+    return sessions.select(*ACTIVITY).distinct().join(done.distinct(), ACTIVITY, "left_anti")
+
+
 def extend_curves(sessions: DataFrame, records: DataFrame, stored: DataFrame,
-                  durations: list[int] | None = None, order: list[str] | None = None) -> DataFrame:
-    """Curve rows of activities that have none stored yet; append them to the table."""
-    new = sessions.select(*ACTIVITY).distinct().join(stored.select(*ACTIVITY).distinct(), ACTIVITY, "left_anti")
+                  durations: list[int] | None = None, order: list[str] | None = None,
+                  processed: DataFrame | None = None) -> DataFrame:
+    """Curve rows of activities that are still ``to_process``; append them to the table."""
+    new = to_process(sessions, stored, processed)
     return mean_max_curve(records.join(new, ACTIVITY, "left_semi"), durations, order)
 
 

@@ -17,10 +17,6 @@ BODY_WEIGHT_PLUS = ["pull_ups", "dips", "pullups", "chin_ups"]
 BODY_WEIGHT = 133.0
 
 
-def exercise_key(name: Column) -> Column:
-    return F.translate(F.lower(F.trim(name)), " ", "_")
-
-
 def exploded_sets(workouts: DataFrame, body_weight: float = BODY_WEIGHT) -> DataFrame:
     """One row per set with its place in the log and the weight that counts."""
     exercises = workouts.select(OWNER, "log_seq", "date", "body_weight", F.posexplode("exercises").alias("ex_pos", "e"))

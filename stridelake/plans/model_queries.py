@@ -13,7 +13,7 @@ from ..operators import critical_power as C
 from ..operators import power as P
 from ..session import cut_lineage
 from . import views as V
-from .power_queries import LAP_CURVE, ORDER, POWER, curve_cte, cycling, lap_curves
+from .power_queries import LAP_CURVE, LONG_POWER, ORDER, POWER, curve_cte, cycling, lap_curves
 
 RIDE_DURATIONS = [5, 10, 15, 20, 30, 40]
 RIDE_RANGE = (5, 40)
@@ -33,39 +33,44 @@ def ride_curves(spark, sf_dir):
     return P.mean_max_curve(V.telemetry(spark, sf_dir), RIDE_DURATIONS, ORDER)
 
 
+def long_curves(spark, sf_dir):
+    return P.mean_max_curve(V.long_rides(spark, sf_dir), P.CURVE_DURATIONS, ORDER)
+
+
 def cp_fit(spark, sf_dir):
-    sessions, curves = V.ride_sessions(spark, sf_dir), ride_curves(spark, sf_dir)
+    sessions, curves = V.long_sessions(spark, sf_dir), long_curves(spark, sf_dir)
     best = P.best_curve(sessions, curves, "2024-02-01", 3)
-    return C.fit(best, ["athlete_id"], RIDE_RANGE).drop("cp_exact", "wprime_exact")
+    return C.fit(best, ["athlete_id"]).drop("cp_exact", "wprime_exact")
 
 
-CP_SQL = V.with_views("telemetry", body=f"""{POWER}, {curve_cte(RIDE_DURATIONS)},
+CP_SQL = V.with_views("long_rides", body=f"""{LONG_POWER}, {curve_cte(P.CURVE_DURATIONS)},
 f as (select athlete_id, {FIT} from curve group by 1)
 select athlete_id, points, {FIT_OUT} from f""")
 
 
 def cp_fit_points(spark, sf_dir):
-    curves = ride_curves(spark, sf_dir)
-    fits = C.fit(curves, ["athlete_id"], RIDE_RANGE)
-    return C.fitted_points(curves, fits, ["athlete_id"], RIDE_RANGE).withColumn("watts", F.round("watts", 6))
+    curves = long_curves(spark, sf_dir)
+    fits = C.fit(curves, ["athlete_id"])
+    return C.fitted_points(curves, fits, ["athlete_id"]).withColumn("watts", F.round("watts", 6))
 
 
-CP_POINTS_SQL = V.with_views("telemetry", body=f"""{POWER}, {curve_cte(RIDE_DURATIONS)},
+CP_POINTS_SQL = V.with_views("long_rides", body=f"""{LONG_POWER}, {curve_cte(P.CURVE_DURATIONS)},
 f as (select athlete_id, {FIT} from curve group by 1)
 select athlete_id, duration_s, round(watts, 6) watts, round_even(c + w / duration_s, 1) fitted_watts
 from curve join f using (athlete_id) where points >= 3 and w >= 0""")
 
 
-def cp_over_time(spark, sf_dir):
-    return C.over_time(cycling(spark, sf_dir), lap_curves(spark, sf_dir), 6, LAP_RANGE)
+def _over_time(months):
+    return lambda spark, sf_dir: C.over_time(cycling(spark, sf_dir), lap_curves(spark, sf_dir), months, LAP_RANGE)
 
 
-OVER_TIME_SQL = V.with_views("sessions", "lap_points", body=f"""{LAP_CURVE},
+def _over_time_sql(months):
+    return V.with_views("sessions", "lap_points", body=f"""{LAP_CURVE},
 ride as (select athlete_id, source_file, cast("timestamp" as date) AS day from sessions where sport = 'cycling'),
-pt as (select athlete_id, unnest(generate_series(date_trunc('month', min(day) + 180), date_trunc('month', max(day)), interval 1 month))::date "date"
-  from ride group by 1 having min(day) + 180 <= max(day)),
+pt as (select athlete_id, unnest(generate_series(date_trunc('month', min(day) + {30 * months}), date_trunc('month', max(day)), interval 1 month))::date "date"
+  from ride group by 1 having min(day) + {30 * months} <= max(day)),
 best as (select pt.athlete_id, pt."date", duration_s, max(watts) watts from pt
-  join ride r on r.athlete_id = pt.athlete_id and r.day between pt."date" - 180 and pt."date"
+  join ride r on r.athlete_id = pt.athlete_id and r.day between pt."date" - {30 * months} and pt."date"
   join lap_curve c on c.athlete_id = r.athlete_id and c.source_file = r.source_file group by 1, 2, 3),
 f as (select athlete_id, "date", {FIT} from best group by 1, 2)
 select athlete_id, "date", {FIT_OUT} from f where points >= 3 and w >= 0""")
@@ -298,7 +303,8 @@ from an left join bt using (athlete_id, variant, dep, term)""")
 QUERIES = {
     "cp_fit": (cp_fit, CP_SQL),
     "cp_fit_points": (cp_fit_points, CP_POINTS_SQL),
-    "cp_over_time": (cp_over_time, OVER_TIME_SQL),
+    "cp_over_time": (_over_time(6), _over_time_sql(6)),
+    **{f"cp_over_time_{m}": (_over_time(m), _over_time_sql(m)) for m in (3, 9, 12)},
     "wprime_balance": (wprime_balance, BALANCE_SQL),
     "wprime_summary": (wprime_summary, BALANCE_SUMMARY_SQL),
     "monthly_peaks": (monthly_peaks, MONTHLY_SQL),

@@ -1,4 +1,4 @@
-"""Per-second power over the telemetry view; ride lengths call for short durations."""
+"""Per-second power: module defaults over long rides, short durations over many short rides."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ from ..sources import tables as R
 from . import views as V
 
 ORDER = ["timestamp", "event_id"]
-PEAKS = {2: "2s", 3: "3s", 5: "5s", 10: "10s", 15: "15s", 20: "20s", 30: "30s", 60: "1min", 80: "80s"}
-SPARSE = [1, 2, 3, 5, 10, 15, 20, 30, 45, 60]
-DENSE = list(range(2, 81))
+PEAKS, SPARSE, DENSE = P.PEAK_DURATIONS, P.CHART_DURATIONS, P.CURVE_DURATIONS
 LAP_DURATIONS = [1, 2, 3, 4, 5, 6]
 
 POWER = """pw as (
@@ -20,6 +18,7 @@ POWER = """pw as (
     count(power) over (partition by athlete_id, source_file) np
   from telemetry window w as (partition by athlete_id, source_file order by "timestamp", event_id)),
 ok as (select * from pw where np > 0)"""
+LONG_POWER = POWER.replace("from telemetry", "from long_rides")
 
 
 def curve_cte(durations, name="curve", source="ok"):
@@ -56,11 +55,18 @@ def power_repair(spark, sf_dir):
 REPAIR_SQL = V.with_views("telemetry", body=f'{POWER} select athlete_id, source_file, "timestamp", event_id, seq, p power from ok')
 
 
+def power_repair_long(spark, sf_dir):
+    return P.power_series(V.long_rides(spark, sf_dir), ORDER)
+
+
+REPAIR_LONG_SQL = V.with_views("long_rides", body=f'{LONG_POWER} select athlete_id, source_file, "timestamp", event_id, seq, p power from ok')
+
+
 def peak_powers(spark, sf_dir):
-    return P.peak_powers(V.telemetry(spark, sf_dir), PEAKS, ORDER)
+    return P.peak_powers(V.long_rides(spark, sf_dir), PEAKS, ORDER)
 
 
-PEAK_SQL = V.with_views("telemetry", body=f"""{POWER}, {curve_cte(PEAKS)},
+PEAK_SQL = V.with_views("long_rides", body=f"""{LONG_POWER}, {curve_cte(PEAKS)},
 rides as (select distinct athlete_id, source_file from ok),
 names as (select * from (values {", ".join(f"({d}, '{n}')" for d, n in PEAKS.items())}) n(d, label))
 select r.athlete_id, r.source_file, cast(d as int) duration_s, label duration, cast(round_even(watts, 0) as bigint) watts
@@ -68,18 +74,18 @@ from rides r cross join names left join curve c on r.athlete_id = c.athlete_id a
 
 
 def power_curve_sparse(spark, sf_dir):
-    return P.chart_curve(V.telemetry(spark, sf_dir), SPARSE, ORDER)
+    return P.chart_curve(V.long_rides(spark, sf_dir), SPARSE, ORDER)
 
 
-SPARSE_SQL = V.with_views("telemetry", body=f"""{POWER}, {curve_cte(SPARSE)}
+SPARSE_SQL = V.with_views("long_rides", body=f"""{LONG_POWER}, {curve_cte(SPARSE)}
 select athlete_id, source_file, duration_s, cast(round_even(watts, 0) as bigint) watts from curve""")
 
 
 def power_curve_dense(spark, sf_dir):
-    return P.mean_max_curve(V.telemetry(spark, sf_dir), DENSE, ORDER).withColumn("watts", F.round("watts", 6))
+    return P.mean_max_curve(V.long_rides(spark, sf_dir), DENSE, ORDER).withColumn("watts", F.round("watts", 6))
 
 
-DENSE_SQL = V.with_views("telemetry", body=f"""{POWER}, {curve_cte(DENSE)}
+DENSE_SQL = V.with_views("long_rides", body=f"""{LONG_POWER}, {curve_cte(DENSE)}
 select athlete_id, source_file, duration_s, round(watts, 6) watts from curve""")
 
 
@@ -148,6 +154,7 @@ from z cross join names group by athlete_id, source_file, ftp, i, zone_name""")
 
 QUERIES = {
     "power_repair": (power_repair, REPAIR_SQL),
+    "power_repair_long": (power_repair_long, REPAIR_LONG_SQL),
     "peak_powers": (peak_powers, PEAK_SQL),
     "power_curve_sparse": (power_curve_sparse, SPARSE_SQL),
     "power_curve_dense": (power_curve_dense, DENSE_SQL),

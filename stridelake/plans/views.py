@@ -87,6 +87,11 @@ TELEMETRY = [
     ("enhanced_altitude", f"case when event_id % 19 = 0 or (day(ts) = 1 and event_id % 3 = 0) then null else cast({CLIMB_CM} as double) / 100 end"),
 ]
 
+# events in a row as rides of up to 80,000 points, longer than one chunk of the power series
+LONG_RIDE = "cast(cast(floor(event_id / 80000) as bigint) as string)"
+LONG_RIDES = [(n, f"concat('long-', {LONG_RIDE})" if n == "source_file" else f"concat('rider-', {LONG_RIDE})" if n == "athlete_id" else e)
+              for n, e in TELEMETRY]
+
 LAP_POINTS = [
     ("athlete_id", ATHLETE),
     ("source_file", "cast(o_orderkey as string)"),
@@ -161,6 +166,16 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*_project(TELEMETRY))
 
 
+def long_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(*_project(LONG_RIDES))
+
+
+def long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session of each long ride; all began within the same month."""
+    rides = long_rides(spark, sf_dir)
+    return rides.groupBy("athlete_id", "source_file").agg(F.min("timestamp").alias("timestamp"))
+
+
 def ride_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = {"athlete_id", "source_file", "sport"}
     aggs = [F.expr(e).alias(n) for n, e in RIDE_SESSIONS_GROUP if n not in keys]
@@ -244,6 +259,7 @@ CTE: dict[str, str] = {
                cast(sum(cast(round(l_extendedprice) as bigint)) as bigint) ext
         from lineitem group by l_orderkey) li on o_orderkey = l_orderkey""",
     "telemetry": f"select {_sql(TELEMETRY)} from events",
+    "long_rides": f"select {_sql(LONG_RIDES)} from events",
     "ride_sessions": f"select {_sql(RIDE_SESSIONS_GROUP)} from events group by user_id",
     "lap_points": f"select {_sql(LAP_POINTS)} from lineitem join orders on l_orderkey = o_orderkey where ({SPORT}) = 'cycling'",
     "splits": f"select {_sql(SPLITS)} from lineitem join orders on l_orderkey = o_orderkey",

@@ -84,3 +84,21 @@ def test_incremental_curve_skips_stored_activities(spark):
     stored = P.mean_max_curve(records.filter("source_file = 'long'"), [1, 2])
     got = P.extend_curves(sessions, records, stored, [1, 2]).collect()
     assert {r.source_file for r in got} == {"short", "one"}
+
+
+def test_second_incremental_run_has_no_work(spark):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    points = [("a", "long", t0 + dt.timedelta(seconds=i), 200.0) for i in range(10)]
+    points += [("a", "short", t0 + dt.timedelta(seconds=i), 200.0) for i in range(2)]
+    points += [("a", "none", t0 + dt.timedelta(seconds=i), None) for i in range(10)]
+    records = spark.createDataFrame(points, "athlete_id string, source_file string, timestamp timestamp_ntz, power double")
+    sessions = records.select("athlete_id", "source_file").distinct()
+    empty = spark.createDataFrame([], "athlete_id string, source_file string, duration_s int, watts double")
+    first = P.to_process(sessions, empty)
+    curves = P.extend_curves(sessions, records, empty, [5])
+    assert [r.source_file for r in curves.collect()] == ["long"] and first.count() == 3
+    assert P.to_process(sessions, curves).count() == 2  # without the table they come up for ever
+    assert P.to_process(sessions, curves, first).count() == 0
+    assert P.extend_curves(sessions, records, curves, [5], processed=first).count() == 0

@@ -44,3 +44,18 @@ def test_upsert_extends_the_first_workout_of_a_date(spark):
 def test_detail_text(spark):
     got = {r.exercise: r.sets for r in O.workout_detail(_log(spark, ENTRIES[:1])).collect()}
     assert got == {"Squat": "20x100lb | 1x110lb", "Pull Ups": "5xBW | 5x10lb"}
+
+
+def test_workout_log_file(spark, tmp_path):
+    import json
+
+    from stridelake.sources.workout_files import read_workouts
+
+    log = [{"date": "2024-01-02", "body_weight": 140.0, "exercises": [{"name": " Bench Press", "sets": [{"set": 1, "weight": 100, "reps": 5}]}]},
+           {"date": "2024-01-03", "exercises": []}]
+    (tmp_path / "log.json").write_text(json.dumps(log))
+    (tmp_path / "other.json").write_text("[1, 2")
+    got = read_workouts(spark, str(tmp_path), "a")
+    assert [(r.date, r.body_weight) for r in got.orderBy("date").collect()] == [("2024-01-02", 140.0), ("2024-01-03", None)]
+    assert [(r.name, r.lifted, r.reps) for r in O.exploded_sets(got).collect()] == [("bench_press", 100.0, 5)]
+    assert read_workouts(spark, str(tmp_path / "none"), "a").count() == 0
