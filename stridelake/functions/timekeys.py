@@ -26,6 +26,16 @@ def utc_date(ts: Column | str) -> Column:
     return F.to_date(ts.cast("timestamp_ntz"))
 
 
+def near_days(ts: str, first: Column, last: Column | None = None) -> Column:
+    """Bound on the bare timestamp, a day wider than the days in any zone.
+
+    It stands beside an exact filter on a computed date, because only bounds on a stored
+    column reach the reader.
+    """
+    bound = F.col(ts) >= F.date_sub(first, 1).cast("timestamp_ntz")
+    return bound if last is None else bound & (F.col(ts) < F.date_add(last, 2).cast("timestamp_ntz"))
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     """Elapsed seconds of two zoneless timestamps, whatever the session's zone is."""
     gap = end - start

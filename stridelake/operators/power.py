@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rint, rnd
-from ..functions.timekeys import as_date, utc_date
+from ..functions.timekeys import as_date, near_days, utc_date
 from ..session import shuffle_width
 from . import series
 from .series import ACTIVITY
@@ -144,10 +144,8 @@ def in_window(sessions: DataFrame, as_of: date | str, period_months: int | None)
     """Sessions of the last ``period_months`` blocks of 30 days by UTC date; None keeps all."""
     if period_months is None:
         return sessions
-    day = utc_date("timestamp")
-    return sessions.filter(
-        (day >= F.date_sub(as_date(as_of), period_months * DAYS_PER_MONTH)) & (day <= as_date(as_of))
-    )
+    day, first, last = utc_date("timestamp"), F.date_sub(as_date(as_of), period_months * DAYS_PER_MONTH), as_date(as_of)
+    return sessions.filter(near_days("timestamp", first, last) & (day >= first) & (day <= last))
 
 
 def best_curve(sessions: DataFrame, curves: DataFrame, as_of: date | str,

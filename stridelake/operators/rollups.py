@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import hours, miles, rint, rnd
 from ..functions.text import clock
-from ..functions.timekeys import DEFAULT_TZ, local_date, period_keys, period_label
+from ..functions.timekeys import DEFAULT_TZ, as_date, local_date, near_days, period_keys, period_label
 
 # Display names and column order of sports.
 RENAMED = {"training": "weight_lifting"}
@@ -134,7 +134,8 @@ def year_to_date(sessions: DataFrame, as_of: date | str, tz: str = DEFAULT_TZ) -
     """
     day = date.fromisoformat(str(as_of))
     weeks = max((day - date(day.year, 1, 1) + timedelta(days=1)).days / 7, 1)
-    this_year = sessions.filter(F.year(local_date("timestamp", tz)) == day.year).select(
+    bound = near_days("timestamp", as_date(date(day.year, 1, 1)), as_date(date(day.year, 12, 31)))
+    this_year = sessions.filter(bound & (F.year(local_date("timestamp", tz)) == day.year)).select(
         OWNER, renamed_sport(F.col("sport")).alias("sport"), "total_timer_time"
     )
     rolled = this_year.groupingSets([[OWNER, "sport"], [OWNER]], OWNER, "sport").agg(

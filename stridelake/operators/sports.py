@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
-from ..functions.timekeys import DEFAULT_TZ, MISSING, as_date, iso, local_date, season_label, to_local, utc_date
+from ..functions.timekeys import DEFAULT_TZ, MISSING, as_date, iso, local_date, near_days, season_label, to_local, utc_date
 from . import series
 
 OWNER = "athlete_id"
@@ -263,26 +263,26 @@ def _number(x: Column) -> Column:
 
 def recent_rides(rides: DataFrame, as_of: date | str, tz: str = DEFAULT_TZ) -> DataFrame:
     """Rides of the last 182 days by UTC date."""
-    local = to_local("timestamp", tz)
+    local, cutoff = to_local("timestamp", tz), F.date_sub(as_date(as_of), RECENT_DAYS)
     label = F.concat(
         iso(F.to_date(local)), F.lit(f" {MISSING} "),
         _number(N.rnd(N.miles(F.col("total_distance")), 1)), F.lit(" mi, "),
         _number(N.rnd(N.hours(F.col("total_timer_time")), 1)), F.lit(" hr"),
     )
     return (
-        rides.filter(utc_date("timestamp") >= F.date_sub(as_date(as_of), RECENT_DAYS))
+        rides.filter(near_days("timestamp", cutoff) & (utc_date("timestamp") >= cutoff))
         .select(OWNER, "source_file", local.alias("local_timestamp"), label.alias("label"))
     )
 
 
 def _recent_on_foot(sessions: DataFrame, as_of, tz: str, digits: int) -> DataFrame:
-    local = to_local("timestamp", tz)
+    local, cutoff = to_local("timestamp", tz), F.date_sub(as_date(as_of), RECENT_DAYS)
     distance = N.rnd(N.miles(N.truthy(F.col("total_distance"))), digits)
     label = F.concat(
         iso(F.to_date(local)), F.lit(f" {MISSING} "), F.coalesce(_number(distance), F.lit("0")), F.lit(" mi")
     )
     return (
-        sessions.filter(F.to_date(local) >= F.date_sub(as_date(as_of), RECENT_DAYS))
+        sessions.filter(near_days("timestamp", cutoff) & (F.to_date(local) >= cutoff))
         .select(OWNER, "source_file", local.alias("local_timestamp"), label.alias("label"))
     )
 

@@ -57,10 +57,19 @@ def within_lookback(df: DataFrame, table: str, as_of: date | str) -> DataFrame:
     return df.filter(F.col(column) >= bound)
 
 
+def within_folders(df: DataFrame, table: str, as_of: date | str) -> DataFrame:
+    """Day folders that can hold rows of the lookback; a day earlier, since ``dt`` may be a local day."""
+    if table not in LOOKBACK or "dt" not in df.columns:
+        return df
+    return df.filter(F.col("dt") >= F.date_sub(as_date(as_of), LOOKBACK[table][1] + 1))
+
+
 def scan(df: DataFrame, table: str, as_of: date | str | None = None,
          columns: list[str] | None = None) -> DataFrame:
     """Projected scan. As in the stored-table contract, the lookback needs its date column
-    to be among the projected ones."""
+    to be among the projected ones. Day folders are pruned whether or not ``dt`` is."""
+    if as_of is not None:
+        df = within_folders(df, table, as_of)
     if columns is not None:
         df = df.select(*[c for c in columns if c in df.columns])
     elif table == "record_mesgs":
