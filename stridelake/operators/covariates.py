@@ -5,8 +5,11 @@ A group is one athlete and variant with one row per calendar month.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,14 +266,32 @@ def correlations(rows: DataFrame, labels: list[str]) -> DataFrame:
     )
 
 
-def draw(b: Column, j: Column, n: Column, seed: int = SEED) -> Column:
+def draw(b: np.ndarray, j: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
     """Month drawn by replicate ``b`` at place ``j``: an integer hash of the three numbers,
     so the result does not depend on partitioning or retries."""
-    top = F.lit(1 << 32)
-    x = (b * 7919 + j * 104729 + F.lit(seed * 15485863)) % top
+    top = 1 << 32
+    x = (b * 7919 + j * 104729 + seed * 15485863) % top
     for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftright(x, 16)) * 73244475) % top
-    return x.bitwiseXOR(F.shiftright(x, 16)) % n
+        x = ((x ^ (x >> 16)) * 73244475) % top
+    return (x ^ (x >> 16)) % n
+
+
+def _drawn_sums(group: list[str], names: list[str], replicates: int, seed: int):
+    """Sums of every replicate of a slice: one gather and one sum of a (replicate, place, part) block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                m = np.array([list(v) for v in row["m"]], float)
+                b = np.arange(row["slice"] * SLICE, min((row["slice"] + 1) * SLICE, replicates), dtype=np.int64)
+                picked = draw(b[:, None], np.arange(len(m), dtype=np.int64)[None, :], len(m), seed)
+                out = pd.DataFrame(np.nansum(m[picked], axis=1), columns=names)
+                out.insert(0, "n", np.int64(len(m)))
+                for k, g in enumerate(group):
+                    out.insert(k, g, row[g])
+                yield out
+
+    return run
 
 
 def bootstrap(rows: DataFrame, labels: list[str], fits: DataFrame, replicates: int = BOOTSTRAP,
@@ -278,8 +299,8 @@ def bootstrap(rows: DataFrame, labels: list[str], fits: DataFrame, replicates: i
     """Case-resampling distribution of every coefficient.
 
     The months of a group ride along as one short array. Replicates are generated in
-    slices over the cluster, and the draws of a replicate are summed where they are
-    generated, so only one row of sums per replicate is shuffled. Where the drawn months
+    slices over the cluster and summed where they are generated, so only one row of sums per
+    replicate is shuffled. Where the drawn months
     leave the slopes undetermined the solution of smallest norm counts.
     """
     p, q = F.coalesce("x1", F.lit(0.0)), F.coalesce("x2", F.lit(0.0))
@@ -296,18 +317,12 @@ def bootstrap(rows: DataFrame, labels: list[str], fits: DataFrame, replicates: i
         F.transform(F.sort_array(F.collect_list(F.struct("month", "v"))), lambda m: m["v"]).alias("m")
     )
     slices = -(-replicates // SLICE)
-    # the exchange also fixes the array: below it the generators would rebuild it per draw
     cut = months.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(
         shuffle_width(rows), OWNER, "variant", "slice"
     )
-    first = F.col("slice") * SLICE
-    last = F.least(first + SLICE - 1, F.lit(replicates - 1))
-    by_rep = cut.select(*group, "m", F.size("m").cast("bigint").alias("n"), F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("b"))
-    draws = by_rep.select(*group, "b", "n", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
-    picked = draws.select(*group, "b", F.get("m", draw(F.col("b"), F.col("j"), F.col("n"), seed).cast("int")).alias("v"))
-    gram = picked.groupBy(*group, "b").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.get("v", F.lit(i))).alias(name) for i, name in enumerate(parts)]
-    )
+    # the draws of a slice are summed where they are made: nothing is shuffled in between
+    schema = f"{OWNER} string, variant string, h1 boolean, h2 boolean, n bigint, " + ", ".join(f"`{k}` double" for k in parts)
+    gram = cut.select(*group, "m", "slice").mapInPandas(_drawn_sums(group, list(parts), replicates, seed), schema)
     n, sp, sq = F.col("n"), F.col("p"), F.col("q")
     shared = gram.select(
         *group, "n", (sp / n).alias("a1"), (sq / n).alias("a2"), "p", "q",

@@ -20,7 +20,7 @@ RIDE_RANGE = (5, 40)
 LAP_RANGE = (1, 6)
 PEAKS = {1: "p1", 2: "p2", 3: "p3"}
 LABELS = list(PEAKS.values())
-REPLICATES = 200
+REPLICATES = K.BOOTSTRAP
 
 FIT = """count(*) points, regr_slope(watts, 1.0 / duration_s) w, regr_intercept(watts, 1.0 / duration_s) c,
   regr_r2(watts, 1.0 / duration_s) r2, max(watts) = min(watts) flat"""
