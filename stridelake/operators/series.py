@@ -16,6 +16,9 @@ An activity shorter than a chunk, the usual case, has one chunk and no copies.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,17 @@ CHUNK_ROWS = 65_536
 ACTIVITY = ["athlete_id", "source_file"]
 
 
+@contextmanager
+def chunk_rows(n: int) -> Iterator[None]:
+    """Plans made inside cut their series into chunks of ``n`` rows; results are the same for any ``n``."""
+    global CHUNK_ROWS
+    before, CHUNK_ROWS = CHUNK_ROWS, n
+    try:
+        yield
+    finally:
+        CHUNK_ROWS = before
+
+
 def hour_bucket(ts: str = "timestamp") -> Column:
     """Hour of a timestamp; rows without one sort first."""
     return F.coalesce(F.date_trunc("hour", F.col(ts)), F.lit("0001-01-01").cast("timestamp"))

@@ -306,6 +306,7 @@ QUERIES = {
     "cp_over_time": (_over_time(6), _over_time_sql(6)),
     **{f"cp_over_time_{m}": (_over_time(m), _over_time_sql(m)) for m in (3, 9, 12)},
     "wprime_balance": (wprime_balance, BALANCE_SQL),
+    "wprime_balance_small_chunks": (V.small_chunks(wprime_balance), BALANCE_SQL),
     "wprime_summary": (wprime_summary, BALANCE_SUMMARY_SQL),
     "monthly_peaks": (monthly_peaks, MONTHLY_SQL),
     "sleep_covariate": (sleep_covariate, SLEEP_SQL),

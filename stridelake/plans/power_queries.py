@@ -154,6 +154,7 @@ from z cross join names group by athlete_id, source_file, ftp, i, zone_name""")
 
 QUERIES = {
     "power_repair": (power_repair, REPAIR_SQL),
+    "power_repair_small_chunks": (V.small_chunks(power_repair), REPAIR_SQL),
     "power_repair_long": (power_repair_long, REPAIR_LONG_SQL),
     "peak_powers": (peak_powers, PEAK_SQL),
     "power_curve_sparse": (power_curve_sparse, SPARSE_SQL),

@@ -148,8 +148,10 @@ QUERIES = {
     "route_points": (route_points, POINTS_SQL),
     "route_center": (route_center, CENTER_SQL),
     "elevation_profile": (elevation_profile, PROFILE_SQL),
+    "elevation_profile_small_chunks": (V.small_chunks(elevation_profile), PROFILE_SQL),
     "route_grade": (route_grade, GRADE_SQL),
     "climb_segments": (climb_segments, SEGMENTS_SQL),
     "climbs": (merged_climbs, CLIMBS_SQL),
+    "climbs_small_chunks": (V.small_chunks(merged_climbs), CLIMBS_SQL),
     "climb_route_points": (climb_route_points, CLIMB_POINTS_SQL),
 }

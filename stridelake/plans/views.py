@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.series import chunk_rows
+
 AS_OF = "2001-06-15"
 ATHLETE = "cast(cast(floor(o_custkey / 20) as bigint) as string)"
 SESSION_TS = "o_orderdate + (o_orderkey % 24) * INTERVAL '1' HOUR + (o_orderkey % 60) * INTERVAL '1' MINUTE"
@@ -282,3 +284,11 @@ def with_views(*names: str, body: str) -> str:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+def small_chunks(query: Query, rows: int = 13) -> Query:
+    """``query`` with series cut every few rows, so short rides cross many chunk edges."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with chunk_rows(rows):
+            return query(spark, sf_dir)
+    return run
