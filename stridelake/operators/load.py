@@ -46,13 +46,16 @@ def training_days(rides: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
     )
 
 
-def _spread(days: DataFrame, end: Column, *decaying: str) -> DataFrame:
+def _spread(days: DataFrame, end: Column, *decaying: str, since: date | str | None = None) -> DataFrame:
     """One row per calendar day from each training day to the next (or ``end``); ``offset``
-    counts days since the training day."""
+    counts days since the training day. Days before ``since`` are not made at all."""
     following = F.lead("date").over(Window.partitionBy(OWNER).orderBy("date"))
     until = F.coalesce(F.date_sub(following, 1), end)
-    gap = F.sequence(F.lit(0), F.datediff(until, "date"))
-    return days.select(OWNER, "date", "tss", *decaying, gap.alias("_gap")).select(
+    begin = F.lit(0) if since is None else F.greatest(F.lit(0), F.datediff(as_date(since), "date"))
+    staged = days.select(OWNER, "date", "tss", *decaying, until.alias("_until"))
+    if since is not None:
+        staged = staged.filter(F.col("_until") >= as_date(since))
+    return staged.select(OWNER, "date", "tss", *decaying, F.sequence(begin, F.datediff("_until", "date")).alias("_gap")).select(
         OWNER, F.explode("_gap").alias("offset"), F.col("date").alias("_from"), "tss", *decaying
     ).select(
         OWNER, F.date_add("_from", F.col("offset")).alias("date"), "offset",
@@ -117,12 +120,16 @@ def _decayed(rows: DataFrame, alphas: dict[str, float]) -> DataFrame:
 
 
 def training_load(days: DataFrame, as_of: date | str, ctl_days: int = CTL_DAYS, atl_days: int = ATL_DAYS,
-                  horizon: int = PROJECTION_DAYS) -> DataFrame:
-    """Fitness (ctl), fatigue (atl) and form (tsb) for every day, seeded at zero."""
+                  horizon: int = PROJECTION_DAYS, since: date | str | None = None) -> DataFrame:
+    """Fitness (ctl), fatigue (atl) and form (tsb) for every day, seeded at zero.
+
+    ``since`` limits the rows, not the history they rest on: training days are solved
+    without the days between them, so a window costs the days it shows.
+    """
     alphas = _alphas(ctl_days, atl_days)
     end = F.date_add(as_date(as_of), horizon)
     solved = _on_training_days(days.filter(F.col("date") <= end), alphas)
-    dense = _decayed(_spread(solved, end, *alphas), alphas)
+    dense = _decayed(_spread(solved, end, *alphas, since=since), alphas)
     return dense.select(
         OWNER, "date", "tss", (F.col("date") > as_date(as_of)).alias("is_projection"),
         "ctl", "atl", (F.col("ctl") - F.col("atl")).alias("tsb"),
@@ -226,10 +233,12 @@ def load_comparison(load: DataFrame, projected: DataFrame, as_of: date | str,
 
 def display_window(load: DataFrame, as_of: date | str, months: int | None) -> DataFrame:
     """Rows from ``months`` blocks of 30 days before the first of the month; None keeps all."""
-    if months is None:
-        return load
-    day = date.fromisoformat(str(as_of)).replace(day=1) - timedelta(days=30 * months)
-    return load.filter(F.col("date") >= as_date(day))
+    return load if months is None else load.filter(F.col("date") >= as_date(window_start(as_of, months)))
+
+
+def window_start(as_of: date | str, months: int) -> date:
+    """First day of a display window; also ``training_load``'s ``since`` for it."""
+    return date.fromisoformat(str(as_of)).replace(day=1) - timedelta(days=30 * months)
 
 
 def latest_days(load: DataFrame, n: int) -> DataFrame:

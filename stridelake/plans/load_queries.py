@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from ..operators import load as L
@@ -98,7 +100,7 @@ select athlete_id, day "date", round(f + 1e-9, 6) tss_forecast, is_projection, r
 
 def load_comparison(spark, sf_dir):
     days = _days(spark, sf_dir)
-    found = L.load_comparison(L.training_load(days, V.AS_OF), L.forecast(days, V.AS_OF, overrides(spark, sf_dir)), V.AS_OF)
+    found = L.load_comparison(L.training_load(days, V.AS_OF, since=V.AS_OF), L.forecast(days, V.AS_OF, overrides(spark, sf_dir)), V.AS_OF)
     return _rounded(found, "current", "forecast", "delta")
 
 
@@ -114,7 +116,7 @@ select athlete_id, metric, round(c + 1e-9, 6) "current", round(f + 1e-9, 6) fore
 
 
 def load_window(spark, sf_dir):
-    load = L.training_load(_days(spark, sf_dir), V.AS_OF)
+    load = L.training_load(_days(spark, sf_dir), V.AS_OF, since=L.window_start(V.AS_OF, 6))
     return _rounded(L.display_window(load, V.AS_OF, 6), "tss", "ctl", "atl", "tsb")
 
 
@@ -124,7 +126,7 @@ where day >= date_trunc('month', date '{V.AS_OF}') - interval 180 day""")
 
 
 def load_last_days(spark, sf_dir):
-    load = L.training_load(_days(spark, sf_dir), V.AS_OF)
+    load = L.training_load(_days(spark, sf_dir), V.AS_OF, since=date.fromisoformat(V.AS_OF) - timedelta(days=42))
     return _rounded(L.latest_days(load, 42).select("athlete_id", "date", "tss", "ctl"), "tss", "ctl")
 
 
