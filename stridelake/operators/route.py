@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import FEET_PER_METRE, METRES_PER_MILE, degrees, feet, miles, mph, rint, rnd
 from ..functions.timekeys import seconds_between
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_width
 from . import series
 from .series import ACTIVITY
 
@@ -173,25 +176,37 @@ def merge_segments(segments: DataFrame) -> DataFrame:
     carry = known.select(*ACTIVITY, "chunk", F.max("_last").over(earlier).alias("_in"))
     runs = heads.withColumn("_w", within).join(carry, [*ACTIVITY, "chunk"]).withColumn("run", F.coalesce("_w", "_in"))
     fields = ["start_seq", "end_seq", "start_m", "end_m", "start_alt_m", "end_alt_m", "start_ts", "end_ts"]
-    ordered = runs.groupBy(*ACTIVITY, "run").agg(
-        F.sort_array(F.collect_list(F.struct("segment", *fields))).alias("_segs")
-    )
-
-    def fold(done: Column, seg: Column) -> Column:
-        top = F.element_at(done, -1)
-        gained = top["end_alt_m"] - top["start_alt_m"]
-        gap = seg["start_m"] - top["end_m"]
-        drop = top["end_alt_m"] - seg["start_alt_m"]
-        joins = (gap < MERGE_GAP_M) & ((gained <= 0) | (drop < gained * MERGE_DROP_SHARE))
-        grown = F.struct(
-            top["segment"].alias("segment"),
-            *[(seg if f.startswith("end") else top)[f].alias(f) for f in fields],
-        )
-        kept = F.slice(done, F.lit(1), F.size(done) - 1)
-        return F.when(joins, F.concat(kept, F.array(grown))).otherwise(F.concat(done, F.array(seg)))
-
-    merged = F.aggregate(F.slice(F.col("_segs"), 2, F.greatest(F.size("_segs") - 1, F.lit(1))), F.slice(F.col("_segs"), 1, 1), fold)
-    return ordered.select(*ACTIVITY, F.explode(merged).alias("c")).select(*ACTIVITY, "c.*")
+    rows = runs.select(*ACTIVITY, "run", "segment", *fields)
+    # a run's segments pass in order through one task, which holds the climb that is still open
+    placed = rows.repartition(shuffle_width(segments), *ACTIVITY, "run").sortWithinPartitions(*ACTIVITY, "run", "segment")
+    return placed.mapInArrow(_merge_runs, rows.schema).drop("run")
+
+
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over sorted segments: each grows the open climb of its run or begins the next."""
+    top, schema = None, None
+    for batch in batches:
+        done, schema = [], batch.schema
+        for seg in batch.to_pylist():
+            same = top is not None and all(top[k] == seg[k] for k in (*ACTIVITY, "run"))
+            if same and _joins(top, seg):
+                top |= {k: v for k, v in seg.items() if k.startswith("end")}
+                continue
+            if top is not None:
+                done.append(top)
+            top = seg
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+    if top is not None:
+        yield pa.RecordBatch.from_pylist([top], schema=schema)
+
+
+def _joins(top: dict, seg: dict) -> bool:
+    """A condition on a missing value does not hold."""
+    low, high, start = top["start_alt_m"], top["end_alt_m"], seg["start_alt_m"]
+    if None in (top["end_m"], seg["start_m"], low, high) or seg["start_m"] - top["end_m"] >= MERGE_GAP_M:
+        return False
+    return high - low <= 0 or start is not None and high - start < (high - low) * MERGE_DROP_SHARE
 
 
 def climbs(records: DataFrame, order: list[str] | None = None, min_grade: float = MIN_GRADE,
