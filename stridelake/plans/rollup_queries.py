@@ -111,7 +111,7 @@ named as (select b.*, n_ex,
   case when seconds >= 3600 then printf('%dh %dm', cast(floor(seconds / 3600) as bigint), cast(floor((seconds % 3600) / 60) as bigint))
     else printf('%dm', cast(floor((seconds % 3600) / 60) as bigint)) end dur,
   case sport when 'cycling' then 'Cycling' when 'training' then 'Lifting' when 'rock_climbing' then 'Rock Climbing' when 'running' then 'Running'
-    when 'hiking' then 'Hiking' when 'alpine_skiing' then 'Skiing' when 'generic' then 'Other' when 'racket' then 'Racket' end label
+    when 'hiking' then 'Hiking' when 'alpine_skiing' then 'Skiing' when 'generic' then 'Other' when 'racket' then 'Racket' when 'rowing' then 'Rowing' when 'swimming' then 'Swimming' end label
   from base b left join last_log l on b.athlete_id = l.athlete_id and b."date" = l."date"),
 ev as (
   select athlete_id, source_file, "date", case when sport = 'training' then 'weight_lifting' else sport end sport, seconds, miles,
@@ -143,7 +143,7 @@ def _totals(grain):
 
 def _totals_sql(grain):
     labels = """case sport when 'cycling' then 'Cycling' when 'weight_lifting' then 'Lifting' when 'rock_climbing' then 'Rock Climbing'
-      when 'running' then 'Running' when 'hiking' then 'Hiking' when 'alpine_skiing' then 'Skiing' when 'generic' then 'Other' else 'Racket' end"""
+      when 'running' then 'Running' when 'hiking' then 'Hiking' when 'alpine_skiing' then 'Skiing' when 'generic' then 'Other' when 'rowing' then 'Rowing' when 'swimming' then 'Swimming' else 'Racket' end"""
     return V.with_views("sessions", "workout_sets", body=f"""{EVENTS},
 e as (select athlete_id, cast(date_trunc('{grain}', cast("date" as date)) as date) period_start, sport, seconds,
   cast(round_even(miles * 1e6, 0) as bigint) mi from ev)
