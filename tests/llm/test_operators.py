@@ -283,6 +283,17 @@ def test_substrings_beside_brute_force(spark, size, group):
         i: (len(gone.get(i, ())), " ".join(w for k, w in enumerate(t.split()) if k not in gone.get(i, ()))) for i, t in text.items()}
 
 
+def test_word_hashes_do_not_depend_on_parts(monkeypatch):
+    rng = random.Random(6)
+    text = np.frombuffer(" ".join("".join(rng.choice("abé\t ") for _ in range(rng.randrange(12))) for _ in range(400)).encode(), np.uint8)
+    whole, _ = substring_dedup.word_hashes(text, np.zeros(1, np.int64))
+    words = text.tobytes().split()
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words))
+    monkeypatch.setattr(substring_dedup, "PIECE", 50)
+    parts, _ = substring_dedup.word_hashes(text, np.zeros(1, np.int64))
+    assert (parts == whole).all()
+
+
 HTML = [
     ("<p>one<p>two", "one\n\ntwo"),
     ("a<br>b<div>c</div>d", "a\nb\nc\nd"),
