@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, texts
+from .common import cut, maybe_in, texts
 
 LEADING, MIN_TOKENS, MIN_DOCS, ALIKE = 3, 4, 5, 0.6
 FIELD = "<*>"
@@ -25,13 +25,19 @@ _BLANK = r"[\x09\x0B\x0C\x0D\x20]+"
 
 
 def _lines(content: DataFrame, min_tokens: int) -> DataFrame:
-    """(doc_id, line_no, leaf, tokens) of the lines that have enough tokens."""
-    tokens = F.filter(F.split("line", _BLANK), lambda t: t != "")
-    fields = F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
-    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, LEADING))
+    """(doc_id, line_no, leaf, line) of the lines that have enough tokens; ``line`` has single blanks.
+
+    The leaf needs no list of tokens: blanks are counted, and the leading tokens are cut off the line.
+    """
+    odd = F.col("line").contains("  ")
+    for blank in "\t\x0b\f\r":
+        odd = odd | F.col("line").contains(blank)
+    plain = F.trim(F.when(odd, F.regexp_replace("line", _BLANK, " ")).otherwise(F.col("line")))
+    size = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    leading = F.regexp_replace(F.substring_index("line", " ", LEADING), "[^ ]*[0-9][^ ]*", FIELD)
     return (content.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-            .select("doc_id", "line_no", tokens.alias("tokens")).where(F.size("tokens") >= min_tokens)
-            .withColumn("tokens", fields).select("doc_id", "line_no", leaf.alias("leaf"), "tokens"))
+            .select("doc_id", "line_no", plain.alias("line")).where((F.col("line") != "") & (size >= min_tokens))
+            .select("doc_id", "line_no", F.concat_ws(" ", size.cast("string"), leading).alias("leaf"), "line"))
 
 
 def _met(rows: DataFrame, min_docs: int) -> DataFrame:
@@ -43,8 +49,10 @@ def _met(rows: DataFrame, min_docs: int) -> DataFrame:
 def _members(docs: DataFrame, min_tokens: int, min_docs: int) -> DataFrame:
     """(doc_id, line_no, leaf, template) of the lines that belong to a template."""
     lines = _lines(texts(docs), min_tokens)
-    leaves = _met(lines, min_docs).select("leaf")
+    leaves = cut(_met(lines, min_docs).select("leaf"))
+    fields = F.transform(F.split("line", " "), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
     near = maybe_in(lines, F.col("leaf"), leaves, F.col("leaf")).join(leaves, "leaf")
+    near = cut(near.select("doc_id", "line_no", "leaf", fields.alias("tokens")))
     seen = near.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     places = seen.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("total"))
     place = F.struct("at", F.when(F.col("top.n") * 2 > F.col("total"), F.col("top.token")).otherwise(FIELD).alias("token"))
@@ -79,12 +87,10 @@ def deduplicated(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_docs: int =
     lines = F.split("text", "\n")
     mask = F.transform(F.sequence(F.lit(0), (F.size(lines) / 64).cast("int")),
                        lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long")))
-    kept = F.filter("_lines", lambda line, i: ~_bit(F.col("_mask"), i))
-    joined = texts(docs).join(words, "doc_id", "left")
-    out = joined.where("words is not null").select("doc_id", lines.alias("_lines"), mask.alias("_mask"))
-    changed = out.select("doc_id", "_lines", kept.alias("_kept")).select(
-        "doc_id", F.concat_ws("\n", "_kept").alias("text"), F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
-    same = joined.where("words is null").select(
-        "doc_id", "text", F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    return changed.union(same)
+    kept = F.when(F.col("words").isNotNull(), F.filter("_lines", lambda line, i: ~_bit(F.col("_mask"), i)))
+    joined = (texts(docs).join(words, "doc_id", "left")
+              .select("doc_id", "text", "words", lines.alias("_lines"), F.when(F.col("words").isNotNull(), mask).alias("_mask")))
+    marked = joined.select("doc_id", "text", F.size("_lines").cast("long").alias("n_lines"), kept.alias("_kept"))
+    return marked.select(
+        "doc_id", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "_kept")).alias("text"), "n_lines",
+        F.when(F.col("_kept").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size("_kept")).alias("n_dropped"))
