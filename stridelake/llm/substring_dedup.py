@@ -286,12 +286,13 @@ def repeats(docs: DataFrame, size: int = WINDOW_WORDS, group_segments: int = GRO
     again = (keys.join(times, "key").select("doc_id", F.struct(group.alias("key"), (F.col("at") * 2 + (trees > 1).cast("long")).alias("at")).alias("a"))
              .groupBy("doc_id").agg(F.collect_set("a").alias("again")))
     found = _trees(_segments(content.join(again, "doc_id").select("doc_id", "text", "again"), size), size)
-    # firsts of several trees meet under their words; other rows are alone in their partition
-    alone = F.col("words").isNull()
+    # firsts of several trees meet under their words; the trees are evaluated for either kind of rows from the same
+    # shuffled segments, which costs less than moving all rows once more
     place = F.struct("doc_id", "start")
-    meeting = Window.partitionBy("words", F.when(alone, F.col("doc_id")), F.when(alone, F.col("start")))
-    return (found.withColumn("first", F.min(place).over(meeting)).where(alone | (place != F.col("first")))
-            .select("doc_id", "start", "n"))
+    firsts = (found.where("words is not null")
+              .select("doc_id", "start", "n", F.min(place).over(Window.partitionBy("words")).alias("first"))
+              .where(place != F.col("first")))
+    return found.where("words is null").select("doc_id", "start", "n").union(firsts.select("doc_id", "start", "n"))
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
