@@ -225,6 +225,24 @@ def test_line_templates(spark):
     assert got[8].n_dropped == 0 and got[8].n_lines == 4
 
 
+def test_leaf_with_three_equally_frequent_lines(spark):
+    common = [f"click here to {rest}" for rest in ("read the full story", "subscribe to our newsletter", "see all the comments")]
+    prose = [f"click here to {w} {w}a {w}b {w}c" for w in ("abc", "bcd", "cde", "def")]
+    texts = [(k, f"{'abcdefghijklmnopqr'[k] * 4} is a text\n{common[k % 3]}") for k in range(18)] + [(20 + k, p) for k, p in enumerate(prose)]
+    got = {r.doc_id: r for r in line_dedup.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(got[k].n_dropped == 1 and "click" not in got[k].text for k in range(18))
+    assert all(got[20 + k].n_dropped == 0 for k in range(4))
+
+
+def test_what_recurring_lines_leave_makes_a_template(spark):
+    common = ["click here to read the full story"] * 12 + ["click here to subscribe to our newsletter"] * 5
+    names = ["anna", "berta", "carla", "dora", "emma"]
+    texts = list(enumerate([*common, *[f"click here to greet {n} by mail" for n in names]]))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert all(r.n_dropped == 1 for r in line_dedup.deduplicated(docs).collect())
+    assert "click here to greet <*> by mail" in [r.template for r in line_dedup.templates(docs).collect()]
+
+
 def test_many_lines_use_many_mask_words(spark):
     rng = random.Random(1)
     common = ["all of these words recur always"]
