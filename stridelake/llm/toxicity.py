@@ -3,8 +3,10 @@
 * Language model. Words of all documents are counted (the table of words grows with the corpus); their letter
   trigrams over a fixed alphabet give a character model of bounded size.
 * Channel. A disguised word is a lattice: digits and signs stand for letters, marks between letters may be
-  nothing, long repetitions are one or two letters, and words spelled with spaces are one word. Viterbi
-  finds the likeliest letters under channel and language model. Plain words stay as they are.
+  nothing or a word's end, long repetitions are one or two letters. Three or more single characters in a row
+  are one lattice, whatever blanks part them, and each blank is nothing or a word's end. Viterbi finds the likeliest
+  words under channel and language model. Plain words stay as they are, also when a blank parts them in
+  pieces of several letters ("st upid"): those are not joined.
 * Score. A lexicon of words and word beginnings is learnt from labelled rows: greedily the one that explains
   most toxic documents not yet explained, if it is precise. Each entry has the share of toxic documents among
   those that have it, and a document's score is the noisy-or of its entries over a base rate.
@@ -51,17 +53,17 @@ SWAP, DROP, DOUBLE, BEAM = -1.0, -0.7, -1.0, 48
 #: Words a task remembers, and counts before handing them on.
 KNOWN_WORDS = 500_000
 
-_SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _PLAIN = re.compile(rf"[{LETTERS}]+")
 _EDGES = ".,;:!?\"'()[]{}«»“”…"
 
 
 def words(text: str) -> set[str]:
-    """Distinct words of the lower-cased text, without punctuation at their ends; spelled words as one."""
+    """Distinct words of the lower-cased text; a run of single characters also as one, with single blanks."""
     text = text.lower()
     found = set(text.split())
     for m in _SPELLED.finditer(text):
-        found.add("".join(m.group().split()) + " ")  # the space marks it as disguised
+        found.add(" ".join(m.group().split()) + " ")  # the space at its end marks it as disguised
     return found
 
 
@@ -82,33 +84,46 @@ class CharModel:
         return self.logs.get(a + b + c) or self.pairs.get(a + b, -math.log(len(LETTERS) + 2))
 
     def restore(self, word: str) -> str:
-        """The likeliest letters behind ``word``; a plain word as it is."""
+        """The likeliest words behind ``word``, with single blanks; a plain word as it is."""
         core = word.strip().rstrip(_EDGES).lstrip("\"'([{«“")
         if not disguised(word if word.endswith(" ") else core):
             return core
-        beam: dict[tuple[str, str], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        # what was done is a chain of (chain before, letters), so that long runs are not copied at each step
+        beam: dict[tuple[str, str], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         for c, run in groupby(core):
             n = len(list(run))
             options = [(0.0, c)] if c.isalpha() else [(SWAP, x) for x in LOOKS_LIKE.get(c, "")]
             if n > 1:
                 options += [(cost + (0.0 if n == 2 and c.isalpha() else DOUBLE), x * 2) for cost, x in options]
-            if c in MARKS:
-                options.append((DROP * n, ""))
+            if c == " ":
+                options = [(0.0, ""), (0.0, EDGE)]
+            elif c in MARKS:
+                options += [(DROP * n, ""), (DROP * n, EDGE)]
             elif not options:
                 options = [(DROP * n, "")] if not c.isdigit() else [(SWAP, OTHER)]
-            grown: dict[tuple[str, str], tuple[float, str]] = {}
+            grown: dict[tuple[str, str], tuple[float, tuple | None]] = {}
             for (a, b), (total, done) in beam.items():
                 for cost, out in options:
                     x, y, value = a, b, total + cost
-                    for letter in out:
-                        letter = letter if letter in LETTERS else OTHER
-                        value += self.log(x, y, letter)
-                        x, y = y, letter
+                    if out == EDGE:
+                        if b == EDGE:
+                            continue  # no empty words
+                        value += self.log(a, b, EDGE)
+                        x = y = EDGE
+                    else:
+                        for letter in out:
+                            letter = letter if letter in LETTERS else OTHER
+                            value += self.log(x, y, letter)
+                            x, y = y, letter
                     if value > grown.get((x, y), (-math.inf,))[0]:
-                        grown[x, y] = (value, done + out)
-            beam = dict(sorted(grown.items(), key=lambda s: (-s[1][0], s[1][1]))[:BEAM])
-        ends = [(total + self.log(a, b, EDGE), done) for (a, b), (total, done) in beam.items()]
-        return max(ends, key=lambda e: (e[0], e[1]))[1]
+                        grown[x, y] = (value, (done, out) if out else done)
+            beam = dict(sorted(grown.items(), key=lambda s: (-s[1][0], s[0]))[:BEAM])
+        ends = [(total + (0.0 if b == EDGE else self.log(a, b, EDGE)), (a, b), done) for (a, b), (total, done) in beam.items()]
+        done, parts = max(ends, key=lambda e: e[:2])[2], []
+        while done is not None:
+            done, out = done
+            parts.append(out)
+        return "".join(reversed(parts)).replace(EDGE, " ").strip()
 
 
 _COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -167,10 +182,14 @@ class Lexicon:
         """Largest share of toxic documents among the word's entries, zero without any."""
         return max((self.share[e] for e in entries(word) if e in self.share), default=0.0)
 
+    def chances(self, restored: str) -> tuple[float, ...]:
+        """The chances of all words of a restored text that have one."""
+        return tuple(p for w in restored.split(" ") if (p := self.chance(w)))
+
 
 def _restored(model: CharModel) -> Column:
     """Array of the distinct restored words of a text."""
-    return _per_text(lambda: model.restore, T.ArrayType(T.StringType()), lambda known, found: sorted({known[w] for w in found}))
+    return _per_text(lambda: model.restore, T.ArrayType(T.StringType()), lambda known, found: sorted({x for w in found for x in known[w].split(" ")}))
 
 
 class _Known(dict):
@@ -261,11 +280,11 @@ def held_out() -> Column:
 def score(docs: DataFrame, model: CharModel, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score) of every document."""
 
-    def noisy_or(known: dict[str, float], found: set[str]) -> float:
+    def noisy_or(known: dict[str, tuple[float, ...]], found: set[str]) -> float:
         clean = 1.0 - lexicon.base
-        for p in sorted({known[w] for w in found}):
+        for p in sorted({p for w in found for p in known[w]}):
             clean *= 1.0 - p
         return 1.0 - clean
 
-    made = _per_text(lambda: lambda w: lexicon.chance(model.restore(w)), T.DoubleType(), noisy_or)
+    made = _per_text(lambda: lambda w: lexicon.chances(model.restore(w)), T.DoubleType(), noisy_or)
     return texts(docs).select("doc_id", made.alias("score"))

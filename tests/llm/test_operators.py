@@ -277,6 +277,17 @@ def test_disguised_toxic_text_scores_high(spark):
     assert got[1] > 0.9 and got[2] > 0.9 and got[3] < 0.05
 
 
+TOXIC = ["you are a s t u p i d", "and a l o s e r", "s  t  u  p  i  d", "s t u\np i d", "you,stupid", "you/loser", "st.upid", "l-o-s-e-r"]
+
+
+def test_each_disguise_in_a_document_of_its_own(spark):
+    plain = "you are a stupid and a loser and the others are not so you and a train are late"
+    docs = spark.createDataFrame([(0, plain), (1, "a b c of the story"), *[(10 + k, t) for k, t in enumerate(TOXIC)]], "doc_id long, text string")
+    m = toxicity.char_model(spark.createDataFrame([(k, plain) for k in range(20)], "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, m, toxicity.Lexicon(0.01, {"stupid$": 0.95, "loser$": 0.95})).collect()}
+    assert [TOXIC[k] for k in range(len(TOXIC)) if got[10 + k] < 0.9] == [] and got[0] > 0.9 and got[1] < 0.05
+
+
 def brute_repeats(docs, size):
     seen, gone = {}, {}
     for i, t in sorted(docs):
