@@ -1,7 +1,8 @@
 """HTML extraction by layout: all visible text, with blocks, lists and aligned table cells.
 
 A small tree builder reads tags, closes what HTML lets authors leave open (paragraphs, list items, table parts)
-and drops what is never seen: comments, scripts, styles, hidden elements. A renderer then walks the tree:
+and drops what is never seen: comments, scripts, styles, hidden elements, closed dialogs, content for browsers that
+cannot show an element. Formulas, text in drawings and what form fields show is seen. A renderer then walks the tree:
 blocks stand on lines of their own, with an empty line around paragraphs and headings; list items get
 a bullet or number and are indented by depth; table cells are padded to their columns' widths; white space
 collapses except in ``pre``; images give their ``alt``.
@@ -24,8 +25,11 @@ from pyspark.sql import types as T
 
 # fixed values: element classes of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link object iframe svg math canvas audio video "
-                   "datalist select textarea option dialog".split())
+UNSEEN = frozenset("head script style template noscript title meta link object iframe canvas audio video datalist "
+                   "desc metadata defs annotation annotation-xml".split())
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+#: Types of input that show no text of their own.
+TEXTLESS = frozenset("hidden checkbox radio password file color range".split())
 RAW = frozenset(("script", "style", "title", "textarea", "noscript", "iframe"))
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCKS = SPACED | frozenset("html body div section article aside header footer nav main address form fieldset legend li dt dd "
@@ -38,7 +42,8 @@ IMPLIED_END = {
     "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
     "tr": (frozenset(("tr", "td", "th", "caption")), frozenset(("table",))),
     "td": (frozenset(("td", "th")), frozenset(("tr", "table"))), "th": (frozenset(("td", "th")), frozenset(("tr", "table"))),
-    "option": (frozenset(("option",)), frozenset(("select",))),
+    "option": (frozenset(("option",)), frozenset(("select",))), "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+    "select": (frozenset(("select",)), frozenset()),
     **{k: (frozenset(("tr", "td", "th", "thead", "tbody", "tfoot", "caption")), frozenset(("table",))) for k in ("thead", "tbody", "tfoot")},
 }
 
@@ -61,8 +66,8 @@ class Element:
     @property
     def hidden(self) -> bool:
         a = self.attrs
-        return (self.tag in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
-                or bool(_HIDING.search(a.get("style", ""))) or self.tag == "input")
+        return (self.tag in UNSEEN or "hidden" in a or bool(_HIDING.search(a.get("style", "")))
+                or self.tag == "dialog" and "open" not in a)
 
 
 class _Open(list):
@@ -124,8 +129,13 @@ def build(html: str) -> Element:
                 continue
             _imply(open_, tag)
             element = Element(tag, attrs)
-            if tag in RAW:
+            if rest.endswith("/") and (open_.count["svg"] > 0 or open_.count["math"] > 0):
+                open_[-1].content.append(element)
+            elif tag in RAW:
                 stop = _RAW_END[tag].search(html, at)
+                if tag == "textarea":
+                    element.content.append(unescape(html[at : stop.start() if stop else len(html)]).replace("\r\n", "\n").removeprefix("\n"))
+                    open_[-1].content.append(element)
                 at = html.find(">", stop.start()) + 1 or len(html) if stop else len(html)
             elif tag in VOID:
                 open_[-1].content.append(element)
@@ -136,15 +146,18 @@ def build(html: str) -> Element:
             if not open_.end_last(tag) and tag == "p":
                 open_[-1].content.append(Element("p", {}))
         elif m.group()[:2] not in ("<!", "<?"):
+            if open_[-1].tag == "head" and m.group().strip():
+                open_.cut(len(open_) - 1)
             open_[-1].content.append(unescape(m.group()))
     return root
 
 
 def _imply(open_: _Open, tag: str) -> None:
     """Close what an opening ``tag`` ends, and open the row that a cell needs."""
+    if open_[-1].tag == "head" and tag not in HEAD:
+        open_.cut(len(open_) - 1)
     if tag in BLOCKS:
         open_.end(frozenset(("p",)), frozenset(("table", "td", "th", "li")))
-        open_.end(frozenset(("head",)), frozenset())
     if tag in IMPLIED_END:
         open_.end(*IMPLIED_END[tag])
     if tag in ("td", "th") and open_[-1].tag in ("table", "thead", "tbody", "tfoot"):
@@ -182,6 +195,39 @@ class _Page:
         self.blank = self.blank or spaced
 
 
+def _field(item: Element) -> str:
+    """What an input or select shows: its value or placeholder, its chosen option or, in a list box, all of them."""
+    a = item.attrs
+    if item.tag == "input":
+        kind = a.get("type", "").lower()
+        return "" if kind in TEXTLESS else a.get("alt", "") if kind == "image" else a.get("value") or a.get("placeholder", "")
+    box = "multiple" in a or bool(re.fullmatch(r"0*[1-9]\d+|0*[2-9]", a.get("size", "")))
+    labels, chosen, first, todo = [], None, None, list(reversed(item.content))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or node.hidden:
+            continue
+        if node.tag != "option":
+            if node.tag == "optgroup":
+                labels.append(node.attrs.get("label", ""))
+            todo.extend(reversed(node.content))
+            continue
+        parts, inner = [], list(reversed(node.content))
+        while inner:
+            part = inner.pop()
+            if isinstance(part, str):
+                parts.append(part)
+            elif not part.hidden:
+                inner.extend(reversed(part.content))
+        label = node.attrs.get("label") or "".join(parts)
+        labels.append(label)
+        if "selected" in node.attrs:
+            chosen = label
+        if first is None and "disabled" not in node.attrs:
+            first = label
+    return " ".join(labels) if box else chosen if chosen is not None else first or ""
+
+
 def _walk(node: Element, page: _Page, depth: int, pre: bool, level: int) -> None:
     """Depth-first without recursion; only tables in tables recur, and beyond ``TABLES`` they are plain blocks."""
     stack: list[tuple] = [("in", node, depth, pre)]
@@ -211,6 +257,13 @@ def _walk(node: Element, page: _Page, depth: int, pre: bool, level: int) -> None
             page.line(True)
         elif tag == "img":
             page.text(item.attrs.get("alt", ""))
+        elif tag in ("input", "select"):
+            page.text(f" {_field(item)} ")
+        elif tag == "textarea":
+            if any(item.content):
+                stack.extend([("in", " ", depth, pre), *(("in", c, depth, True) for c in item.content), ("in", " ", depth, pre)])
+            else:
+                page.text(f" {item.attrs.get('placeholder', '')} ")
         elif tag == "table" and level < TABLES:
             page.line(True)
             for row in _table(item, level + 1):
@@ -233,7 +286,8 @@ def _walk(node: Element, page: _Page, depth: int, pre: bool, level: int) -> None
                 mark = "  " * max(depth - 1, 0) + item.attrs.get("\0", "- ")
                 item.attrs[""] = page.prefix
                 page.next_prefix, page.prefix = page.prefix[:0] + mark, " " * len(mark)
-            stack.extend(("in", c, inner, pre or tag == "pre") for c in reversed(item.content))
+            inside = [" ", *item.content, " "] if tag == "text" else item.content  # labels of a drawing stand apart
+            stack.extend(("in", c, inner, pre or tag == "pre") for c in reversed(inside))
 
 
 def _width(s: str) -> int:

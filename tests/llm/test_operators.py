@@ -343,6 +343,33 @@ def test_rendered(html, text):
     assert html_text.visible_text(html).strip("\n") == text
 
 
+SEEN = [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds", "so x=2 holds"),
+    ("<svg><title>no</title><defs/><path d='M0'/><text>one</text><text>two</text></svg> end", "one two end"),
+    ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+    ("<h1 aria-hidden=true>Head</h1><p aria-hidden='true'>para", "Head\n\npara"),
+    ("is <select><option>a<option selected>b</select> ok", "is b ok"),
+    ("<select multiple><optgroup label=g><option>a<option>b</select>", "g a b"),
+    ("<select><option disabled>a<option>b</select>", "b"),
+    ("<textarea>\nl1 &amp;\nl2</textarea>", "l1 &\nl2"),
+    ("x<input value=v><input type=hidden value=no><input placeholder=p>y", "x v p y"),
+    ("<head><title>t</title>text <b>bold</b><p>para", "text bold\n\npara"),
+    ("<head><meta charset=x><a href=y>link</a> and <span>more</span>", "link and more"),
+    ("<head><template><p>no</p></template><script>no</script></head>yes", "yes"),
+    ("<object>no</object><canvas>no</canvas><video>no</video>yes", "yes"),
+]
+
+
+@pytest.mark.parametrize("html,text", SEEN)
+def test_all_that_is_seen(html, text):
+    assert html_text.visible_text(html).strip("\n") == text
+
+
+def test_nested_fields_end():
+    assert html_text.visible_text("<select><option>x" * 5_000).split()[-1] == "x"
+    assert html_text.visible_text("<svg><text>" * 5_000 + "x").strip() == "x"
+
+
 def test_deep_pages_end():
     assert html_text.visible_text("<div>" * 20_000 + "x") == "x"
     assert html_text.visible_text("<table><tr><td>" * 300 + "x").strip() == "x"
