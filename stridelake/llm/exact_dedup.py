@@ -3,7 +3,8 @@
 Texts are equal when identical after lower-casing A-Z only. A stage looks only at groups that the
 stage before left with two rows or more; the full content is hashed only for what survives both. Of
 equal texts the row with the largest doc_id stays. Null texts are empty, and empty texts are equal.
-Rows repeating a doc_id with the same text count each in ``group_size``; they stay together.
+Rows repeating a doc_id with the same text count each in ``group_size``; they stay together. Rows of one doc_id
+with different texts are judged each by its own text.
 
 Lower-casing A-Z keeps every byte's place, so lengths need no normalising.
 """
@@ -29,7 +30,7 @@ def full_hash(text: pd.Series) -> pd.Series:
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size) of the documents with an equal one."""
+    """(doc_id, _len, _sha, keep_id, group_size) of the documents, by id and text, with an equal one."""
     content = texts(docs)
     # a lower-cased beginning; translate() maps A-Z alone and 64 characters cost little
     start = F.translate(F.substring("text", 1, PREFIX_CHARS), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -40,15 +41,20 @@ def verdicts(docs: DataFrame) -> DataFrame:
     alive = keys.join(starts, ["len", "start"], "left_semi").select("doc_id").distinct()
     # an inner join: a semi join would be moved below the thinning
     full = (maybe_in(content, F.col("doc_id"), alive, F.col("doc_id")).join(alive, "doc_id")
-            .select("doc_id", F.octet_length("text").alias("len"), full_hash("text").alias("sha")))
-    groups = (full.groupBy("len", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+            .select("doc_id", F.octet_length("text").alias("_len"), full_hash("text").alias("_sha")))
+    groups = (full.groupBy("_len", "_sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
               .where("group_size > 1"))
-    return full.join(groups, ["len", "sha"]).select("doc_id", "keep_id", "group_size").distinct()
+    return full.join(groups, ["_len", "_sha"]).select("doc_id", "_len", "_sha", "keep_id", "group_size").distinct()
 
 
-def marked(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` of documents, by doc_id, with keep_id, group_size and kept from the ``found`` verdicts."""
-    return rows.join(found, "doc_id", "left").select(
+def marked(rows: DataFrame, found: DataFrame, sha: str | None = None) -> DataFrame:
+    """``rows`` of documents with keep_id, group_size and kept from the ``found`` verdicts.
+
+    ``sha`` names the column with the hexadecimal full hash; without it a doc_id must have one text.
+    """
+    keys = ["doc_id"] if sha is None else ["doc_id", sha]
+    of = found.select("doc_id", *([] if sha is None else [F.lower(F.hex("_sha")).alias(sha)]), "keep_id", "group_size").distinct()
+    return rows.join(of, keys, "left").select(
         *rows.columns, F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("keep_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -56,5 +62,7 @@ def marked(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, with all their columns, without the dropped copies."""
-    dropped = verdicts(docs).where("keep_id <> doc_id").select("doc_id")
-    return docs.where(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = verdicts(docs).where("keep_id <> doc_id").select("doc_id", "_len", "_sha")
+    text = F.coalesce("text", F.lit(""))
+    hashed = docs.where(F.col("doc_id").isNotNull()).select("*", F.octet_length(text).alias("_len"), full_hash(text).alias("_sha"))
+    return hashed.join(dropped, ["doc_id", "_len", "_sha"], "left_anti").select(*docs.columns)

@@ -30,7 +30,7 @@ def _sha(text: Column) -> Column:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     hashed = texts(docs).select("doc_id", F.lower(F.hex(exact_dedup.full_hash("text"))).alias("text_sha256"))
-    return exact_dedup.marked(hashed, exact_dedup.verdicts(docs))
+    return exact_dedup.marked(hashed, exact_dedup.verdicts(docs), "text_sha256")
 
 
 OP3_SQL = """

@@ -216,6 +216,14 @@ def test_exact_dedup_on_a_small_table(spark):
     assert got == {1: (2, 2), 2: (2, 2), 5: (6, 2), 6: (6, 2)}
 
 
+def test_exact_dedup_of_an_id_with_two_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alone"), (1, "Copy"), (2, "copy")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.deduplicated(docs).collect()) == [(1, "alone"), (2, "copy")]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = run(spark, "op3_exact_dedup", str(tmp_path))
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 1, 1, True), (1, 2, 2, False), (2, 2, 2, True)]
+
+
 def test_line_templates(spark):
     lines = [f"session {i} opened for user u{i} now" for i in range(8)] + ["session of parliament opened late for once"]
     docs = spark.createDataFrame([(i, f"{'abcdefghi'[i] * 3} begins a text of its own\n{line}\n\nshort") for i, line in enumerate(lines)], "doc_id long, text string")
