@@ -67,14 +67,14 @@ def within_folders(df: DataFrame, table: str, as_of: date | str) -> DataFrame:
 def scan(df: DataFrame, table: str, as_of: date | str | None = None,
          columns: list[str] | None = None) -> DataFrame:
     """Projected scan. As in the stored-table contract, the lookback needs its date column
-    to be among the projected ones. Day folders are pruned whether or not ``dt`` is."""
-    if as_of is not None:
+    to be among the projected ones. Then day folders are pruned too, whether or not ``dt`` is."""
+    keep = columns
+    if keep is None:
+        keep = ["athlete_id"] + S.RECORD_READ_COLUMNS if table == "record_mesgs" else df.columns
+    keep = [c for c in keep if c in df.columns]
+    if as_of is not None and table in LOOKBACK and LOOKBACK[table][0] in keep:
         df = within_folders(df, table, as_of)
-    if columns is not None:
-        df = df.select(*[c for c in columns if c in df.columns])
-    elif table == "record_mesgs":
-        keep = ["athlete_id"] + S.RECORD_READ_COLUMNS
-        df = df.select(*[c for c in keep if c in df.columns])
+    df = df.select(*keep)
     return df if as_of is None else within_lookback(df, table, as_of)
 
 

@@ -87,6 +87,18 @@ def test_lookback_reaches_the_reader_and_needs_its_column(spark, tmp_path):
         tables.Dataset(str(tmp_path), " ")
 
 
+def test_lookback_does_not_depend_on_day_folders(spark, tmp_path):
+    df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1) + dt.timedelta(days=30 * i), dt.date(2024, 1, 1) + dt.timedelta(days=30 * i), 1.0) for i in range(12)],
+                               "athlete_id string, timestamp timestamp_ntz, dt date, power double")
+    df.write.partitionBy("dt").parquet(str(tmp_path / "days" / "record_mesgs"))
+    df.drop("dt").write.parquet(str(tmp_path / "flat" / "record_mesgs"))
+    for layout in ("days", "flat"):
+        data = tables.Dataset(str(tmp_path / layout), "a")
+        assert data.read(spark, "record_mesgs", "2024-12-01", ["power"]).count() == 12
+        assert data.read(spark, "record_mesgs", "2024-12-01", ["timestamp", "power"]).count() == 6
+        assert data.read(spark, "record_mesgs", "2024-12-01").count() == 6
+
+
 def test_loads(spark):
     df = spark.createDataFrame([("a", "f", "alpine_skiing", "4"), ("a", "g", "running", "x")], "athlete_id string, source_file string, sport string, num_laps string")
     got = tables.load_sessions(df, "skiing")
