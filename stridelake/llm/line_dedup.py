@@ -13,7 +13,8 @@ met in several documents are looked into, and a leaf has several templates:
 
 Templates whose lines come from ``min_docs`` documents or more recur, and their lines are dropped from every document.
 
-Lines end at \n. Lines of fewer than ``min_tokens`` tokens, empty ones included, are never dropped; null and
+Lines end at \n. Lines of fewer than ``min_tokens`` tokens, empty ones included, are never dropped. With a smaller
+``min_tokens`` a line of up to three tokens is a leaf and template as a whole, if it has a token that is no field. Null and
 empty texts have one empty line. Repeated lines of one document count its doc_id once. Counts are
 combined before each shuffle, joins on a hot leaf are left to the engine's split of skewed partitions.
 """
@@ -41,8 +42,11 @@ def _lines(content: DataFrame, min_tokens: int) -> DataFrame:
     plain = F.trim(F.when(odd, F.regexp_replace("line", _BLANK, " ")).otherwise(F.col("line")))
     size = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     leading = F.regexp_replace(F.substring_index("line", " ", LEADING), "[^ ]*[0-9][^ ]*", FIELD)
+    enough = size >= min_tokens
+    if min_tokens <= LEADING:
+        enough = enough & ((size > LEADING) | ~leading.rlike(r"^<\*>( <\*>)*$"))
     return (content.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-            .select("doc_id", "line_no", plain.alias("line")).where((F.col("line") != "") & (size >= min_tokens))
+            .select("doc_id", "line_no", plain.alias("line")).where((F.col("line") != "") & enough)
             .select("doc_id", "line_no", F.concat_ws(" ", size.cast("string"), leading).alias("leaf"), "line"))
 
 

@@ -251,6 +251,12 @@ def test_what_recurring_lines_leave_makes_a_template(spark):
     assert "click here to greet <*> by mail" in [r.template for r in line_dedup.templates(docs).collect()]
 
 
+def test_short_lines_recur_with_a_smaller_least_size(spark):
+    texts = [(k, f"{k * 7}\n{k} {k}\nRead more\nAll rights reserved.\nPage {k}\n\nword{'abcdef'[k]}") for k in range(6)]
+    got = {r.doc_id: r for r in line_dedup.deduplicated(spark.createDataFrame(texts, "doc_id long, text string"), min_tokens=1).collect()}
+    assert {k: r.text for k, r in got.items()} == {k: f"{k * 7}\n{k} {k}\n\nword{'abcdef'[k]}" for k in range(6)}
+
+
 def test_many_lines_use_many_mask_words(spark):
     rng = random.Random(1)
     common = ["all of these words recur always"]
