@@ -98,6 +98,45 @@ def maybe_in(df: DataFrame, key: Column, members: DataFrame, member_key: Column)
     return joined.where(hit).drop("_probe", word, bit)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """Rows of ``df``, with their columns, whose ``keys`` are no row of ``gone`` (in the order of its columns).
+
+    Rows that the filter of ``gone`` rules out stay where they are; only the others, few as long as ``gone`` is, meet
+    the exact anti join, whose sides are both dealt anew so that a hot key can be split.
+    """
+    names = [free(df, f"key{k}") for k in range(len(keys))]
+    word, bits, flag = free(df, "word"), free(df, "bits"), free(df, "flag")
+    gone = cut(gone.distinct().toDF(*names))
+    spot = F.pmod(F.xxhash64(*names), F.lit(BITS))
+    table = (gone.select(F.shiftright(spot, 6).alias(word), F.expr("1L").alias("one"), F.pmod(spot, F.lit(64)).cast("int").alias("at"))
+             .groupBy(word).agg(F.bit_or(F.expr("shiftleft(one, at)")).alias(bits)))
+    keyed = df.withColumns(dict(zip(names, keys, strict=True))).withColumn(flag, spot)
+    probed = keyed.join(F.broadcast(table), F.shiftright(F.col(flag), 6) == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"(shiftrightunsigned({bits}, cast({flag} % 64 as int)) & 1L) = 1L"), F.lit(False))
+    asked = probed.where(hit).drop(word, bits, flag).join(gone, names, "left_anti")
+    return probed.where(~hit).select(*df.columns).unionByName(asked.select(*df.columns))
+
+
+def one_each(df: DataFrame, ids: DataFrame, by: Column) -> DataFrame:
+    """Rows of ``df``; of those whose doc_id is among ``ids`` (doc_id), one for each doc_id and ``by``, any of them."""
+    ids = cut(ids.distinct())
+    if not ids.take(1):
+        return df
+    row, key, of = free(df, "row"), free(df, "by"), free(df, "of")
+    own = F.col("doc_id").cast("long")
+    asked = df.select(F.struct(*(df[c] for c in df.columns)).alias(row), own.alias(of), by.alias(key)).join(ids, F.col(of) == F.col("doc_id"), "left_semi")
+    once = asked.groupBy(of, key).agg(F.first(row).alias(row)).select(f"{row}.*")
+    return without(df, [own], ids).unionByName(once)
+
+
 def min_reachable(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): the smallest reachable node.
 

@@ -6,45 +6,54 @@ equal texts the row with the largest doc_id stays. Null texts are empty, and emp
 Rows repeating a doc_id with the same text count each in ``group_size``; they stay together. Rows of one doc_id
 with different texts are judged each by its own text.
 
-Lower-casing A-Z keeps every byte's place, so lengths need no normalising.
+Lower-casing A-Z keeps every byte's place, so lengths need no normalising. Between the stages bounded
+filters (``common.maybe_in``) thin the rows in place: a filter lets through what it need not, which is then
+hashed in vain, but nothing that recurs is lost, and no text is shuffled. Of literal repeats (one doc_id, equal
+texts) ``deduplicated`` keeps one row.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import maybe_in, texts
+from .common import cut, maybe_in, one_each, texts, without
 
 PREFIX_CHARS = 64
 
 
-@F.pandas_udf(T.BinaryType())
-def full_hash(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def full_hash(text: pa.Array) -> pa.Array:
     """SHA-256 of the text with A-Z lower-cased, in UTF-8."""
-    return text.map(lambda t: hashlib.sha256(t.encode().lower()).digest())
+    return pa.array([hashlib.sha256(t.lower()).digest() for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def _keys(text: Column) -> list[Column]:
+    """(len, start): bytes, and hash of the lower-cased beginning; translate() maps A-Z alone and 64 characters cost little."""
+    start = F.translate(F.substring(text, 1, PREFIX_CHARS), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return [F.octet_length(text).alias("len"), F.xxhash64(start).alias("start")]
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """(doc_id, _len, _sha, keep_id, group_size) of the documents, by id and text, with an equal one."""
-    content = texts(docs)
-    # a lower-cased beginning; translate() maps A-Z alone and 64 characters cost little
-    start = F.translate(F.substring("text", 1, PREFIX_CHARS), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keys = content.select("doc_id", F.octet_length("text").alias("len"), F.xxhash64(start).alias("start"))
-    lengths = keys.groupBy("len").count().where("count > 1").select("len")
-    starts = (keys.join(lengths, "len", "left_semi").groupBy("len", "start").count().where("count > 1")
-              .select("len", "start"))
-    alive = keys.join(starts, ["len", "start"], "left_semi").select("doc_id").distinct()
-    # an inner join: a semi join would be moved below the thinning
-    full = (maybe_in(content, F.col("doc_id"), alive, F.col("doc_id")).join(alive, "doc_id")
-            .select("doc_id", F.octet_length("text").alias("_len"), full_hash("text").alias("_sha")))
-    groups = (full.groupBy("_len", "_sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-              .where("group_size > 1"))
-    return full.join(groups, ["_len", "_sha"]).select("doc_id", "_len", "_sha", "keep_id", "group_size").distinct()
+    """(doc_id, _len, _raw, _sha, _rows, keep_id, group_size) of the documents, by id and text, with an equal one.
+
+    ``_raw`` is a hash of the text as it is, by which rows of one doc_id are told apart without a full hash.
+    """
+    content = texts(docs).select("*", *_keys(F.col("text")))
+    keys = cut(content.select("len", "start"))
+    lengths = keys.groupBy("len").count().where("count > 1")
+    starts = cut(maybe_in(keys, F.col("len"), lengths, F.col("len")).groupBy("len", "start").count().where("count > 1"))
+    alive = maybe_in(content, F.xxhash64("len", "start"), starts, F.xxhash64("len", "start"))
+    full = cut(alive.select("doc_id", F.col("len").alias("_len"), F.xxhash64("text").alias("_raw"), full_hash("text").alias("_sha"))
+               .groupBy("doc_id", "_len", "_raw", "_sha").agg(F.count("*").alias("_rows")))
+    # kept as a table, so that both sides of the join are dealt anew and a hot text can be split
+    groups = cut(full.groupBy("_len", "_sha").agg(F.max("doc_id").alias("keep_id"), F.sum("_rows").alias("group_size"))
+                 .where("group_size > 1"))
+    return full.join(groups, ["_len", "_sha"]).select("doc_id", "_len", "_raw", "_sha", "_rows", "keep_id", "group_size")
 
 
 def marked(rows: DataFrame, found: DataFrame, sha: str | None = None) -> DataFrame:
@@ -61,8 +70,11 @@ def marked(rows: DataFrame, found: DataFrame, sha: str | None = None) -> DataFra
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with all their columns, without the dropped copies."""
-    dropped = verdicts(docs).where("keep_id <> doc_id").select("doc_id", "_len", "_sha")
+    """Rows of ``docs``, with all their columns, without the dropped copies; literal repeats leave one row."""
+    found = cut(verdicts(docs))
     text = F.coalesce("text", F.lit(""))
-    hashed = docs.where(F.col("doc_id").isNotNull()).select("*", F.octet_length(text).alias("_len"), full_hash(text).alias("_sha"))
-    return hashed.join(dropped, ["doc_id", "_len", "_sha"], "left_anti").select(*docs.columns)
+    own = [F.col("doc_id").cast("long"), F.octet_length(text), F.xxhash64(text)]
+    rest = without(docs.where(F.col("doc_id").isNotNull()), own, found.where("keep_id <> doc_id").select("doc_id", "_len", "_raw"))
+    same = Window.partitionBy("doc_id", "_len", "_sha")
+    repeats = (found.where("keep_id = doc_id").withColumn("_all", F.sum("_rows").over(same)).where("_all > 1").select("doc_id", "_len", "_raw"))
+    return one_each(rest, repeats.select("doc_id"), full_hash(text))

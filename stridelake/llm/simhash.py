@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, min_reachable, texts
+from .common import cut, min_reachable, one_each, texts, without
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -185,10 +185,12 @@ def classes(docs: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     joined = min_reachable(cut(links(reps, block_entries)))
     by_fp = (reps.join(joined, reps["rep"] == joined["node"], "left")
              .select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return cut(prints.join(by_fp, "fp").select("doc_id", "fp", "component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with all their columns: of each class the document with the smallest doc_id."""
-    gone = classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs``, with all their columns: of each class the document with the smallest doc_id, and of its literal repeats one."""
+    found = classes(docs)
+    rest = without(docs.where(F.col("doc_id").isNotNull()), [F.col("doc_id").cast("long")], found.where("doc_id <> component_id").select("doc_id"))
+    repeats = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return one_each(rest, repeats, F.coalesce("text", F.lit("")))
