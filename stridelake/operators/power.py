@@ -14,6 +14,7 @@ from ..functions.timekeys import as_date, near_days, utc_date
 from ..session import shuffle_width
 from . import series
 from .series import ACTIVITY
+from .skew import hot_join
 
 # ── Fixed values: durations, zones, defaults ────────────────────────────────
 PEAK_DURATIONS = {
@@ -169,7 +170,7 @@ def best_chart_curve(sessions: DataFrame, curves: DataFrame, records: DataFrame,
     missing = [d for d in durations if d not in set(stored)]
     if not missing:
         return kept
-    extra = mean_max_curve(records.join(picked, ACTIVITY, "left_semi"), missing, order)
+    extra = mean_max_curve(hot_join(records, picked, ACTIVITY, "left_semi"), missing, order)
     best_extra = extra.groupBy("athlete_id", "duration_s").agg(F.max("watts").alias("watts"))
     return kept.unionByName(best_extra).groupBy("athlete_id", "duration_s").agg(F.max("watts").alias("watts"))
 
@@ -191,7 +192,7 @@ def extend_curves(sessions: DataFrame, records: DataFrame, stored: DataFrame,
                   processed: DataFrame | None = None) -> DataFrame:
     """Curve rows of activities that are still ``to_process``; append them to the table."""
     new = to_process(sessions, stored, processed)
-    return mean_max_curve(records.join(new, ACTIVITY, "left_semi"), durations, order)
+    return mean_max_curve(hot_join(records, new, ACTIVITY, "left_semi"), durations, order)
 
 
 def threshold_by_activity(sessions: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.numeric import rnd
 from ..functions.parsing import sets_text
 from ..functions.text import title_words
 from . import series
+from .skew import hot_join
 
 OWNER = "athlete_id"
 # Exercises that add the entered weight to body weight, default body weight.
@@ -89,9 +90,9 @@ def personal_records(workouts: DataFrame, scope: str = "since_max", body_weight:
         raise ValueError(f"scope must be since_max or all_time, not {scope!r}")
     sets = exploded_sets(workouts, body_weight).withColumn("at", F.struct("log_seq", "ex_pos", "set_pos"))
     top = sets.groupBy(OWNER, "name").agg(
-        F.min(F.struct((-F.col("lifted")).alias("w"), "at", "date")).alias("t")
-    ).select(OWNER, "name", (-F.col("t.w")).alias("max_weight"), F.col("t.at").alias("_since"), F.col("t.date").alias("max_date"))
-    joined = series.salted_join(sets, top, [OWNER, "name"], F.col("log_seq"))
+        F.min(F.struct((-F.col("lifted")).alias("w"), "at", "date")).alias("t"), F.count(F.lit(1)).alias("n")
+    ).select(OWNER, "name", (-F.col("t.w")).alias("max_weight"), F.col("t.at").alias("_since"), F.col("t.date").alias("max_date"), "n")
+    joined = hot_join(sets, top.drop("n"), [OWNER, "name"], spread=["log_seq", "ex_pos", "set_pos"], counts=top)
     if scope == "since_max":
         joined = joined.filter(F.col("at") >= F.col("_since"))
     estimate = F.col("lifted") * (1 + F.col("reps") / 30)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timekeys import DEFAULT_TZ, as_date, local_date, to_local
+from ..operators.skew import ROWS_PER_TASK, hot_join
 from . import schemas as S
 
 # Date column and days kept when a table is read.
@@ -105,12 +106,37 @@ def load_all_sessions(df: DataFrame) -> DataFrame:
     return S.conform(df, S.REQUIRED_SESSION)
 
 
-def only_activities(df: DataFrame, activities: DataFrame | None) -> DataFrame:
-    """Rows of the given activities. Join strategy is left to runtime statistics."""
+def activity_days(activities: DataFrame, pad_days: int = 1) -> DataFrame:
+    """Keys of the activities with the first and last day their rows can lie on (null without a timestamp).
+
+    A session's ``timestamp`` may be its start or its end, so its duration counts both ways; ``pad_days`` covers a
+    ``dt`` by local day.
+    """
+    ts = F.col("timestamp").cast("timestamp")
+    lasted = F.make_dt_interval(secs=F.coalesce("total_elapsed_time", F.lit(0.0)).cast("decimal(18,6)")) if "total_elapsed_time" in activities.columns else F.expr("interval '0' second")
+    begin = F.least(ts - lasted, F.col("start_time").cast("timestamp")) if "start_time" in activities.columns else ts - lasted
+    keys = [c for c in ("athlete_id", "source_file") if c in activities.columns]
+    return activities.groupBy(*keys).agg(
+        F.when(F.count("*") == F.count("timestamp"), F.date_sub(F.min(F.to_date(begin)), pad_days)).alias("_from"),
+        F.when(F.count("*") == F.count("timestamp"), F.date_add(F.max(F.to_date(ts + lasted)), pad_days)).alias("_to"))
+
+
+def only_activities(df: DataFrame, activities: DataFrame | None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Rows of the given activities; an activity that holds a large share of them is read by several tasks.
+
+    In a table by day (``dt``) an activity's rows are looked for on its own days, and folders outside all of
+    these are not read: the bounds are scalar subqueries on the partition column.
+    """
     if activities is None:
         return df
     keys = [c for c in ("athlete_id", "source_file") if c in activities.columns and c in df.columns]
-    return df.join(activities.select(*keys).distinct(), keys, "left_semi")
+    if "dt" not in df.columns or "timestamp" not in activities.columns:
+        return hot_join(df, activities.select(*keys).distinct(), keys, "left_semi", rows_per_task=rows_per_task)
+    days = activity_days(activities)
+    low = days.select(F.min(F.coalesce("_from", F.lit("0001-01-01").cast("date")))).scalar()
+    high = days.select(F.max(F.coalesce("_to", F.lit("9999-12-31").cast("date")))).scalar()
+    inside = F.col("_from").isNull() | F.col("dt").between(F.col("_from"), F.col("_to"))
+    return hot_join(df.filter((F.col("dt") >= low) & (F.col("dt") <= high)), days, keys, "left_semi", within=inside, rows_per_task=rows_per_task)
 
 
 def load_records(df: DataFrame, sport: str, activities: DataFrame | None = None,
