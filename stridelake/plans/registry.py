@@ -8,6 +8,7 @@ from .views import Query
 
 MODULES = [
     "source_queries",
+    "store_queries",
     "rollup_queries",
     "sport_queries",
     "power_queries",

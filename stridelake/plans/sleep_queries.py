@@ -82,12 +82,12 @@ CSV_SQL = f"with {CSV_NIGHTS} select *, round(deep_sec / 3600, 6) deep_hrs from
 
 
 def _sources(spark, sf_dir):
-    """Stored nights of the first ten days, documents of even days, CSV of every third user."""
+    """Stored nights (documents of odd days), documents of even days, CSV of every user and day: all rows take part."""
     docs = _nights(spark, sf_dir)
-    stored = docs.filter("calendar_date <= '2024-01-10'").withColumn("feedback", F.lit("stored"))
-    fresh = docs.filter("cast(substr(calendar_date, 9, 2) as int) % 2 = 0").withColumn(
-        "seq", F.struct(F.lit("a").alias("file"), F.lit(0).cast("bigint").alias("pos")))
-    csv = R.parse_key_values(csv_lines(spark, sf_dir).filter("cast(athlete_id as int) % 3 = 0"))
+    even = F.expr("cast(substr(calendar_date, 9, 2) as int) % 2 = 0")
+    stored = docs.filter(~even).withColumn("feedback", F.lit("stored"))
+    fresh = docs.filter(even).withColumn("seq", F.struct(F.lit("a").alias("file"), F.lit(0).cast("bigint").alias("pos")))
+    csv = R.parse_key_values(csv_lines(spark, sf_dir))
     csv = csv.withColumn("seq", F.struct(F.col("file"), F.lit(0).cast("bigint").alias("pos"))).drop("file").withColumn("feedback", F.lit("csv"))
     return stored, fresh, csv
 
@@ -98,8 +98,8 @@ def sleep_merge(spark, sf_dir):
 
 
 MERGE_SQL = V.with_views("night_exports", body=f"""{NIGHTS}, {CSV_NIGHTS},
-al as (select athlete_id, calendar_date, deep_sec, total_in_bed_sec, 'stored' feedback, 0 r from nt where calendar_date <= '2024-01-10'
-  union all select athlete_id, calendar_date, deep_sec, total_in_bed_sec, 'csv', 1 from cv where athlete_id::int % 3 = 0
+al as (select athlete_id, calendar_date, deep_sec, total_in_bed_sec, 'stored' feedback, 0 r from nt where substr(calendar_date, 9, 2)::int % 2 = 1
+  union all select athlete_id, calendar_date, deep_sec, total_in_bed_sec, 'csv', 1 from cv
   union all select athlete_id, calendar_date, deep_sec, total_in_bed_sec, feedback, 2 from nt where substr(calendar_date, 9, 2)::int % 2 = 0)
 select athlete_id, calendar_date, deep_sec, total_in_bed_sec, feedback from al qualify row_number() over (partition by athlete_id, calendar_date order by r desc) = 1""")
 
@@ -111,7 +111,7 @@ def sleep_merge_stats(spark, sf_dir):
 
 STATS_SQL = f"""with {CSV_NIGHTS}
 select athlete_id, count(*) filter (where substr(calendar_date, 9, 2)::int % 2 = 1) csv_rows_added,
-  count(*) filter (where substr(calendar_date, 9, 2)::int % 2 = 0) csv_rows_skipped from cv where athlete_id::int % 3 = 0 group by 1"""
+  count(*) filter (where substr(calendar_date, 9, 2)::int % 2 = 0) csv_rows_skipped from cv group by 1"""
 
 
 def sleep_summary(spark, sf_dir):

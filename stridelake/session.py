@@ -24,22 +24,29 @@ def get_spark(app: str = "stridelake", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    Used where a small derived table feeds several branches, so the large upstream
-    plan runs once and a lost executor re-reads files instead of recomputing it.
-    A local session without the setting gets a temporary folder; a cluster must name one.
+    Only a local session without the setting gets a temporary folder; a cluster must name one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not (sc.master == "local" or sc.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="stridelake-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the shared folder.
+
+    Used where a small derived table feeds several branches, so the large upstream
+    plan runs once and a lost executor re-reads files instead of recomputing it.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -145,16 +145,20 @@ def ingest_report(messages: DataFrame, stored: dict[str, DataFrame]) -> DataFram
     """Per (activity, message type): rows, whether it was skipped, unparsable documents and
     fields whose value does not fit the declared type."""
     keys = [c for c in ("athlete_id", "source_file") if c in messages.columns]
-    as_map = F.from_json("fields", T.MapType(T.StringType(), T.StringType()))
+    # as in flatten_messages, what a value is decides whether it is nested, not what its text looks like
+    document = F.expr("try_cast(try_parse_json(fields) as map<string, variant>)")
     numeric = sorted({
         f.name for t in S.MESSAGE_TYPES for f in S.ingest_schema(t).fields
         if isinstance(f.dataType, T.DoubleType)
     })
-    scalar = "k in ({}) and substr(ltrim(v), 1, 1) not in ('[', '{{') and v not in ('true', 'false') and try_cast(v as double) is null".format(
-        ", ".join(f"'{c}'" for c in numeric)
-    )
-    misfits = F.expr(f"size(map_filter(_f, (k, v) -> v is not null and {scalar}))")
-    stats = messages.withColumn("_f", as_map).groupBy(*keys, "msg_type").agg(
+
+    def misfit(k, v):
+        text = F.try_variant_get(v, "$", "string")
+        scalar = ~F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)")
+        return k.isin(numeric) & scalar & text.isNotNull() & ~text.isin("true", "false") & text.try_cast("double").isNull()
+
+    misfits = F.size(F.map_filter("_f", misfit))
+    stats = messages.withColumn("_f", document).groupBy(*keys, "msg_type").agg(
         F.count(F.lit(1)).alias("messages"),
         F.sum(F.when(F.col("_f").isNull(), 1).otherwise(0)).cast("bigint").alias("unparsable"),
         F.sum(F.coalesce(F.when(F.col("_f").isNotNull(), misfits), F.lit(0))).cast("bigint").alias("misfit_values"),

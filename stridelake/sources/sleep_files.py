@@ -97,14 +97,14 @@ def parse_night_documents(df: DataFrame, text: str = "night") -> DataFrame:
     return flatten_nights(df.withColumn(text, F.from_json(text, NIGHT)), text)
 
 
-def read_sleep_json(spark: SparkSession, path: str, athlete_id: str | None = None) -> DataFrame:
-    """Nights of ``*_sleepData.json`` files, each an array. Any other document gives no rows.
+def read_sleep_json(spark: SparkSession, path: str, athlete_id: str | None = None, pattern: str = "*_sleepData.json") -> DataFrame:
+    """Nights of the files that ``pattern`` names, each an array. Any other document gives no rows.
 
     ``seq`` orders nights by file name, then position. The athlete comes from an
     ``athlete_id=`` folder unless given.
     """
     files = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*_sleepData.json")
+        spark.read.option("wholetext", True).option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
     )
     arrays = files.filter(F.ltrim("value").startswith("["))
@@ -160,11 +160,12 @@ def _norm(label: str) -> str:
     return "".join(c for c in label.lower() if c.isascii() and c.isalnum())
 
 
-def read_sleep_csv(spark: SparkSession, path: str, athlete_id: str | None = None) -> DataFrame:
-    """Nights of CSV files with ``sleep`` in their name, one night per file."""
+def read_sleep_csv(spark: SparkSession, path: str, athlete_id: str | None = None,
+                   pattern: str = "*[sS][lL][eE][eE][pP]*.[cC][sS][vV]") -> DataFrame:
+    """Nights of CSV files that ``pattern`` names (with ``sleep`` in their name), one night per file."""
     lines = (
         spark.read.schema("key string, value string").option("header", True)
-        .option("pathGlobFilter", "*[sS][lL][eE][eE][pP]*.[cC][sS][vV]").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
         .csv(path)
     )
     tagged = lines.select(

@@ -3,62 +3,26 @@
 The file source's checkpoint remembers which files were read, so a restart neither skips
 nor repeats one. A batch appends the rows that the tables do not hold yet, whatever file they
 come from: a retried batch adds nothing, and a source that is split over batches loses nothing.
-Tables are partitioned by day, and a batch reads only the days it has rows of.
+Batches are committed through the ledger (``sources/ledger.py``): a batch reads only the days, and for rows
+without a day the buckets, that it has rows of.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources import messages as M
-from ..sources.sinks import write_records, write_table
+from ..sources.ledger import Ledger
 
 MESSAGE_SCHEMA = "athlete_id string, source_file string, msg_type string, fields string"
-#: Column that gives a row's day; types without one are one undated partition.
-DAY_OF = {"record_mesgs": "timestamp", "session_mesgs": "timestamp", "activity_mesgs": "timestamp",
-          "split_mesgs": "start_time", "file_id_mesgs": "time_created"}
-UNDATED = "1900-01-01"
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def _dated(rows: DataFrame, msg_type: str) -> DataFrame:
-    day = F.to_date(DAY_OF[msg_type]) if msg_type in DAY_OF else F.lit(None)
-    return rows.withColumn("dt", F.coalesce(day, F.lit(UNDATED)).cast("date"))
-
 
-def append_batch(batch: DataFrame, base: str, msg_types: list[str] | None = None) -> None:
-    """Append a batch's unseen rows to the tables under ``base``.
 
-    The batch is parsed once per type from one cached copy. Only its days (a distinct list, one value a
-    day) reach the driver, where they become a filter on the partition column of the stored table.
-    """
-    spark = batch.sparkSession
-    batch.persist()
-    try:
-        for msg_type in msg_types or M.S.MESSAGE_TYPES:
-            path = f"{base}/{msg_type}"
-            rows = _dated(M.dedup(M.flatten_messages(batch, msg_type).filter(~F.col("_bad")).drop("_bad")), msg_type).persist()
-            days = [r.dt for r in rows.select("dt").distinct().collect()]
-            stored = _stored(spark, path) if days else None
-            new = rows
-            if stored is not None:
-                new = M.without_stored(rows, stored.filter(F.col("dt").isin(days)))
-            if days:
-                write_records(new, path) if msg_type == "record_mesgs" else write_table(new, path, ["dt"])
-            rows.unpersist()
-    finally:
-        batch.unpersist()
+def append_batch(batch: DataFrame, base: str, msg_types: list[str] | None = None, name: str | None = None) -> None:
+    """Append a batch's unseen rows to the tables under ``base``; under a ``name`` it is committed once."""
+    Ledger(batch.sparkSession, base).append(batch, name or f"batch-{uuid.uuid4().hex}", msg_types, skip_known=False)
 
 
 def run_available(spark: SparkSession, source: str, base: str, checkpoint: str,
@@ -69,8 +33,9 @@ def run_available(spark: SparkSession, source: str, base: str, checkpoint: str,
         .option("maxFilesPerTrigger", max_files)
         .json(source)
     )
+    of = f"{zlib.crc32(checkpoint.encode()):08x}"  # batch numbers count within a checkpoint
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: append_batch(batch, base, msg_types))
+        stream.writeStream.foreachBatch(lambda batch, k: append_batch(batch, base, msg_types, f"stream-{of}-{k}"))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
