@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rint, rnd
 from ..functions.timekeys import as_date, month_start, utc_date
+from ..session import shuffle_width
 from . import series
-from .power import DAYS_PER_MONTH, DEFAULT_FTP, power_series
+from .power import DAYS_PER_MONTH, DEFAULT_FTP, repaired_power
 from .series import ACTIVITY
 
 OWNER = "athlete_id"
@@ -152,37 +155,49 @@ def _after(b: Column, t: Column, s: Column, v: Column) -> Column:
     return _power_of_e(-t) * (s + F.greatest(b, v))
 
 
+_ENTRY = "athlete_id string, source_file string, chunk bigint, b_in double"
+
+
+def _entering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the chunks of activities in order: the balance before each one.
+
+    A chunk maps the balance b to max(a b + c, low); only that of the activity at hand is held.
+    """
+    held, b = None, 0.0
+    for batch in batches:
+        entries = []
+        for r in batch.to_pylist():
+            activity = (r["athlete_id"], r["source_file"])
+            if activity != held:
+                held, b = activity, r["full"]
+            entries.append({"athlete_id": activity[0], "source_file": activity[1], "chunk": r["chunk"], "b_in": b})
+            b = r["a"] * b + r["c"]
+            if r["low"] is not None:
+                b = max(b, r["low"])
+        if entries:
+            yield pa.RecordBatch.from_pylist(entries, schema=pa.schema([
+                ("athlete_id", pa.string()), ("source_file", pa.string()), ("chunk", pa.int64()), ("b_in", pa.float64())]))
+
+
 def wprime_balance(records: DataFrame, models: DataFrame, order: list[str] | None = None) -> DataFrame:
     """W' balance of every point. ``models`` is ``ride_models``' result.
 
-    Chunks are solved side by side. Only activities longer than a chunk need the balance
-    handed from chunk to chunk, which folds one small row per chunk.
+    Chunks are solved side by side and in one way, whatever an activity's length: each is a map of the balance it
+    begins with, a pass over one small row per chunk applies these maps in turn, and the balances found meet the points again. Both uses of
+    the points share one exchange.
     """
-    points = series.chunked(power_series(records, order)).drop("own")
-    sizes = records.groupBy(*ACTIVITY).agg(F.count(F.lit(1)).alias("_n"))
-    lasts = models.join(sizes, ACTIVITY)
-    spread = lasts.select(
-        *ACTIVITY, "cp", "wprime_kj", F.explode(F.sequence(F.lit(0).cast("bigint"), series.chunk_of(F.col("_n") - 1))).alias("chunk"),
-        (F.col("_n") > series.CHUNK_ROWS).alias("_long"),
-    )
+    found = models.select(*ACTIVITY, "cp", "wprime_kj")
+    points = _steps(repaired_power(records, order, of_activity=found).filter("own").drop("own"))
     keys = [*ACTIVITY, "chunk"]
-    long = spread.filter("_long").drop("_long")
-    ends = _steps(points.join(long, keys)).groupBy(*keys).agg(
-        F.max("wprime_kj").alias("wprime_kj"), F.max("_t").alias("t"),
-        F.max_by("_s", "seq").alias("s"), F.max("_v").alias("v"),
-    )
-    chain = ends.groupBy(*ACTIVITY).agg(
-        (F.max("wprime_kj") * 1000).alias("_wp"), F.sort_array(F.collect_list(F.struct("chunk", "t", "s", "v"))).alias("_c")
-    )
-    entries = F.aggregate(
-        "_c", F.array(F.col("_wp")),
-        lambda acc, c: F.concat(acc, F.array(_after(F.element_at(acc, -1), c["t"], c["s"], c["v"]))),
-    )
-    entering = chain.select(*ACTIVITY, F.posexplode(entries).alias("chunk", "_in")).withColumn("chunk", F.col("chunk").cast("bigint"))
-    with_entry = spread.join(entering, keys, "left").withColumn("_in", F.coalesce("_in", F.col("wprime_kj") * 1000)).drop("_long")
-    solved = _steps(points.join(with_entry, keys)).withColumn(
-        "balance", _after(F.col("_in"), F.col("_t"), F.col("_s"), F.col("_v"))
+    after, last = _power_of_e(-F.col("t")), F.struct("_t", "_s")
+    ends = points.groupBy(*keys).agg(
+        (F.max("wprime_kj") * 1000).alias("full"), F.max_by(last, "seq").alias("e"), F.max("_v").alias("v"),
+    ).select(*keys, "full", F.col("e._t").alias("t"), F.col("e._s").alias("s"), "v").select(
+        *keys, "full", after.alias("a"), (after * F.col("s")).alias("c"), (after * (F.col("s") + F.col("v"))).alias("low")
     )
+    entering = (ends.repartition(shuffle_width(records), *ACTIVITY).sortWithinPartitions(*keys)
+                .mapInArrow(_entering, _ENTRY))
+    solved = points.join(entering, keys).withColumn("balance", _after(F.col("b_in"), F.col("_t"), F.col("_s"), F.col("_v")))
     wp = F.col("wprime_kj") * 1000
     return solved.select(
         *ACTIVITY, "seq", (F.col("seq") / 60.0).alias("time_min"), "power",

@@ -39,19 +39,21 @@ FEW_DURATIONS = 64
 
 
 def repaired_power(records: DataFrame, order: list[str] | None = None, halo: int = 0,
-                   heavy: bool = False) -> DataFrame:
+                   heavy: bool = False, of_activity: DataFrame | None = None) -> DataFrame:
     """Chunked whole-watt power of every activity that has any.
 
     A missing value becomes the mean of the two raw values before it when both exist, else
     0; the result is cut to whole watts. Columns: keys, order columns, ``seq``, ``chunk``,
     ``own`` and ``power``. ``halo`` is the look-back the caller needs; values of the copied
     rows are right except in the first two, which no frame within ``halo`` reaches.
-    ``heavy`` keeps the configured number of tasks for costly work that follows.
+    ``heavy`` keeps the configured number of tasks for costly work that follows. ``of_activity`` adds its columns (one
+    row for each activity; others are left out).
     """
     order = order or ["timestamp"]
     thin = records.select(*ACTIVITY, *order, "power")
     numbered = series.number_rows(
-        thin, ACTIVITY, order, series.hour_bucket(order[0]), totals={"_known": F.count("power")}
+        thin, ACTIVITY, order, series.hour_bucket(order[0]), totals={"_known": F.count("power")},
+        of_group=of_activity,
     )
     parts = series.chunked(numbered.filter(F.col("_known") > 0).drop("_known"), halo + 2)
     if heavy:

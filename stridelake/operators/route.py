@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import FEET_PER_METRE, METRES_PER_MILE, degrees, feet, miles, mph, rint, rnd
@@ -24,9 +24,6 @@ MIN_GAIN_M = 30.0
 MERGE_GAP_M = 1609.0
 MERGE_DROP_SHARE = 0.3
 
-# rows per block when climbs meet the points they cover
-BLOCK_ROWS = 256
-
 
 def route_points(records: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Points with a position, in order, in degrees, feet and mph; ``seq`` counts from 0."""
@@ -66,7 +63,7 @@ def route_centre(points: DataFrame) -> DataFrame:
     )
 
 
-def _profile(records: DataFrame, order: list[str], extra: list[str]) -> DataFrame:
+def _profile(records: DataFrame, order: list[str], extra: list[str], halo: int = SMOOTH_POINTS + 1) -> DataFrame:
     """Filled distance and altitude with both grades; ``seq`` counts kept points from 0.
 
     Leading points without a distance or altitude are the only ones dropped, so the
@@ -81,7 +78,7 @@ def _profile(records: DataFrame, order: list[str], extra: list[str]) -> DataFram
         .withColumn("last", F.col("_raw") == F.col("rows") - 1)
         .drop("_raw", "rows", "lead")
     )
-    parts = series.chunked(kept, SMOOTH_POINTS + 1)
+    parts = series.chunked(kept, halo)
     w = series.chunk_window(ACTIVITY)
     rise = F.col("enhanced_altitude") - F.lag("enhanced_altitude").over(w)
     run = F.col("distance") - F.lag("distance").over(w)
@@ -114,44 +111,87 @@ def graded_route(points: DataFrame, profile: DataFrame) -> DataFrame:
     )
 
 
-def climb_segments(records: DataFrame, order: list[str] | None = None,
-                   min_grade: float = MIN_GRADE) -> DataFrame:
-    """Maximal runs of points whose smoothed grade is at least ``min_grade``.
+def climb_spans(records: DataFrame, order: list[str] | None = None, min_grade: float = MIN_GRADE) -> DataFrame:
+    """Maximal runs of points whose smoothed grade is at least ``min_grade``, each with the gap before it.
 
-    Only the two ends of a run leave the point level: starts and ends alternate along an
-    activity, so position // 2 among them pairs each start with its end.
+    One pass over the profile: inside a chunk points add up to spans, alternately steep and not, and a chunk's spans
+    become one row. A table of one row per chunk tells which first spans go on from the chunk before and numbers the rest;
+    parts of a span then merge, as all its sums do. Columns: ``segment``, and for the steep span ``seg`` and the gap
+    ``gap`` (null at the start of a route) structs of the ends, the point before and the sums of ``_SUMS``.
     """
     order = order or ["timestamp"]
-    points = _profile(records, order, [])
+    points = _profile(records, order, ["power", "cadence"], max(SMOOTH_POINTS + 1, POWER_POINTS))
     w = series.chunk_window(ACTIVITY)
     here = F.struct("seq", "dist_m", "alt_m", *order)
-    flags = points.withColumn("_s", F.col("grade") >= min_grade)
-    marked = flags.withColumn("_b", F.coalesce(F.lag("_s").over(w), F.lit(False))).withColumn("_prev", F.lag(here).over(w))
+    watts, turns = (F.coalesce(c, F.lit(0.0)).cast("bigint") for c in ("power", "cadence"))
+    # whole-watt running sum: the 30-point mean is one subtraction
+    summed = points.withColumn("p", watts).withColumn("_c", F.sum("p").over(w)).withColumn("_steep", F.coalesce(F.col("grade") >= min_grade, F.lit(False)))
+    mean = (F.col("_c") - F.coalesce(F.lag("_c", POWER_POINTS).over(w), F.lit(0))) / POWER_POINTS
+    marked = summed.select(
+        *ACTIVITY, "seq", "chunk", "own", "instant", "p", turns.alias("cad"), "_steep", here.alias("at"),
+        F.pow(mean, F.lit(4)).alias("p4"), F.lag("_steep").over(w).alias("_was"), F.lag(here).over(w).alias("before"),
+    ).filter("own")
+    # a chunk's first point always begins a part; whether it goes on from the chunk before is settled below
+    edge = F.col("_was").isNull() | (F.col("_was") != F.col("_steep")) | (F.col("seq") == F.col("chunk") * F.lit(series.CHUNK_ROWS))
+    local = marked.withColumn("_edge", edge).withColumn("_k", F.sum(F.col("_edge").cast("int")).over(w)).withColumn(
+        "_from", F.max(F.when(F.col("_edge"), F.col("seq"))).over(w))
+    early = F.col("seq") - F.col("_from") < POWER_POINTS - 1
+    parts = local.groupBy(*ACTIVITY, "chunk", "_k").agg(
+        F.first("_steep").alias("steep"), F.min("at").alias("a"), F.max("at").alias("z"), F.min_by("before", "seq").alias("before"),
+        F.count(F.lit(1)).alias("n"), F.max("instant").alias("instant"),
+        F.sum(F.when(F.col("p") > 0, F.col("p"))).alias("p"), F.count(F.when(F.col("p") > 0, 1)).alias("p_n"),
+        F.sum(F.when(F.col("cad") > 0, F.col("cad"))).alias("cad"), F.count(F.when(F.col("cad") > 0, 1)).alias("cad_n"),
+        # the first points of a climb do not count; which span begins one is not known yet
+        F.transform(F.sort_array(F.collect_list(F.when(early, F.struct("seq", "p4")))), lambda x: x["p4"]).alias("head"),
+        F.coalesce(F.sum(F.when(~early, F.col("p4"))), F.lit(0.0)).alias("tail"),
+    )
+    fields = [c for c in parts.columns if c not in (*ACTIVITY, "chunk", "_k")]
+    # dealt by another key than the windows' one, else the exchange that both uses below share would be planned away
+    packed = (parts.groupBy(*ACTIVITY, "chunk").agg(F.sort_array(F.collect_list(F.struct("_k", F.struct(*fields).alias("v")))).alias("spans"))
+              .repartition(shuffle_width(records), F.xxhash64(*ACTIVITY, "chunk")))
+    along = Window.partitionBy(*ACTIVITY).orderBy("chunk")
+    ends = packed.select(*ACTIVITY, "chunk", F.size("spans").alias("m"), F.col("spans")[0]["v"]["steep"].alias("first"),
+                         F.element_at("spans", -1)["v"]["steep"].alias("last"))
+    known = ends.withColumn("_on", F.coalesce(F.lag("last").over(along) == F.col("first"), F.lit(False)).cast("int"))
+    carry = known.select(
+        *ACTIVITY, "chunk", "_on", F.first("first").over(along).cast("int").alias("_lead"),
+        F.coalesce(F.sum(F.col("m") - F.col("_on")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    flat = packed.join(carry, [*ACTIVITY, "chunk"]).select(
+        *ACTIVITY, "_lead", (F.col("_base") - F.col("_on")).alias("_base"), "chunk", F.posexplode_outer("spans").alias("_pos", "s"))
+    # (the outer generator keeps both uses of the exchange alike: an inner one adds a filter to its own)
+    # spans alternate, so a gap and the steep span after it share a number
+    numbered = flat.withColumn("segment", F.floor((F.col("_base") + F.col("_pos") + F.col("_lead")) / 2))
+    merged = numbered.groupBy(*ACTIVITY, "segment").agg(*[_joined(F.col("s.v.steep") == flag).alias(name) for name, flag in (("gap", False), ("seg", True))])
+    return merged.filter(F.col("seg.n").isNotNull())
+
+
+_SUMS = ["n", "instant", "p", "p_n", "cad", "cad_n", "head", "tail"]
+
+
+def _joined(mine: Column) -> Column:
+    """One span from its parts in the chunks it crosses."""
+    v = F.when(mine, F.col("s.v"))
+    heads = F.flatten(F.transform(F.sort_array(F.collect_list(F.when(mine, F.struct("chunk", F.col("s.v.head").alias("h"))))), lambda x: x["h"]))
+    later = F.aggregate(F.slice(heads, POWER_POINTS, F.lit(1 << 30)), F.lit(0.0), lambda acc, x: acc + x)
+    return F.struct(
+        F.min(v["a"]).alias("a"), F.max(v["z"]).alias("z"), F.min_by(v["before"], v["a"]).alias("before"), F.sum(v["n"]).alias("n"),
+        F.max(v["instant"]).alias("instant"), F.sum(v["p"]).alias("p"), F.sum(v["p_n"]).alias("p_n"), F.sum(v["cad"]).alias("cad"),
+        F.sum(v["cad_n"]).alias("cad_n"), F.slice(heads, 1, POWER_POINTS - 1).alias("head"), (F.sum(v["tail"]) + later).alias("tail"))
 
-    def edge(kind: int, when: Column, at: Column) -> Column:
-        return F.when(when, F.struct(F.lit(kind).alias("kind"), at.alias("at")))
 
-    # an end is noticed on the row after it; a run still open at the last row ends there
-    found = F.array(
-        edge(0, F.col("_s") & ~F.col("_b"), here),
-        edge(1, ~F.col("_s") & F.col("_b"), F.col("_prev")),
-        edge(1, F.col("_s") & F.col("last"), here),
-    )
-    flat = marked.filter("own").select(*ACTIVITY, F.explode(F.filter(found, lambda e: e.isNotNull())).alias("e")).select(
-        *ACTIVITY, F.col("e.kind").alias("kind"), F.col("e.at.seq").alias("seq"), F.col("e.at").alias("at")
-    )
-    flat = cut_lineage(flat)
-    numbered = series.number_rows(flat, ACTIVITY, ["seq", "kind"], series.chunk_of(F.col("seq")), "_p")
-    ends = numbered.groupBy(*ACTIVITY, F.floor(F.col("_p") / 2).alias("segment")).agg(
-        F.max(F.when(F.col("kind") == 0, F.col("at"))).alias("a"), F.max(F.when(F.col("kind") == 1, F.col("at"))).alias("z")
-    )
-    ts = order[0]
-    return ends.select(
+def climb_segments(records: DataFrame, order: list[str] | None = None,
+                   min_grade: float = MIN_GRADE) -> DataFrame:
+    """Maximal runs of points whose smoothed grade is at least ``min_grade``."""
+    return _segment_ends(climb_spans(records, order, min_grade), (order or ["timestamp"])[0])
+
+
+def _segment_ends(spans: DataFrame, ts: str, *more: Column) -> DataFrame:
+    return spans.select(
         *ACTIVITY, "segment",
-        F.col("a.seq").alias("start_seq"), F.col("z.seq").alias("end_seq"),
-        F.col("a.dist_m").alias("start_m"), F.col("z.dist_m").alias("end_m"),
-        F.col("a.alt_m").alias("start_alt_m"), F.col("z.alt_m").alias("end_alt_m"),
-        F.col(f"a.{ts}").alias("start_ts"), F.col(f"z.{ts}").alias("end_ts"),
+        F.col("seg.a.seq").alias("start_seq"), F.col("seg.z.seq").alias("end_seq"),
+        F.col("seg.a.dist_m").alias("start_m"), F.col("seg.z.dist_m").alias("end_m"),
+        F.col("seg.a.alt_m").alias("start_alt_m"), F.col("seg.z.alt_m").alias("end_alt_m"),
+        F.col(f"seg.a.{ts}").alias("start_ts"), F.col(f"seg.z.{ts}").alias("end_ts"), *more,
     )
 
 
@@ -162,11 +202,15 @@ def merge_segments(segments: DataFrame) -> DataFrame:
     ``MERGE_GAP_M`` and the drop in it is under 30 % of what was gained so far, or nothing
     was gained. A wider gap always separates, whatever came before, so the sequential
     merge runs separately between wide gaps, in parallel.
+
+    With ``prev_end_m`` and the sums of segments (``seg``) and of the gaps before them (``gap``) the climbs' sums come along.
     """
-    # neighbours meet by their running number: an equi join, not a window per activity
-    prior = segments.select(*ACTIVITY, (F.col("segment") + 1).alias("segment"), F.col("end_m").alias("_prev_end_m"))
-    linked = segments.join(prior, [*ACTIVITY, "segment"], "left")
-    wide = F.col("_prev_end_m").isNull() | (F.col("start_m") - F.col("_prev_end_m") >= MERGE_GAP_M)
+    linked = segments
+    if "prev_end_m" not in segments.columns:
+        # neighbours meet by their running number: an equi join, not a window per activity
+        prior = segments.select(*ACTIVITY, (F.col("segment") + 1).alias("segment"), F.col("end_m").alias("prev_end_m"))
+        linked = segments.join(prior, [*ACTIVITY, "segment"], "left")
+    wide = F.col("prev_end_m").isNull() | (F.col("start_m") - F.col("prev_end_m") >= MERGE_GAP_M)
     starts = linked.withColumn("_wide", wide)
     heads = series.chunked(starts, 0, "segment")
     w = series.chunk_window(ACTIVITY, "segment")
@@ -176,10 +220,10 @@ def merge_segments(segments: DataFrame) -> DataFrame:
     carry = known.select(*ACTIVITY, "chunk", F.max("_last").over(earlier).alias("_in"))
     runs = heads.withColumn("_w", within).join(carry, [*ACTIVITY, "chunk"]).withColumn("run", F.coalesce("_w", "_in"))
     fields = ["start_seq", "end_seq", "start_m", "end_m", "start_alt_m", "end_alt_m", "start_ts", "end_ts"]
-    rows = runs.select(*ACTIVITY, "run", "segment", *fields)
+    rows = runs.select(*ACTIVITY, "run", "segment", *fields, *[c for c in ("seg", "gap") if c in runs.columns])
     # a run's segments pass in order through one task, which holds the climb that is still open
     placed = rows.repartition(shuffle_width(segments), *ACTIVITY, "run").sortWithinPartitions(*ACTIVITY, "run", "segment")
-    return placed.mapInArrow(_merge_runs, rows.schema).drop("run")
+    return placed.mapInArrow(_merge_runs, rows.schema).drop("run", "gap")
 
 
 def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +235,9 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = top is not None and all(top[k] == seg[k] for k in (*ACTIVITY, "run"))
             if same and _joins(top, seg):
                 top |= {k: v for k, v in seg.items() if k.startswith("end")}
+                for span in (seg.get("gap"), seg.get("seg")):
+                    if span and span["n"]:
+                        _absorb(top["seg"], span)
                 continue
             if top is not None:
                 done.append(top)
@@ -201,6 +248,16 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([top], schema=schema)
 
 
+def _absorb(climb: dict, span: dict) -> None:
+    """Add a span's sums to a climb's; the climb's first points stay out of its mean fourth power."""
+    missing = max(0, POWER_POINTS - 1 - climb["n"])
+    climb["tail"] += span["tail"] + sum(span["head"][missing:])
+    climb["n"] += span["n"]
+    climb["instant"] = max((x for x in (climb["instant"], span["instant"]) if x is not None), default=None)
+    for k in ("p", "p_n", "cad", "cad_n"):
+        climb[k] = (climb[k] or 0) + (span[k] or 0)
+
+
 def _joins(top: dict, seg: dict) -> bool:
     """A condition on a missing value does not hold."""
     low, high, start = top["start_alt_m"], top["end_alt_m"], seg["start_alt_m"]
@@ -211,67 +268,39 @@ def _joins(top: dict, seg: dict) -> bool:
 
 def climbs(records: DataFrame, order: list[str] | None = None, min_grade: float = MIN_GRADE,
            min_distance_m: float = MIN_DISTANCE_M, min_gain_m: float = MIN_GAIN_M) -> DataFrame:
-    """Sustained climbs with grade, climbing rate, power and cadence; ``climb_no`` along the route."""
+    """Sustained climbs with grade, climbing rate, power and cadence; ``climb_no`` along the route.
+
+    Sums of the points travel with the spans that climbs are merged from, so the points are passed once.
+    """
     order = order or ["timestamp"]
-    merged = merge_segments(climb_segments(records, order, min_grade)).filter(
+    sums = [F.struct(*[F.col(f"{k}.{c}") for c in _SUMS]).alias(k) for k in ("seg", "gap")]
+    spans = climb_spans(records, order, min_grade)
+    # one row for each steep stretch, which the runs, the merge and the numbering all read
+    segments = cut_lineage(_segment_ends(spans, order[0], F.col("gap.before.dist_m").alias("prev_end_m"), *sums))
+    merged = merge_segments(segments).filter(
         (F.col("end_m") - F.col("start_m") >= min_distance_m)
         & (F.col("end_alt_m") - F.col("start_alt_m") >= min_gain_m)
     )
-    stats = _climb_points(records, merged, order)
     # climbs of one activity are far apart by construction (>= 400 m each): a short list
     numbered = series.number_rows(merged, ACTIVITY, ["start_seq"], series.chunk_of(F.col("start_seq")), "_k")
-    joined = numbered.join(stats, [*ACTIVITY, "start_seq"], "left")
     distance = F.col("end_m") - F.col("start_m")
     gain = F.col("end_alt_m") - F.col("start_alt_m")
     seconds = seconds_between(F.col("start_ts"), F.col("end_ts"))
-    return joined.select(
+    power = rint(F.try_divide("seg.p", "seg.p_n"))
+    counted = F.col("seg.n") - (POWER_POINTS - 1)
+    fourth = F.when(counted > 0, rint(F.pow(F.col("seg.tail") / counted, F.lit(0.25))))
+    return numbered.select(
         *ACTIVITY, (F.col("_k") + 1).alias("climb_no"), "start_seq", "end_seq",
         rnd(F.col("start_m") / METRES_PER_MILE, 2).alias("start_mi"),
         rnd(F.col("end_m") / METRES_PER_MILE, 2).alias("end_mi"),
         rnd(distance / METRES_PER_MILE, 2).alias("distance_mi"),
         rint(gain * FEET_PER_METRE).alias("elevation_gain_ft"),
         rnd(F.when(distance > 0, gain / distance * 100).otherwise(0.0), 1).alias("avg_grade"),
-        rnd(F.col("max_instant"), 1).alias("max_grade"),
+        rnd(F.col("seg.instant"), 1).alias("max_grade"),
         F.when(seconds > 0, F.floor(seconds).cast("bigint")).alias("duration_s"),
         F.when(seconds > 0, rint(gain / (seconds / 3600))).alias("vam"),
-        "avg_power", "normalized_power", "avg_cadence",
-    )
-
-
-def _climb_points(records: DataFrame, merged: DataFrame, order: list[str]) -> DataFrame:
-    """Per climb: steepest instant grade, mean power and cadence without zeros, normalised
-    power. A point finds its climb through the block of positions both fall in."""
-    points = _profile(records, order, ["power", "cadence"])
-    whole = points.select(
-        *ACTIVITY, "seq", "chunk", "own", "instant",
-        F.coalesce("power", F.lit(0.0)).cast("bigint").alias("p"),
-        F.coalesce("cadence", F.lit(0.0)).cast("bigint").alias("cad"),
-    )
-    # whole-watt running sum: the 30-point mean is one subtraction
-    own = whole.filter("own").drop("own", "chunk")
-    parts = series.chunked(own, POWER_POINTS)
-    w = series.chunk_window(ACTIVITY)
-    summed = parts.withColumn("_c", F.sum("p").over(w))
-    rolled = summed.withColumn(
-        "p30", (F.col("_c") - F.coalesce(F.lag("_c", POWER_POINTS).over(w), F.lit(0))) / POWER_POINTS
-    ).filter("own").drop("_c", "own", "chunk").withColumn("block", F.floor(F.col("seq") / BLOCK_ROWS))
-    covers = merged.select(
-        *ACTIVITY, "start_seq", "end_seq",
-        F.explode(F.sequence(F.floor(F.col("start_seq") / BLOCK_ROWS), F.floor(F.col("end_seq") / BLOCK_ROWS))).alias("block"),
-    )
-    inside = rolled.join(covers, [*ACTIVITY, "block"]).filter(
-        (F.col("seq") >= F.col("start_seq")) & (F.col("seq") <= F.col("end_seq"))
-    )
-    full = F.col("seq") - F.col("start_seq") >= POWER_POINTS - 1
-    agg = inside.groupBy(*ACTIVITY, "start_seq").agg(
-        F.max("instant").alias("max_instant"),
-        rint(F.avg(F.when(F.col("p") > 0, F.col("p")))).alias("avg_power"),
-        rint(F.pow(F.avg(F.when(full, F.pow("p30", F.lit(4)))), F.lit(0.25))).alias("_np"),
-        rint(F.avg(F.when(F.col("cad") > 0, F.col("cad")))).alias("avg_cadence"),
-    )
-    return agg.select(
-        *ACTIVITY, "start_seq", "max_instant", "avg_power", "avg_cadence",
-        F.when(F.col("avg_power").isNotNull(), F.col("_np")).alias("normalized_power"),
+        power.alias("avg_power"), F.when(power.isNotNull(), fourth).alias("normalized_power"),
+        rint(F.try_divide("seg.cad", "seg.cad_n")).alias("avg_cadence"),
     )
 
 

@@ -50,12 +50,14 @@ def number_rows(
     seq: str = "seq",
     totals: dict[str, Column] | None = None,
     firsts: dict[str, str] | None = None,
+    of_group: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``seq``, the 0-based position of a row within ``keys`` ordered by ``order``.
 
     ``bucket`` must not decrease along ``order``; keys must not be null. ``totals`` adds whole-group sums of the
     given counting aggregates and ``firsts`` the group's first value of a column, both
-    through the table of buckets, without another pass.
+    through the table of buckets, without another pass. So do the columns of ``of_group`` (one row for each
+    group); groups that it lacks are left out.
     """
     totals, firsts = totals or {}, firsts or {}
     rows = df.withColumn("_bucket", bucket)
@@ -73,6 +75,8 @@ def number_rows(
         *[F.sum(n).over(group).alias(n) for n in totals],
         *[F.first(n).over(whole).alias(n) for n in firsts],
     )
+    if of_group is not None:
+        offsets = offsets.join(of_group, keys)
     local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
         rows.withColumn("_pos", F.row_number().over(local))
