@@ -304,14 +304,37 @@ def climbs(records: DataFrame, order: list[str] | None = None, min_grade: float
     )
 
 
-def climb_route_points(found: DataFrame, profile: DataFrame, points: DataFrame) -> DataFrame:
-    """Route position of every climb's start and end: the profile point nearest in distance,
-    the first one on a tie.
+def nearest_places(marks: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    """``marks`` (keys, at_mi, ...) with ``seq`` of the place (keys, distance_mi, seq) nearest in distance, the first on a tie.
 
-    A climb's mile marks are rounded from real profile points, so the nearest point lies
-    within half a hundredth of a mile; only the hundredth-mile cells that reach are joined.
-    Equal distances collapse to their first position beforehand.
+    Marks and places are sorted together within a mile of a route; a mark takes the last place up to it and the first from
+    it on. Where its mile has none on a side, a table of one row per mile hands over the nearest mile's outermost
+    one, however far. So gaps of any length and marks anywhere cost one sort each way.
     """
+    mile = F.floor("mi")
+    other = [c for c in marks.columns if c not in (*keys, "at_mi")]
+    place = F.struct(F.col("distance_mi").alias("mi"), "seq")
+    spots = (places.filter(F.col("distance_mi").isNotNull()).groupBy(*keys, "distance_mi").agg(F.min("seq").alias("seq"))
+             .select(*keys, F.col("distance_mi").alias("mi"), place.alias("place")))
+    asked = marks.filter(F.col("at_mi").isNotNull()).select(*keys, F.col("at_mi").alias("mi"), F.struct(*other, "at_mi").alias("mark"))
+    rows = spots.unionByName(asked, allowMissingColumns=True).withColumn("cell", mile)
+    up = Window.partitionBy(*keys, "cell").orderBy("mi").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*keys, "cell").orderBy(F.col("mi").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    beside = rows.withColumn("_low", F.max("place").over(up)).withColumn("_high", F.min("place").over(down)).filter(F.col("mark").isNotNull())
+    cells = rows.groupBy(*keys, "cell").agg(F.max("place").alias("_top"), F.min("place").alias("_bottom"))
+    before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*keys).orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select(*keys, "cell", F.last("_top", ignorenulls=True).over(before).alias("_under"),
+                           F.last("_bottom", ignorenulls=True).over(behind).alias("_over"))
+    both = beside.join(carried, [*keys, "cell"])
+    sides = F.array(F.coalesce("_low", "_under"), F.coalesce("_high", "_over"))
+    gaps = F.transform(F.filter(sides, lambda p: p.isNotNull()), lambda p: F.struct(F.abs(p["mi"] - F.col("mi")).alias("gap"), p["seq"].alias("seq")))
+    return both.select(*keys, "mark.*", F.array_min(gaps)["seq"].alias("seq"))
+
+
+def climb_route_points(found: DataFrame, profile: DataFrame, points: DataFrame) -> DataFrame:
+    """Route position of every climb's start and end: the profile point nearest in distance,
+    the first one on a tie."""
     marks = found.select(
         *ACTIVITY, "climb_no",
         F.explode(F.array(
@@ -319,13 +342,6 @@ def climb_route_points(found: DataFrame, profile: DataFrame, points: DataFrame)
             F.struct(F.lit("end").alias("mark"), F.col("end_mi").alias("at_mi")),
         )).alias("m"),
     ).select(*ACTIVITY, "climb_no", "m.*")
-    cell = F.rint(F.col("at_mi") * 100).cast("bigint")
-    near = marks.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    places = profile.groupBy(*ACTIVITY, "distance_mi").agg(F.min("seq").alias("seq")).withColumn(
-        "cell", F.floor(F.col("distance_mi") * 100)
-    )
-    best = near.join(places, [*ACTIVITY, "cell"]).groupBy(*ACTIVITY, "climb_no", "mark", "at_mi").agg(
-        F.min(F.struct(F.abs(F.col("distance_mi") - F.col("at_mi")).alias("gap"), "seq")).alias("b")
-    )
-    at = best.select(*ACTIVITY, "climb_no", "mark", "at_mi", F.col("b.seq").alias("seq"))
-    return at.join(points.select(*ACTIVITY, "seq", "lat", "lon"), [*ACTIVITY, "seq"], "left")
+    at = nearest_places(marks, profile.select(*ACTIVITY, "distance_mi", "seq"), ACTIVITY).filter(F.col("seq").isNotNull())
+    return at.join(points.select(*ACTIVITY, "seq", "lat", "lon"), [*ACTIVITY, "seq"], "left").select(
+        *ACTIVITY, "seq", "climb_no", "mark", "at_mi", "lat", "lon")

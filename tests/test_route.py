@@ -108,7 +108,6 @@ def test_profile_matches_point_by_point(spark, small_chunks):
 @pytest.mark.parametrize("chunk", [7, 65536])
 def test_climbs_match_a_sequential_walk(spark, monkeypatch, chunk):
     monkeypatch.setattr(R.series, "CHUNK_ROWS", chunk)
-    monkeypatch.setattr(R, "BLOCK_ROWS", 16)
     got = R.climbs(_records(spark)).collect()
     counts = {}
     for name, points in RIDES.items():
@@ -140,3 +139,21 @@ def test_route_keeps_located_points_in_order(spark):
     got = R.route_points(df).orderBy("seq").collect()
     assert [(r.seq, r.lat, r.lon, r.power) for r in got] == [(i, 45.0, 90.0, 0.0) for i in range(3)]
     assert R.route_centre(R.route_points(df)).first().points == 3
+
+
+def test_nearest_place_at_any_distance(spark):
+    """Marks at arbitrary places, gaps of many miles, ties to both sides and routes that go back."""
+    rnd = random.Random(7)
+    places, marks = [], []
+    for f in "abcdef":
+        at = [round(rnd.choice([rnd.random() * 3, 40 + rnd.random(), 500.0, -2.5]), rnd.choice([0, 1, 5])) for _ in range(rnd.randrange(1, 60))]
+        places += [("a", f, x, i) for i, x in enumerate(at)] + [("a", f, None, 99)]
+        marks += [("a", f, k, rnd.choice([round(rnd.random() * 60, 1), 520.25, -7.0, 250.0, 1.5])) for k in range(30)]
+    marks += [("a", "none", 1, 1.0), ("a", "a", 77, None)]
+    got = R.nearest_places(spark.createDataFrame(marks, "athlete_id string, source_file string, k int, at_mi double"),
+                           spark.createDataFrame(places, "athlete_id string, source_file string, distance_mi double, seq long"), R.ACTIVITY)
+    want = {}
+    for _, f, k, x in marks:
+        if x is not None:
+            want[f, k] = min(((abs(d - x), i) for _, g, d, i in places if g == f and d is not None), default=(0, None))[1]
+    assert {(r.source_file, r.k): r.seq for r in got.collect()} == want
