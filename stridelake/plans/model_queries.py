@@ -1,8 +1,4 @@
-"""Critical power and covariate models.
-
-Rides of the lap view are a handful of points long, so their durations stand in for the
-minutes of a real ride; the telemetry view gives longer rides for the W' balance.
-"""
+"""Critical power and covariate models with the modules' default durations, fit range and peaks."""
 
 from __future__ import annotations
 
@@ -13,12 +9,11 @@ from ..operators import critical_power as C
 from ..operators import power as P
 from ..session import cut_lineage
 from . import views as V
-from .power_queries import LAP_CURVE, LONG_POWER, ORDER, POWER, curve_cte, cycling, lap_curves
+from .power_queries import LONG_POWER, ORDER, TOUR_ORDER, TOUR_POWER, curve_cte, tour_curves
 
-RIDE_DURATIONS = [5, 10, 15, 20, 30, 40]
-RIDE_RANGE = (5, 40)
-LAP_RANGE = (1, 6)
-PEAKS = {1: "p1", 2: "p2", 3: "p3"}
+PEAKS = dict(zip(K.PEAKS, ("p1", "p2", "p3"), strict=True))
+TOUR_CURVE = f"{TOUR_POWER}, {curve_cte(P.CURVE_DURATIONS)}"
+PEAK_CURVE = f"{TOUR_POWER}, {curve_cte(PEAKS)}"
 LABELS = list(PEAKS.values())
 REPLICATES = K.BOOTSTRAP
 
@@ -29,10 +24,6 @@ FIT_OUT = """case when points >= 3 and w >= 0 then cast(round_even(round(c, 6),
   case when points >= 3 and w >= 0 and not flat then round_even(round(r2, 9), 3) end r2"""
 
 
-def ride_curves(spark, sf_dir):
-    return P.mean_max_curve(V.telemetry(spark, sf_dir), RIDE_DURATIONS, ORDER)
-
-
 def long_curves(spark, sf_dir):
     return P.mean_max_curve(V.long_rides(spark, sf_dir), P.CURVE_DURATIONS, ORDER)
 
@@ -61,27 +52,24 @@ from curve join f using (athlete_id) where points >= 3 and w >= 0""")
 
 
 def _over_time(months):
-    return lambda spark, sf_dir: C.over_time(cycling(spark, sf_dir), lap_curves(spark, sf_dir), months, LAP_RANGE)
+    return lambda spark, sf_dir: C.over_time(V.tour_sessions(spark, sf_dir), tour_curves(spark, sf_dir), months)
 
 
 def _over_time_sql(months):
-    return V.with_views("sessions", "lap_points", body=f"""{LAP_CURVE},
-ride as (select athlete_id, source_file, cast("timestamp" as date) AS day from sessions where sport = 'cycling'),
+    return V.with_views("tours", "tour_sessions", body=f"""{TOUR_CURVE},
+ride as (select athlete_id, source_file, cast("timestamp" as date) AS day from tour_sessions),
 pt as (select athlete_id, unnest(generate_series(date_trunc('month', min(day) + {30 * months}), date_trunc('month', max(day)), interval 1 month))::date "date"
   from ride group by 1 having min(day) + {30 * months} <= max(day)),
 best as (select pt.athlete_id, pt."date", duration_s, max(watts) watts from pt
   join ride r on r.athlete_id = pt.athlete_id and r.day between pt."date" - {30 * months} and pt."date"
-  join lap_curve c on c.athlete_id = r.athlete_id and c.source_file = r.source_file group by 1, 2, 3),
+  join curve c on c.athlete_id = r.athlete_id and c.source_file = r.source_file group by 1, 2, 3),
 f as (select athlete_id, "date", {FIT} from best group by 1, 2)
 select athlete_id, "date", {FIT_OUT} from f where points >= 3 and w >= 0""")
 
 
-def _models(spark, sf_dir):
-    return C.ride_models(V.ride_sessions(spark, sf_dir), ride_curves(spark, sf_dir), 3, RIDE_RANGE)
-
-
 def _balance(spark, sf_dir):
-    return C.wprime_balance(V.telemetry(spark, sf_dir), _models(spark, sf_dir), ORDER)
+    models = C.ride_models(V.tour_sessions(spark, sf_dir), tour_curves(spark, sf_dir))
+    return C.wprime_balance(V.tours(spark, sf_dir), models, TOUR_ORDER)
 
 
 def wprime_balance(spark, sf_dir):
@@ -91,18 +79,21 @@ def wprime_balance(spark, sf_dir):
     return out
 
 
-BALANCE = f"""{POWER}, {curve_cte(RIDE_DURATIONS)},
-f0 as (select athlete_id, source_file, {FIT} from curve group by 1, 2),
+BALANCE = f"""{TOUR_CURVE},
+rd as (select athlete_id, source_file, cast("timestamp" as date) AS day from tour_sessions),
+bw as (select r.athlete_id, r.source_file, duration_s, max(watts) watts from rd r join rd q on q.athlete_id = r.athlete_id and q.day between r.day - 90 and r.day
+  join curve c on c.athlete_id = q.athlete_id and c.source_file = q.source_file group by 1, 2, 3),
+f0 as (select athlete_id, source_file, {FIT} from bw group by 1, 2),
 f1 as (select athlete_id, source_file, {FIT_OUT} from f0),
 md as (select s.athlete_id, s.source_file, coalesce(cp, cast(trunc(threshold_power) as bigint), 250) cp, coalesce(wprime_kj, 15.0) kj
-  from ride_sessions s left join f1 using (athlete_id, source_file)),
+  from tour_sessions s left join f1 using (athlete_id, source_file)),
 bal as (
   select o.athlete_id, o.source_file, seq, p, cp, kj, kj * 1000 b from ok o join md using (athlete_id, source_file) where seq = 0
   union all
   select o.athlete_id, o.source_file, o.seq, o.p, cp, kj, case when o.p >= cp then greatest(0, b - (o.p - cp))
     else kj * 1000 - (kj * 1000 - b) * pow(2.718281828e0, -1.0e0 / (546.0e0 * pow(2.718281828e0, -0.01e0 * (cp - o.p)) + 316.0e0)) end
   from bal join ok o on o.athlete_id = bal.athlete_id and o.source_file = bal.source_file and o.seq = bal.seq + 1)"""
-BALANCE_SQL = V.with_views("telemetry", "ride_sessions", body=f"""{BALANCE}
+BALANCE_SQL = V.with_views("tours", "tour_sessions", body=f"""{BALANCE}
 select athlete_id, source_file, seq, round(seq / 60.0e0 + 1e-8, 5) time_min, p "power", round(b / 1000 + 1e-8, 5) wprime_bal_kj,
   round(b / nullif(kj * 1000, 0) * 100 + 1e-8, 5) wprime_pct, cp, kj wprime_kj from bal""").replace("with ", "with recursive ", 1)
 
@@ -111,7 +102,7 @@ def wprime_summary(spark, sf_dir):
     return C.wprime_summary(_balance(spark, sf_dir))
 
 
-BALANCE_SUMMARY_SQL = V.with_views("telemetry", "ride_sessions", body=f"""{BALANCE}
+BALANCE_SUMMARY_SQL = V.with_views("tours", "tour_sessions", body=f"""{BALANCE}
 select athlete_id, source_file, any_value(cp) cp, any_value(kj) wprime_kj, round_even(min(b / 1000), 1) min_kj, any_value(kj) * 0.25 low_kj,
   count(*) filter (where b / 1000 < kj * 0.25) seconds_low from bal group by 1, 2""").replace("with ", "with recursive ", 1)
 
@@ -119,24 +110,24 @@ select athlete_id, source_file, any_value(cp) cp, any_value(kj) wprime_kj, round
 # ── covariates ───────────────────────────────────────────────────────────────
 
 def _rides(spark, sf_dir):
-    return K.ride_peaks(cycling(spark, sf_dir), lap_curves(spark, sf_dir), PEAKS)
+    return K.ride_peaks(V.tour_sessions(spark, sf_dir), tour_curves(spark, sf_dir, list(PEAKS)), PEAKS)
 
 
 def _design(spark, sf_dir):
     rides = _rides(spark, sf_dir)
-    rows = K.design(K.monthly_peaks(rides, LABELS), K.monthly_sleep(rides, V.score_nights(spark, sf_dir)), LABELS)
+    rows = K.design(K.monthly_peaks(rides, LABELS), K.monthly_sleep(rides, V.tour_nights(spark, sf_dir)), LABELS)
     # one row per athlete and month feeds every model; the point-level plan runs once
     return cut_lineage(rows)
 
 
-MONTHLY = f"""{LAP_CURVE},
-wide as (select athlete_id, source_file, max(watts) filter (where duration_s = 1) p1, max(watts) filter (where duration_s = 2) p2,
-  max(watts) filter (where duration_s = 3) p3 from lap_curve where duration_s <= 3 group by 1, 2),
+MONTHLY = f"""{PEAK_CURVE},
+wide as (select athlete_id, source_file, max(watts) filter (where duration_s = 120) p1, max(watts) filter (where duration_s = 300) p2,
+  max(watts) filter (where duration_s = 1200) p3 from curve group by 1, 2),
 ride as (select s.athlete_id, s.source_file, cast(timezone('America/Denver', timezone('UTC', "timestamp")) as date) AS day, training_stress_score tss, p1, p2, p3
-  from sessions s join wide w on s.athlete_id = w.athlete_id and s.source_file = w.source_file),
+  from tour_sessions s join wide w on s.athlete_id = w.athlete_id and s.source_file = w.source_file),
 mon as (select athlete_id, cast(date_trunc('month', day) as date) mo, max(p1) p1, max(p2) p2, max(p3) p3, coalesce(sum(tss), 0) / 100 tss from ride group by 1, 2),
 slp as (select r.athlete_id, cast(date_trunc('month', day) as date) mo, avg(score_overall) sc from ride r
-  left join score_nights n on n.athlete_id = r.athlete_id and n.calendar_date = cast(day - 1 as varchar) group by 1, 2)"""
+  left join tour_nights n on n.athlete_id = r.athlete_id and n.calendar_date = cast(day - 1 as varchar) group by 1, 2)"""
 DESIGN = f"""{MONTHLY},
 rws as (select athlete_id, 'no_sleep' variant, mo, p1, p2, p3, tss, cast(null as double) sc from mon where p1 is not null and p2 is not null and p3 is not null
   union all select m.athlete_id, 'sleep', m.mo, p1, p2, p3, tss, sc from mon m join slp using (athlete_id, mo)
@@ -161,15 +152,15 @@ def monthly_peaks(spark, sf_dir):
     return out
 
 
-MONTHLY_SQL = V.with_views("sessions", "lap_points", "score_nights", body=f"""{MONTHLY}
+MONTHLY_SQL = V.with_views("tours", "tour_sessions", "tour_nights", body=f"""{MONTHLY}
 select athlete_id, mo AS month, round(p1, 6) p1, round(p2, 6) p2, round(p3, 6) p3, tss tss_per_100 from mon""")
 
 
 def sleep_covariate(spark, sf_dir):
-    return K.monthly_sleep(_rides(spark, sf_dir), V.score_nights(spark, sf_dir)).withColumn("sleep_score", F.round("sleep_score", 6))
+    return K.monthly_sleep(_rides(spark, sf_dir), V.tour_nights(spark, sf_dir)).withColumn("sleep_score", F.round("sleep_score", 6))
 
 
-SLEEP_SQL = V.with_views("sessions", "lap_points", "score_nights", body=f"{MONTHLY} select athlete_id, mo AS month, round(sc, 6) sleep_score from slp")
+SLEEP_SQL = V.with_views("tours", "tour_sessions", "tour_nights", body=f"{MONTHLY} select athlete_id, mo AS month, round(sc, 6) sleep_score from slp")
 
 
 def _fits(spark, sf_dir):
@@ -183,7 +174,7 @@ def covariate_ols(spark, sf_dir):
         fits.select(*K.MODEL, F.round("b0", 4).alias("const"), F.round("b1", 4).alias("tss_per_100"), F.round("b2", 4).alias("sleep_score")), K.MODEL)
 
 
-OLS_SQL = V.with_views("sessions", "lap_points", "score_nights", body=f"""{DESIGN}
+OLS_SQL = V.with_views("tours", "tour_sessions", "tour_nights", body=f"""{DESIGN}
 select athlete_id, variant, dep, n, round_even(1 - ssr / sst, 3) r2,
   round_even(1 - (ssr / sst) * (n - 1) / (n - (h1::int + h2::int) - 1), 3) r2_adj,
   round(b0, 4) const, round(b1, 4) tss_per_100, round(b2, 4) sleep_score
@@ -211,7 +202,7 @@ tm as (select athlete_id, variant, dep, 'const' term, b0 coef, sqrt(v0) se from
 # normal tail by Simpson's rule on the density
 TAIL = """greatest(0, 1 - 2 * list_sum(list_transform(range(0, 401), lambda i: (case when i = 0 or i = 400 then 1 when i % 2 = 1 then 4 else 2 end)
   * exp(-0.5 * pow(least(abs(tm.coef / tm.se), 9) * i / 400.0, 2)))) * least(abs(tm.coef / tm.se), 9) / 400.0 / 3 / sqrt(2 * pi()))"""
-HAC_SQL = V.with_views("sessions", "lap_points", "score_nights", body=f"""{HAC}
+HAC_SQL = V.with_views("tours", "tour_sessions", "tour_nights", body=f"""{HAC}
 select athlete_id, variant, dep, term, round_even(coef, 4) coef, round_even(se, 4) se, round_even({TAIL}, 4) pvalue,
   round_even(coef - 1.959963984540054e0 * se, 4) ci_low, round_even(coef + 1.959963984540054e0 * se, 4) ci_high from tm""")
 
@@ -221,7 +212,7 @@ def covariate_model(spark, sf_dir):
 
 
 # F(2, m) has a closed tail; F(1, m) is a two-sided t, integrated by Simpson's rule
-MODEL_SQL = V.with_views("sessions", "lap_points", "score_nights", body=f"""{HAC},
+MODEL_SQL = V.with_views("tours", "tour_sessions", "tour_nights", body=f"""{HAC},
 wd as (select *, (n - (h1::int + h2::int) - 1)::double m, g11 * g12 * m11 + (g11 * g22 + g12 * g12) * m12 + g12 * g22 * m22 v12 from vv),
 ff as (select *, case when h1 and h2 then (b1 * b1 * v2 - 2 * b1 * b2 * v12 + b2 * b2 * v1) / (v1 * v2 - v12 * v12) / 2
   when h1 then b1 * b1 / v1 else b2 * b2 / v2 end f from wd),
@@ -238,7 +229,7 @@ def covariate_correlation(spark, sf_dir):
     return K.correlations(_design(spark, sf_dir), LABELS)
 
 
-CORRELATION_SQL = V.with_views("sessions", "lap_points", "score_nights", body=f"""{DESIGN},
+CORRELATION_SQL = V.with_views("tours", "tour_sessions", "tour_nights", body=f"""{DESIGN},
 cols as (select athlete_id, variant, mo, unnest([struct_pack(c := 'p1', v := p1), struct_pack(c := 'p2', v := p2), struct_pack(c := 'p3', v := p3),
   struct_pack(c := 'tss_per_100', v := x1), struct_pack(c := 'sleep_score', v := x2)], recursive := true) from des)
 select a.athlete_id, a.variant, a.c a, b.c b, case when max(a.v) > min(a.v) and max(b.v) > min(b.v) then round_even(corr(a.v, b.v), 3) end r
@@ -284,7 +275,7 @@ bt as (select c.athlete_id, c.variant, c.dep, c.term, count(*) n_bootstrap, roun
     round_even(least(2 * avg(case when any_coef >= 0 then (v <= 0)::int else (v >= 0)::int end), 1), 4) pvalue_boot,
     round_even(quantile_cont(v, 0.025), 4) boot_low, round_even(quantile_cont(v, 0.975), 4) boot_high
   from cf c join (select athlete_id, variant, dep, term, coef any_coef from tm) t using (athlete_id, variant, dep, term) group by 1, 2, 3, 4)"""
-BOOT_SQL = V.with_views("sessions", "lap_points", "score_nights", body=f"{BOOT} select * from bt")
+BOOT_SQL = V.with_views("tours", "tour_sessions", "tour_nights", body=f"{BOOT} select * from bt")
 
 
 def covariate_report(spark, sf_dir):
@@ -292,7 +283,7 @@ def covariate_report(spark, sf_dir):
     return K.report(K.coefficients(fits), K.bootstrap(rows, LABELS, fits, REPLICATES))
 
 
-REPORT_SQL = V.with_views("sessions", "lap_points", "score_nights", body=f"""{BOOT},
+REPORT_SQL = V.with_views("tours", "tour_sessions", "tour_nights", body=f"""{BOOT},
 an as (select athlete_id, variant, dep, term, round_even(coef, 4) coef, round_even({TAIL}, 4) pvalue,
   round_even(coef - 1.959963984540054e0 * se, 4) lo, round_even(coef + 1.959963984540054e0 * se, 4) hi from tm)
 select athlete_id, variant, dep, term, coef, coef_median, coef_mean, pvalue, pvalue_boot, coalesce(boot_low, lo) ci_low, coalesce(boot_high, hi) ci_high,

@@ -1,16 +1,15 @@
-"""Per-second power: module defaults over long rides, short durations over many short rides."""
+"""Per-second power with the module's default durations, over long rides and over stages of several years."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import power as P
-from ..sources import tables as R
 from . import views as V
 
 ORDER = ["timestamp", "event_id"]
 PEAKS, SPARSE, DENSE = P.PEAK_DURATIONS, P.CHART_DURATIONS, P.CURVE_DURATIONS
-LAP_DURATIONS = [1, 2, 3, 4, 5, 6]
+TOUR_DAY = "2016-06-15"
 
 POWER = """pw as (
   select athlete_id, source_file, "timestamp", event_id, row_number() over w - 1 seq,
@@ -31,21 +30,12 @@ def curve_cte(durations, name="curve", source="ok"):
   group by a.athlete_id, a.source_file, d.d)"""
 
 
-LAP_POWER = """lap as (
-  select athlete_id, source_file, row_number() over w - 1 seq,
-    cast(trunc(coalesce(power, (lag(power, 1) over w + lag(power, 2) over w) / 2, 0)) as bigint) p,
-    count(power) over (partition by athlete_id, source_file) np
-  from lap_points window w as (partition by athlete_id, source_file order by "timestamp", point_id)),
-lap_ok as (select * from lap where np > 0)"""
-LAP_CURVE = LAP_POWER + "," + curve_cte(LAP_DURATIONS, "lap_curve", "lap_ok")
-
+TOUR_ORDER = ["timestamp", "point_id"]
+TOUR_POWER = POWER.replace("from telemetry", "from tours").replace("event_id", "point_id")
 
-def lap_curves(spark, sf_dir):
-    return P.mean_max_curve(V.lap_points(spark, sf_dir), LAP_DURATIONS, ["timestamp", "point_id"])
 
-
-def cycling(spark, sf_dir):
-    return R.load_sessions(V.sessions(spark, sf_dir), "cycling")
+def tour_curves(spark, sf_dir, durations=DENSE):
+    return P.mean_max_curve(V.tours(spark, sf_dir), durations, TOUR_ORDER)
 
 
 def power_repair(spark, sf_dir):
@@ -90,37 +80,29 @@ select athlete_id, source_file, duration_s, round(watts, 6) watts from curve""")
 
 
 def best_curve_period(spark, sf_dir):
-    return P.best_curve(cycling(spark, sf_dir), lap_curves(spark, sf_dir), V.AS_OF, 12).withColumn("watts", F.round("watts", 6))
+    return P.best_curve(V.tour_sessions(spark, sf_dir), tour_curves(spark, sf_dir), TOUR_DAY, 12).withColumn("watts", F.round("watts", 6))
 
 
-BEST_SQL = V.with_views("sessions", "lap_points", body=f"""{LAP_CURVE}
-select c.athlete_id, duration_s, round(max(watts), 6) watts from lap_curve c join sessions s on c.athlete_id = s.athlete_id and c.source_file = s.source_file
-where cast(s."timestamp" as date) between date '{V.AS_OF}' - 360 and date '{V.AS_OF}' group by 1, 2""")
+def _best_sql(durations):
+    return V.with_views("tours", "tour_sessions", body=f"""{TOUR_POWER}, {curve_cte(durations)}
+select c.athlete_id, duration_s, round(max(watts), 6) watts from curve c join tour_sessions s on c.athlete_id = s.athlete_id and c.source_file = s.source_file
+where cast(s."timestamp" as date) between date '{TOUR_DAY}' - 360 and date '{TOUR_DAY}' group by 1, 2""")
 
 
 def best_curve_chart(spark, sf_dir):
-    stored = [2, 3, 4]
-    curves = lap_curves(spark, sf_dir).filter(F.col("duration_s").isin(stored))
-    return P.best_chart_curve(cycling(spark, sf_dir), curves, V.lap_points(spark, sf_dir), V.AS_OF, 12,
-                              [1, 2, 3, 5], stored, ["timestamp", "point_id"]).withColumn("watts", F.round("watts", 6))
-
-
-BEST_CHART_SQL = V.with_views("sessions", "lap_points", body=f"""{LAP_CURVE}
-select c.athlete_id, duration_s, round(max(watts), 6) watts from lap_curve c join sessions s on c.athlete_id = s.athlete_id and c.source_file = s.source_file
-where duration_s in (1, 2, 3, 5) and cast(s."timestamp" as date) between date '{V.AS_OF}' - 360 and date '{V.AS_OF}' group by 1, 2""")
+    return P.best_chart_curve(V.tour_sessions(spark, sf_dir), tour_curves(spark, sf_dir), V.tours(spark, sf_dir), TOUR_DAY, 12,
+                              order=TOUR_ORDER).withColumn("watts", F.round("watts", 6))
 
 
 def power_curve_incremental(spark, sf_dir):
-    laps = V.lap_points(spark, sf_dir)
-    order = ["timestamp", "point_id"]
-    before = laps.filter("timestamp < timestamp '2000-01-01'")
-    stored = P.mean_max_curve(before, LAP_DURATIONS, order)
-    return P.extend_curves(cycling(spark, sf_dir), laps, stored, LAP_DURATIONS, order).withColumn("watts", F.round("watts", 6))
+    points = V.tours(spark, sf_dir)
+    stored = P.mean_max_curve(points.filter("timestamp < timestamp '2015-06-01'"), DENSE, TOUR_ORDER)
+    return P.extend_curves(V.tour_sessions(spark, sf_dir), points, stored, DENSE, TOUR_ORDER).withColumn("watts", F.round("watts", 6))
 
 
-INCREMENTAL_SQL = V.with_views("lap_points", body=f"""{LAP_CURVE},
-have as (select source_file from lap_points where "timestamp" < timestamp '2000-01-01' group by 1 having count(power) > 0)
-select athlete_id, source_file, duration_s, round(watts, 6) watts from lap_curve where source_file not in (select source_file from have)""")
+INCREMENTAL_SQL = V.with_views("tours", body=f"""{TOUR_POWER}, {curve_cte(DENSE)},
+have as (select source_file from tours where "timestamp" < timestamp '2015-06-01' group by 1 having count(power) > 0)
+select athlete_id, source_file, duration_s, round(watts, 6) watts from curve where source_file not in (select source_file from have)""")
 
 ZONE = """case when {0} < 0.55 then 1 when {0} < 0.75 then 2 when {0} < 0.90 then 3 when {0} < 1.05 then 4
   when {0} < 1.20 then 5 when {0} < 1.50 then 6 else 7 end"""
@@ -159,8 +141,8 @@ QUERIES = {
     "peak_powers": (peak_powers, PEAK_SQL),
     "power_curve_sparse": (power_curve_sparse, SPARSE_SQL),
     "power_curve_dense": (power_curve_dense, DENSE_SQL),
-    "best_curve_period": (best_curve_period, BEST_SQL),
-    "best_curve_chart": (best_curve_chart, BEST_CHART_SQL),
+    "best_curve_period": (best_curve_period, _best_sql(DENSE)),
+    "best_curve_chart": (best_curve_chart, _best_sql(SPARSE)),
     "power_curve_incremental": (power_curve_incremental, INCREMENTAL_SQL),
     "power_histogram": (power_histogram, HISTOGRAM_SQL),
     "power_zones": (power_zones, ZONES_SQL),

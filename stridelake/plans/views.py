@@ -94,6 +94,28 @@ LONG_RIDE = "cast(cast(floor(event_id / 80000) as bigint) as string)"
 LONG_RIDES = [(n, f"concat('long-', {LONG_RIDE})" if n == "source_file" else f"concat('rider-', {LONG_RIDE})" if n == "athlete_id" else e)
               for n, e in TELEMETRY]
 
+# line items in a row as stages of about 1,600 points, one every 73 days, 48 to an athlete: rides long enough for
+# every stored duration, over years
+STAGE = "cast(floor(l_orderkey / 400) as bigint)"
+TOURS = [
+    ("athlete_id", f"concat('tour-', cast(cast(floor({STAGE} / 48) as bigint) as string))"),
+    ("source_file", f"concat('stage-', cast({STAGE} as string))"),
+    ("timestamp", f"cast('2015-01-05 14:00:00' as timestamp_ntz) + {STAGE} % 48 * 73 * INTERVAL '1' DAY + (l_orderkey % 400 * 8 + l_linenumber) * INTERVAL '1' SECOND"),
+    ("point_id", "l_partkey * 100000 + l_suppkey"),
+    ("power", f"case when l_suppkey % 13 = 0 then null else l_quantity * 5 + {STAGE} * 37 % 7 * 10 end"),
+]
+TOUR_SESSIONS = [
+    ("sport", "'cycling'"),
+    ("timestamp", "min(timestamp)"),
+    ("training_stress_score", "cast(sum(point_id) % 151 as double)"),
+    ("threshold_power", "case when count(*) % 7 = 0 then null else cast(150 + count(*) % 90 as double) end"),
+]
+TOUR_NIGHTS = [
+    ("athlete_id", "athlete_id"),
+    ("calendar_date", "cast(cast(timestamp - INTERVAL '1' DAY as date) as string)"),
+    ("score_overall", "cast(case when training_stress_score % 9 = 0 then null else training_stress_score * 37 % 101 end as int)"),
+]
+
 LAP_POINTS = [
     ("athlete_id", ATHLETE),
     ("source_file", "cast(o_orderkey as string)"),
@@ -188,6 +210,19 @@ def ride_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*_project(TOURS))
+
+
+def tour_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tours(spark, sf_dir).groupBy("athlete_id", "source_file").agg(*[F.expr(e).alias(n) for n, e in TOUR_SESSIONS])
+
+
+def tour_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored night before each stage."""
+    return tour_sessions(spark, sf_dir).selectExpr(*_project(TOUR_NIGHTS))
+
+
 def lap_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").filter(f"({SPORT}) = 'cycling'")
     lines = table(spark, sf_dir, "lineitem")
@@ -263,6 +298,9 @@ CTE: dict[str, str] = {
     "telemetry": f"select {_sql(TELEMETRY)} from events",
     "long_rides": f"select {_sql(LONG_RIDES)} from events",
     "ride_sessions": f"select {_sql(RIDE_SESSIONS_GROUP)} from events group by user_id",
+    "tours": f"select {_sql(TOURS)} from lineitem".replace("timestamp_ntz", "timestamp"),
+    "tour_sessions": f"select athlete_id, source_file, {_sql(TOUR_SESSIONS)} from tours group by 1, 2",
+    "tour_nights": f"select {_sql(TOUR_NIGHTS)} from tour_sessions",
     "lap_points": f"select {_sql(LAP_POINTS)} from lineitem join orders on l_orderkey = o_orderkey where ({SPORT}) = 'cycling'",
     "splits": f"select {_sql(SPLITS)} from lineitem join orders on l_orderkey = o_orderkey",
     "night_exports": f"""select athlete_id, calendar_date, {NIGHT_JSON} AS night from (
