@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rint, rnd
+from ..functions.numeric import exact, rint
 from ..functions.timekeys import as_date, month_start, utc_date
 from ..session import shuffle_width
 from . import series
@@ -43,8 +43,8 @@ def fit(curve: DataFrame, keys: list[str], fit_range: tuple[int, int] = FIT_RANG
     return found.select(
         *keys, "points",
         F.when(ok, rint(cp)).alias("cp"),
-        F.when(ok, rnd(wprime / 1000, 1)).alias("wprime_kj"),
-        F.when(ok & ~F.col("_flat"), rnd(r2, 3)).alias("r2"),
+        F.when(ok, exact(wprime / 1000, 1)).alias("wprime_kj"),
+        F.when(ok & ~F.col("_flat"), exact(r2, 3)).alias("r2"),
         F.when(ok, F.col("_cp")).alias("cp_exact"),
         F.when(ok, F.col("_w")).alias("wprime_exact"),
     )
@@ -55,7 +55,7 @@ def fitted_points(curve: DataFrame, fits: DataFrame, keys: list[str],
     """Measured and fitted watts per duration in the fit range."""
     inside = curve.filter(F.col("duration_s").between(*fit_range))
     model = fits.filter(F.col("cp").isNotNull()).select(*keys, "cp_exact", "wprime_exact")
-    fitted = rnd(F.col("cp_exact") + F.col("wprime_exact") / F.col("duration_s"), 1)
+    fitted = exact(F.col("cp_exact") + F.col("wprime_exact") / F.col("duration_s"), 1)
     return inside.join(model, keys).select(*keys, "duration_s", "watts", fitted.alias("fitted_watts"))
 
 
@@ -211,7 +211,7 @@ def wprime_summary(balance: DataFrame) -> DataFrame:
     low = F.col("wprime_bal_kj") < F.col("wprime_kj") * LOW_SHARE
     return balance.groupBy(*ACTIVITY).agg(
         F.max("cp").alias("cp"), F.max("wprime_kj").alias("wprime_kj"),
-        rnd(F.min("wprime_bal_kj"), 1).alias("min_kj"),
+        exact(F.min("wprime_bal_kj"), 1).alias("min_kj"),
         (F.max("wprime_kj") * LOW_SHARE).alias("low_kj"),
         F.sum(F.when(low, 1).otherwise(0)).cast("bigint").alias("seconds_low"),
     )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rint, rnd
+from ..functions.numeric import exact, rint
 from ..functions.timekeys import as_date, near_days, utc_date
 from ..session import shuffle_width
 from . import series
@@ -257,5 +257,5 @@ def time_in_zones(records: DataFrame, sessions: DataFrame, order: list[str] | No
         for i, (name, _, _) in enumerate(POWER_ZONES, 1)
     ])
     return wide.select(*ACTIVITY, "ftp", "_all", F.explode(entries).alias("e")).select(
-        *ACTIVITY, "ftp", "e.*", rnd(F.col("e.seconds") / F.col("_all") * 100, 1).alias("pct")
+        *ACTIVITY, "ftp", "e.*", exact(F.col("e.seconds") / F.col("_all") * 100, 1).alias("pct")
     )

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import FEET_PER_METRE, METRES_PER_MILE, degrees, feet, miles, mph, rint, rnd
+from ..functions.numeric import FEET_PER_METRE, METRES_PER_MILE, degrees, exact, feet, miles, mph, rint, rnd
 from ..functions.timekeys import seconds_between
 from ..session import cut_lineage, shuffle_width
 from . import series
@@ -291,12 +291,12 @@ def climbs(records: DataFrame, order: list[str] | None = None, min_grade: float
     fourth = F.when(counted > 0, rint(F.pow(F.col("seg.tail") / counted, F.lit(0.25))))
     return numbered.select(
         *ACTIVITY, (F.col("_k") + 1).alias("climb_no"), "start_seq", "end_seq",
-        rnd(F.col("start_m") / METRES_PER_MILE, 2).alias("start_mi"),
-        rnd(F.col("end_m") / METRES_PER_MILE, 2).alias("end_mi"),
-        rnd(distance / METRES_PER_MILE, 2).alias("distance_mi"),
+        exact(F.col("start_m") / METRES_PER_MILE, 2).alias("start_mi"),
+        exact(F.col("end_m") / METRES_PER_MILE, 2).alias("end_mi"),
+        exact(distance / METRES_PER_MILE, 2).alias("distance_mi"),
         rint(gain * FEET_PER_METRE).alias("elevation_gain_ft"),
-        rnd(F.when(distance > 0, gain / distance * 100).otherwise(0.0), 1).alias("avg_grade"),
-        rnd(F.col("seg.instant"), 1).alias("max_grade"),
+        exact(F.when(distance > 0, gain / distance * 100).otherwise(0.0), 1).alias("avg_grade"),
+        exact(F.col("seg.instant"), 1).alias("max_grade"),
         F.when(seconds > 0, F.floor(seconds).cast("bigint")).alias("duration_s"),
         F.when(seconds > 0, rint(gain / (seconds / 3600))).alias("vam"),
         power.alias("avg_power"), F.when(power.isNotNull(), fourth).alias("normalized_power"),

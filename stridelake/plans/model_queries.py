@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import exact_sql
 from ..operators import covariates as K
 from ..operators import critical_power as C
 from ..operators import power as P
@@ -19,9 +20,9 @@ REPLICATES = K.BOOTSTRAP
 
 FIT = """count(*) points, regr_slope(watts, 1.0 / duration_s) w, regr_intercept(watts, 1.0 / duration_s) c,
   regr_r2(watts, 1.0 / duration_s) r2, max(watts) = min(watts) flat"""
-FIT_OUT = """case when points >= 3 and w >= 0 then cast(round_even(round(c, 6), 0) as bigint) end cp,
-  case when points >= 3 and w >= 0 then round_even(round(w, 6) / 1000, 1) end wprime_kj,
-  case when points >= 3 and w >= 0 and not flat then round_even(round(r2, 9), 3) end r2"""
+FIT_OUT = f"""case when points >= 3 and w >= 0 then cast(round_even(round(c, 6), 0) as bigint) end cp,
+  case when points >= 3 and w >= 0 then {exact_sql('round(w, 6) / 1000', 1)} end wprime_kj,
+  case when points >= 3 and w >= 0 and not flat then {exact_sql('round(r2, 9)', 3)} end r2"""
 
 
 def long_curves(spark, sf_dir):
@@ -47,7 +48,7 @@ def cp_fit_points(spark, sf_dir):
 
 CP_POINTS_SQL = V.with_views("long_rides", body=f"""{LONG_POWER}, {curve_cte(P.CURVE_DURATIONS)},
 f as (select athlete_id, {FIT} from curve group by 1)
-select athlete_id, duration_s, round(watts, 6) watts, round_even(c + w / duration_s, 1) fitted_watts
+select athlete_id, duration_s, round(watts, 6) watts, {exact_sql('c + w / duration_s', 1)} fitted_watts
 from curve join f using (athlete_id) where points >= 3 and w >= 0""")
 
 
@@ -103,7 +104,7 @@ def wprime_summary(spark, sf_dir):
 
 
 BALANCE_SUMMARY_SQL = V.with_views("tours", "tour_sessions", body=f"""{BALANCE}
-select athlete_id, source_file, any_value(cp) cp, any_value(kj) wprime_kj, round_even(min(b / 1000), 1) min_kj, any_value(kj) * 0.25 low_kj,
+select athlete_id, source_file, any_value(cp) cp, any_value(kj) wprime_kj, {exact_sql('min(b / 1000)', 1)} min_kj, any_value(kj) * 0.25 low_kj,
   count(*) filter (where b / 1000 < kj * 0.25) seconds_low from bal group by 1, 2""").replace("with ", "with recursive ", 1)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import exact_sql
 from ..operators import power as P
 from . import views as V
 
@@ -131,7 +132,7 @@ z as (select o.athlete_id, o.source_file, {FTP} ftp, {ZONE.format(f'(p / {FTP})'
   left join ride_sessions s on o.athlete_id = s.athlete_id and o.source_file = s.source_file),
 names as (select * from (values {", ".join(f"({i}, '{n}')" for i, (n, _, _) in enumerate(P.POWER_ZONES, 1))}) n(i, zone_name))
 select athlete_id, source_file, ftp, cast(i as int) "zone", zone_name, count(*) filter (where z = i) AS seconds,
-  round_even(count(*) filter (where z = i) / count(*) * 100, 1) pct
+  {exact_sql('count(*) filter (where z = i) / count(*) * 100', 1)} pct
 from z cross join names group by athlete_id, source_file, ftp, i, zone_name""")
 
 QUERIES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import exact_sql
 from ..operators import route as O
 from . import views as V
 
@@ -121,9 +122,9 @@ def merged_climbs(spark, sf_dir):
 
 
 CLIMBS_SQL = V.with_views("telemetry", body=f"""{MERGED}
-select athlete_id, source_file, climb_no, start_seq, end_seq, round_even(start_m / 1609.344e0, 2) start_mi, round_even(end_m / 1609.344e0, 2) end_mi,
-  round_even((end_m - start_m) / 1609.344e0, 2) distance_mi, cast(round_even((end_alt_m - start_alt_m) * 3.28084e0, 0) as bigint) elevation_gain_ft,
-  round_even((end_alt_m - start_alt_m) / (end_m - start_m) * 100, 1) avg_grade, round_even(mg, 1) max_grade,
+select athlete_id, source_file, climb_no, start_seq, end_seq, {exact_sql('start_m / 1609.344e0', 2)} start_mi, {exact_sql('end_m / 1609.344e0', 2)} end_mi,
+  {exact_sql('(end_m - start_m) / 1609.344e0', 2)} distance_mi, cast(round_even((end_alt_m - start_alt_m) * 3.28084e0, 0) as bigint) elevation_gain_ft,
+  {exact_sql('(end_alt_m - start_alt_m) / (end_m - start_m) * 100', 1)} avg_grade, {exact_sql('mg', 1)} max_grade,
   cast(floor(epoch_us(end_ts) / 1e6 - epoch_us(start_ts) / 1e6) as bigint) duration_s,
   cast(round_even((end_alt_m - start_alt_m) / ((epoch_us(end_ts) - epoch_us(start_ts)) / 1e6 / 3600), 0) as bigint) vam,
   ap avg_power, np normalized_power, ac avg_cadence from climb""").replace("with ", "with recursive ", 1)
@@ -136,8 +137,8 @@ def climb_route_points(spark, sf_dir):
 
 
 CLIMB_POINTS_SQL = V.with_views("telemetry", body=f"""{ROUTE}, {MERGED},
-mk as (select athlete_id, source_file, climb_no, 'start' mark, round_even(start_m / 1609.344e0, 2) at_mi from climb
-  union all select athlete_id, source_file, climb_no, 'end', round_even(end_m / 1609.344e0, 2) from climb),
+mk as (select athlete_id, source_file, climb_no, 'start' mark, {exact_sql('start_m / 1609.344e0', 2)} at_mi from climb
+  union all select athlete_id, source_file, climb_no, 'end', {exact_sql('end_m / 1609.344e0', 2)} from climb),
 near as (select k.athlete_id, k.source_file, climb_no, mark, at_mi, p.seq,
     row_number() over (partition by k.athlete_id, k.source_file, climb_no, mark order by abs(d / 1609.344e0 - at_mi), p.seq) r
   from mk k join prof p on k.athlete_id = p.athlete_id and k.source_file = p.source_file)

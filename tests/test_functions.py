@@ -61,3 +61,21 @@ def test_periods_follow_local_time(spark):
 def test_half_even_rounding(spark):
     assert [r[0] for r in _map(spark, [0.5, 1.5, 2.5, -0.5], "double", N.rint(F.col("v")))] == [0, 2, 2, 0]
     assert [r[0] for r in _map(spark, [0.25, 0.35, 2.345], "double", N.rnd(F.col("v"), 1))] == [0.2, 0.4, 2.3]
+
+
+def test_exact_rounding_over_random_ties(spark):
+    """Beside the language's own round: apparent ties, real ties, neighbours of ties and plain values."""
+    import math
+    import random
+
+    rng = random.Random(12)
+    for digits in (1, 2, 3, 4):
+        scale = 10**digits
+        values = [1.115, 2.675, 0.15, 0.25, -1.115, -0.25, 0.0, 2.5, 1e9 + 0.05, None]
+        for _ in range(3000):
+            tie = (rng.randrange(-10**rng.randrange(1, 8), 10**7) + 0.5) / scale
+            values += [tie, math.nextafter(tie, 1e9), math.nextafter(tie, -1e9), rng.uniform(-1000, 1000)]
+        df = spark.createDataFrame([(v,) for v in values], "x double").coalesce(1)
+        got = [r.y for r in df.select(N.exact(F.col("x"), digits).alias("y")).collect()]
+        assert [g for g, v in zip(got, values) if v is not None and g != round(v, digits)] == []
+        assert got[9] is None
