@@ -141,18 +141,22 @@ def min_reachable(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): the smallest reachable node.
 
     Alternating large-star and small-star rounds; every round is a grouped minimum (combined before
-    the shuffle) and a join back on the centre, which the engine can split when a hub is hot. Rounds
+    the shuffle) and a join back on the centre. The minima are dealt once more by another key first, so that
+    both sides of the join come out of exchanges of its own and the engine can split a hot hub's star. Rounds
     grow with the logarithm of the longest path. Only a count and a checksum reach the driver.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs, state = cut(pairs), None
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def lowest(rows: DataFrame, low: Column) -> DataFrame:
+        return rows.groupBy("u").agg(low.alias("m")).repartition(width, F.xxhash64("u"))
+
     while True:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u")
+        large = (both.join(lowest(both, F.least(F.min("v"), F.col("u"))), "u").where("v > u")
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        small = (large.join(lowest(large, F.min("v")), "u")
                  .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                            F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").where("u <> v").distinct())

@@ -120,9 +120,9 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH c AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 730 AS INTEGER) AS fetched,
-             rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '.') AS host,
-             list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts
-           FROM pages),
+             rtrim(lower(regexp_extract(bare, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?([^/?#:@]*)', 1)), '.') AS host,
+             list_filter(string_split(regexp_extract(bare, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+           FROM (SELECT *, regexp_replace(url, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS bare FROM pages)),
 named AS (SELECT page_id, 'host' AS kind, host AS value FROM c WHERE host <> ''
           UNION ALL SELECT page_id, 'domain', regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) FROM c WHERE host <> ''
           UNION ALL SELECT page_id, 'path', host || '/' || parts[1] FROM c WHERE host <> '' AND len(parts) > 0),
@@ -132,16 +132,16 @@ entries AS (SELECT CASE k % 3 WHEN 0 THEN 'malware' WHEN 1 THEN 'adult' ELSE 'sp
               DATE '2024-01-01' + CAST(k % 400 + after AS INTEGER) AS day
             FROM picked, (VALUES ('add', 0, 1), ('remove', 150, 2), ('add', 300, 4)) e(action, after, every) WHERE k % every = 0),
 spans AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, value ORDER BY day) AS until FROM entries),
-keys AS (SELECT page_id, url, fetched, 'host' AS kind, host AS value FROM c
-         UNION ALL SELECT page_id, url, fetched, 'domain', array_to_string(string_split(host, '.')[i :], '.')
+keys AS (SELECT DISTINCT url, fetched, 'host' AS kind, host AS value FROM c
+         UNION ALL SELECT DISTINCT url, fetched, 'domain', array_to_string(string_split(host, '.')[i :], '.')
            FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM c)
-         UNION ALL SELECT page_id, url, fetched, 'path', lower(host || '/' || array_to_string(parts[1 : i], '/'))
+         UNION ALL SELECT DISTINCT url, fetched, 'path', lower(host || '/' || array_to_string(parts[1 : i], '/'))
            FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM c)),
-hits AS (SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(list))), ',') AS lists, min(day) AS since
+hits AS (SELECT url, fetched, count(*) AS n, array_to_string(list_sort(list_distinct(list(list))), ',') AS lists, min(day) AS since
          FROM keys JOIN spans USING (kind, value)
-         WHERE action = 'add' AND fetched >= day AND (until IS NULL OR fetched < until) GROUP BY page_id)
+         WHERE action = 'add' AND fetched >= day AND (until IS NULL OR fetched < until) GROUP BY url, fetched)
 SELECT c.page_id, c.url, c.fetched, h.n IS NOT NULL AS blocked, coalesce(h.n, 0) AS n_matches, coalesce(h.lists, '') AS lists, h.since
-FROM c LEFT JOIN hits h USING (page_id)
+FROM c LEFT JOIN hits h USING (url, fetched)
 """
 
 

@@ -8,6 +8,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
@@ -427,6 +428,15 @@ def test_url_intervals(spark):
     assert got == {0: False, 1: True, 2: True, 3: False, 4: False, 5: True, 6: False}
 
 
+def test_listed_hosts_are_blocked_however_they_are_written(spark):
+    entries = spark.sql("select * from values ('l', 'domain', 'example.com', 'add', date'2024-01-01'), ('l', 'path', 'other.org/x', 'add', date'2024-01-01') as t(list, kind, value, action, day)")
+    urls = ["http://a@b@example.com/", "//example.com/x", " \thttp://example.com", "HTTP://u:p@EXAMPLE.com:80", "\x01//www.example.com.", "http://other.org/x \n", "http://other.org//x/y"]
+    free = ["http://example.com@b.org/", "http://b.org/example.com", "example.com", "http://other.org/xy", "/x", "mailto:a@example.com"]
+    frame = spark.createDataFrame([(None if k % 2 else k, u) for k, u in enumerate(urls + free)], "page_id long, url string").withColumn("fetched", F.lit("2024-06-01").cast("date"))
+    got = {r.url: r.blocked for r in url_filters.evaluate(frame, entries).collect()}
+    assert got == {**{u: True for u in urls}, **{u: False for u in free}}
+
+
 def test_pipeline_beside_brute_force(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
