@@ -19,8 +19,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of texts that go to Python at once. By rows alone a batch of long texts has no bound, in the JVM and in the worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session's batches bounded by bytes; a smaller bound that is set already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of the documents, null texts as empty."""
+    small_batches(docs.sparkSession)
     return docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, per_text, texts
+from .common import cut, per_text, small_batches, texts
 
 WINDOW_WORDS = 10
 #: Windows' text in one automaton, at most.
@@ -136,6 +136,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, block_
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of ``docs``, with all their columns, that hold no window of the benchmark; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     for block in _blocks(windows(benchmark, size), block_bytes):
         prepare = _scanner(_patterns(block))
 

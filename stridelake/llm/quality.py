@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import small_batches, texts
 
 #: Labelled rows to fit on, at most: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -180,5 +180,6 @@ def score(docs: DataFrame, model: RuleModel) -> DataFrame:
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs``, with all their columns, that score at least ``threshold``."""
+    small_batches(docs.sparkSession)
     own = "_llm_statistics"
     return (docs.withColumn(own, statistics("text")).where(model.score(own) >= threshold).select(*(docs[c] for c in docs.columns)))
