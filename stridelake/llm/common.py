@@ -19,15 +19,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of texts that go to Python at once. By rows alone a batch of long texts has no bound, in the JVM and in the worker.
-BATCH_BYTES = 4 << 20
+#: Bytes of texts that go to Python at once; the engine's own bound, 64 MB, is held in the JVM and in the worker of every task.
+BATCH_BYTES = "4m"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have this session's batches bounded by bytes; a smaller bound that is set already stays."""
+    """Have this session's batches bounded by ``BATCH_BYTES``, unless the session names a bound itself."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def texts(docs: DataFrame) -> DataFrame:
