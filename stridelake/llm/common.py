@@ -82,9 +82,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``, so that branches share it and a lost executor re-reads files."""
-    checkpoint_folder(df.sparkSession)
+def cut(df: DataFrame, compact: bool = False) -> DataFrame:
+    """Reliable checkpoint of ``df``, so that branches share it and a lost executor re-reads files.
+
+    A ``compact`` table (a few numbers a row, beside texts of kilobytes) goes to an eighth of the files: each file
+    costs the executors a process or two that set its permissions.
+    """
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    if compact:
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(width // 8, min(width, 16)))
     return df.checkpoint(eager=True)
 
 
@@ -126,7 +134,7 @@ def without(df: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
     """
     names = [free(df, f"key{k}") for k in range(len(keys))]
     word, bits, flag = free(df, "word"), free(df, "bits"), free(df, "flag")
-    gone = cut(gone.distinct().toDF(*names))
+    gone = cut(gone.distinct().toDF(*names), compact=True)
     spot = F.pmod(F.xxhash64(*names), F.lit(BITS))
     table = (gone.select(F.shiftright(spot, 6).alias(word), F.expr("1L").alias("one"), F.pmod(spot, F.lit(64)).cast("int").alias("at"))
              .groupBy(word).agg(F.bit_or(F.expr("shiftleft(one, at)")).alias(bits)))
@@ -139,7 +147,7 @@ def without(df: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
 
 def one_each(df: DataFrame, ids: DataFrame, by: Column) -> DataFrame:
     """Rows of ``df``; of those whose doc_id is among ``ids`` (doc_id), one for each doc_id and ``by``, any of them."""
-    ids = cut(ids.distinct())
+    ids = cut(ids.distinct(), compact=True)
     if not ids.take(1):
         return df
     row, key, of = free(df, "row"), free(df, "by"), free(df, "of")
@@ -158,7 +166,7 @@ def min_reachable(edges: DataFrame) -> DataFrame:
     grow with the logarithm of the longest path. Only a count and a checksum reach the driver.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs, state = cut(pairs), None
+    pairs, state = cut(pairs, compact=True), None
     width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def lowest(rows: DataFrame, low: Column) -> DataFrame:
@@ -172,7 +180,7 @@ def min_reachable(edges: DataFrame) -> DataFrame:
                  .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                            F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").where("u <> v").distinct())
-        pairs = cut(small)
+        pairs = cut(small, compact=True)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))

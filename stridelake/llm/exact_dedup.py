@@ -44,15 +44,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
     ``_raw`` is a hash of the text as it is, by which rows of one doc_id are told apart without a full hash.
     """
     content = texts(docs).select("*", *_keys(F.col("text")))
-    keys = cut(content.select("len", "start"))
+    keys = content.select("len", "start")
     lengths = keys.groupBy("len").count().where("count > 1")
-    starts = cut(maybe_in(keys, F.col("len"), lengths, F.col("len")).groupBy("len", "start").count().where("count > 1"))
+    starts = cut(maybe_in(keys, F.col("len"), lengths, F.col("len")).groupBy("len", "start").count().where("count > 1"), compact=True)
     alive = maybe_in(content, F.xxhash64("len", "start"), starts, F.xxhash64("len", "start"))
     full = cut(alive.select("doc_id", F.col("len").alias("_len"), F.xxhash64("text").alias("_raw"), full_hash("text").alias("_sha"))
-               .groupBy("doc_id", "_len", "_raw", "_sha").agg(F.count("*").alias("_rows")))
+               .groupBy("doc_id", "_len", "_raw", "_sha").agg(F.count("*").alias("_rows")), compact=True)
     # kept as a table, so that both sides of the join are dealt anew and a hot text can be split
     groups = cut(full.groupBy("_len", "_sha").agg(F.max("doc_id").alias("keep_id"), F.sum("_rows").alias("group_size"))
-                 .where("group_size > 1"))
+                 .where("group_size > 1"), compact=True)
     return full.join(groups, ["_len", "_sha"]).select("doc_id", "_len", "_raw", "_sha", "_rows", "keep_id", "group_size")
 
 
@@ -71,7 +71,7 @@ def marked(rows: DataFrame, found: DataFrame, sha: str | None = None) -> DataFra
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, with all their columns, without the dropped copies; literal repeats leave one row."""
-    found = cut(verdicts(docs))
+    found = cut(verdicts(docs), compact=True)
     text = F.coalesce("text", F.lit(""))
     own = [F.col("doc_id").cast("long"), F.octet_length(text), F.xxhash64(text)]
     rest = without(docs.where(F.col("doc_id").isNotNull()), own, found.where("keep_id <> doc_id").select("doc_id", "_len", "_raw"))

@@ -185,7 +185,7 @@ def classes(docs: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     joined = min_reachable(cut(links(reps, block_entries)))
     by_fp = (reps.join(joined, reps["rep"] == joined["node"], "left")
              .select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return cut(prints.join(by_fp, "fp").select("doc_id", "fp", "component_id"))
+    return cut(prints.join(by_fp, "fp").select("doc_id", "fp", "component_id"), compact=True)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
