@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import strength
 from ..session import shared_folder
-from ..sources import sinks
+from ..sources import footers, sinks
+from ..sources import schemas as S
 from ..sources import sleep_files as N
 from ..sources import tables as R
 from ..sources.ledger import Ledger
@@ -114,6 +115,30 @@ select athlete_id, source_file, event_id, power, cast("timestamp" as date) dt fr
 where source_file in (select source_file from ride_sessions where threshold_power > 80)""")
 
 
+def stored_drift(spark, sf_dir):
+    """Points by day in three writes: a declared column is left out of all, some files have one more or another type for a while."""
+    path = f"{_folder(spark)}/record_mesgs"
+    points = S.conform(V.telemetry(spark, sf_dir), S.ingest_schema("record_mesgs")).withColumn("dt", F.to_date("timestamp"))
+    points = points.drop("heart_rate")
+    own = [f.name for f in S.ingest_schema("record_mesgs").fields if f.name != "heart_rate"]
+    sinks.write_table(points.select("athlete_id", "dt", *own), path, ["dt"])
+    late = points.filter("event_id % 3 = 0 and dt >= date '2024-01-08'").select("athlete_id", "dt", *own)
+    sinks.write_table(late.withColumn("surface_wetness", F.col("power") / 2), path, ["dt"])
+    some = points.filter("event_id % 7 = 0 and dt between date '2024-01-05' and date '2024-01-06'").select("athlete_id", "dt", *own)
+    sinks.write_table(some.withColumns({"core_temp": F.lit(37.0), "power": F.col("power").cast("string")}), path, ["dt"])
+    return footers.stored_drift(spark, {"record_mesgs": path}).withColumnRenamed("column", "column_name")
+
+
+STORED_DRIFT_SQL = V.with_views("telemetry", body="""
+p as (select event_id, cast("timestamp" as date) dt from telemetry),
+late as (select cast(min(dt) as varchar) a, cast(max(dt) as varchar) z from p where event_id % 3 = 0 and dt >= date '2024-01-08' having count(*) > 0),
+few as (select cast(min(dt) as varchar) a, cast(max(dt) as varchar) z from p where event_id % 7 = 0 and dt between date '2024-01-05' and date '2024-01-06' having count(*) > 0)
+select 'record_mesgs' msg_type, 'surface_wetness' column_name, 'undeclared' status, 'double' stored_type, a first_day, z last_day from late
+union all select 'record_mesgs', 'core_temp', 'undeclared', 'double', a, z from few
+union all select 'record_mesgs', 'power', 'type', 'string', a, z from few
+union all select 'record_mesgs', 'heart_rate', 'missing', null, null, null from p having count(*) > 0""")
+
+
 def json_sink(spark, sf_dir):
     """Session columns written as JSON lines and read again."""
     path = f"{_folder(spark)}/sessions"
@@ -186,6 +211,7 @@ QUERIES = {
     "ledger_rebuild": (ledger_rebuild, REBUILD_SQL),
     "dataset_read": (dataset_read, DATASET_SQL),
     "stored_records": (stored_records, STORED_SQL),
+    "stored_drift": (stored_drift, STORED_DRIFT_SQL),
     "json_sink": (json_sink, JSON_SQL),
     "workout_files": (workout_files, WORKOUTS_SQL),
     "sleep_json_files": (sleep_json_files, SLEEP_JSON_SQL),

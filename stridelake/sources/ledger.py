@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import footers
 from . import messages as M
 
 #: Column that gives a row's day; types without one are undated.
@@ -86,6 +87,12 @@ class Ledger:
             stored = stored.filter(within_places(places))
         return stored.join(commits.select("batch"), "batch", "left_semi")
 
+    def drift(self) -> DataFrame:
+        """How the files of committed batches depart from the declared schemas; footers only, no rows are read."""
+        commits = self.commits()
+        tables = {} if commits is None else {t: f"{self.base}/{t}" for t in M.S.MESSAGE_TYPES}
+        return footers.stored_drift(self.spark, tables, commits)
+
     def unknown(self, messages: DataFrame) -> DataFrame:
         """Messages whose (activity, type) no committed batch holds; only the entries are read."""
         entries = self.entries()
