@@ -55,7 +55,8 @@ def repaired_power(records: DataFrame, order: list[str] | None = None, halo: int
         thin, ACTIVITY, order, series.hour_bucket(order[0]), totals={"_known": F.count("power")},
         of_group=of_activity,
     )
-    parts = series.chunked(numbered.filter(F.col("_known") > 0).drop("_known"), halo + 2)
+    # no chunk is shorter than its look-back, so a row is copied once at most
+    parts = series.chunked(numbered.filter(F.col("_known") > 0).drop("_known"), halo + 2, rows=max(series.CHUNK_ROWS, halo + 2))
     if heavy:
         parts = parts.repartition(shuffle_width(records), *ACTIVITY, "chunk")
     w = series.chunk_window(ACTIVITY)

@@ -86,18 +86,21 @@ def number_rows(
     )
 
 
-def chunk_of(position: Column) -> Column:
-    return F.floor(position / CHUNK_ROWS)
+def chunk_of(position: Column, rows: int | None = None) -> Column:
+    return F.floor(position / (rows or CHUNK_ROWS))
 
 
-def chunked(df: DataFrame, halo: int = 0, seq: str = "seq") -> DataFrame:
-    """Add ``chunk`` and ``own``; rows within ``halo`` of a later chunk are copied into it."""
-    home = chunk_of(F.col(seq))
+def chunked(df: DataFrame, halo: int = 0, seq: str = "seq", rows: int | None = None) -> DataFrame:
+    """Add ``chunk`` and ``own``; rows within ``halo`` of a later chunk are copied into it.
+
+    Chunks have ``rows`` rows (default: the module's). A row gets one copy for every ``rows`` of the halo.
+    """
+    home = chunk_of(F.col(seq), rows)
     if halo <= 0:
         return df.withColumn("chunk", home).withColumn("own", F.lit(True))
-    copies = F.sequence(home, chunk_of(F.col(seq) + halo))
+    copies = F.sequence(home, chunk_of(F.col(seq) + halo, rows))
     return df.withColumn("chunk", F.explode(copies)).withColumn(
-        "own", F.col("chunk") == chunk_of(F.col(seq))
+        "own", F.col("chunk") == chunk_of(F.col(seq), rows)
     )
 
 
