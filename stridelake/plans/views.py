@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.series import chunk_rows
+from ..session import shuffle_width
 
 AS_OF = "2001-06-15"
 ATHLETE = "cast(cast(floor(o_custkey / 20) as bigint) as string)"
@@ -176,11 +177,13 @@ def _sql(fields: list[tuple[str, str]]) -> str:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the sums of their line items; the join's tasks keep the configured width, roll-ups begin in them."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
         F.sum(F.round("l_extendedprice").cast("bigint")).alias("ext"),
     )
     orders = table(spark, sf_dir, "orders")
+    orders = orders.repartition(shuffle_width(orders), "o_orderkey")
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").selectExpr(
         *_project(SESSIONS)
     )

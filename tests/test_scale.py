@@ -2,13 +2,40 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from stridelake.operators import power, series
+from stridelake.plans import views as V
 
 DAY = dt.datetime(2024, 1, 1)
 
 
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Some orders with four line items each; joins are not broadcast."""
+    conf = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k in conf:
+        spark.conf.set(k, "-1")
+    orders = spark.range(200).selectExpr("id o_orderkey", "id % 50 o_custkey", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id as int)) o_orderdate",
+                                         "concat(cast(id % 5 + 1 as string), '-X') o_orderpriority")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(800).selectExpr("id div 4 l_orderkey", "id l_partkey", "id % 7 l_suppkey", "cast(id % 4 as int) l_linenumber", "cast(id % 50 as double) l_quantity",
+                                "cast(id as double) l_extendedprice", "'A' l_returnflag", "'F' l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    yield str(tmp_path)
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("view", ["sessions"])
+def test_joins_of_orders_keep_the_configured_width(spark, tables, view):
+    got = getattr(V, view)(spark, tables)
+    tasks = got.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert got.count() == {"sessions": 200, "workout_sets": 800}[view]
+
+
 def test_a_long_look_back_is_copied_once(spark, small_chunks):
     points = spark.createDataFrame([("a", "f", DAY + dt.timedelta(seconds=s), float(s % 90)) for s in range(400)],
                                    "athlete_id string, source_file string, timestamp timestamp_ntz, power double")
