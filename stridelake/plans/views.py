@@ -262,9 +262,13 @@ def score_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workout_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat lifting sets behind the nested log: every order is a workout."""
+    """Flat lifting sets behind the nested log: every order is a workout.
+
+    Sorts of the join and of the nesting run in the same tasks, so these keep the configured width.
+    """
     orders = table(spark, sf_dir, "orders")
     lines = table(spark, sf_dir, "lineitem")
+    lines = lines.repartition(shuffle_width(lines), "l_orderkey")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(*_project(WORKOUT_SETS))
 
 

@@ -28,7 +28,7 @@ def tables(spark, tmp_path):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("view", ["sessions"])
+@pytest.mark.parametrize("view", ["sessions", "workout_sets"])
 def test_joins_of_orders_keep_the_configured_width(spark, tables, view):
     got = getattr(V, view)(spark, tables)
     tasks = got.select(F.spark_partition_id().alias("p")).distinct().count()
