@@ -1,11 +1,13 @@
 """Work is dealt over the configured width where runtime coalescing would fold it, and halos are copied once."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from stridelake.operators import power, series
+from stridelake.plans import store_queries
 from stridelake.plans import views as V
 
 DAY = dt.datetime(2024, 1, 1)
@@ -43,3 +45,11 @@ def test_a_long_look_back_is_copied_once(spark, small_chunks):
     assert parts.filter("own").count() == 400 and parts.count() <= 2 * 400
     short = power.repaired_power(points)  # a short look-back keeps the module's chunks
     assert short.agg(F.max("chunk")).first()[0] == 399 // series.CHUNK_ROWS
+
+
+def test_files_of_athletes_are_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(400).selectExpr("cast(id % 60 as string) athlete_id", "id").groupBy("athlete_id").agg(F.max("id").cast("string").alias("value"))
+    store_queries._write_texts(rows, f"{tmp_path}/log")
+    files = sorted((tmp_path / "log").glob("athlete_id=*/part-*"))
+    assert len(files) == 60  # one for each athlete
+    assert len({re.match(r"part-(\d+)", f.name)[1] for f in files}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
