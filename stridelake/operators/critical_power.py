@@ -69,8 +69,10 @@ def over_time(sessions: DataFrame, curves: DataFrame, period_months: int,
               fit_range: tuple[int, int] = FIT_RANGE) -> DataFrame:
     """Fit at every month start, each over the ``period_months`` × 30 days before it.
 
-    A day's best is sent to the few month starts whose window holds it, so the rolling
-    window is an equi-key aggregate: no row meets rows of other days.
+    A ride is sent to the few month starts whose window holds it, so the rolling window is an equi-key aggregate:
+    no row meets rows of other days. Curves are dealt once, by athlete and duration, over the configured width; rides of
+    the same months are reduced before their watts are repeated for each month, and what is repeated does not travel.
+    As a row becomes up to ``period_months`` rows in its task, there are that many times more tasks.
     """
     span = period_months * DAYS_PER_MONTH
     bounds = sessions.groupBy(OWNER).agg(
@@ -78,16 +80,19 @@ def over_time(sessions: DataFrame, curves: DataFrame, period_months: int,
     ).filter(F.date_add("_min", span) <= F.col("_max")).select(
         OWNER, month_start(F.date_add("_min", span)).alias("_first"), month_start(F.col("_max")).alias("_last")
     )
-    best = _daily_best(sessions, curves)
+    days = sessions.select(*ACTIVITY, utc_date("timestamp").alias("day")).filter(F.col("day").isNotNull())
     next_start = F.when(F.dayofmonth("day") == 1, F.col("day")).otherwise(F.add_months(month_start(F.col("day")), 1))
     last_start = month_start(F.date_add("day", span))
-    reached = best.filter(next_start <= last_start).select(
-        OWNER, "duration_s", "watts",
-        F.explode(F.sequence(next_start, last_start, F.expr("interval 1 month"))).alias("date"),
-    )
+    served = days.join(bounds, OWNER).select(
+        *ACTIVITY, F.greatest(next_start, "_first").alias("_from"), F.least(last_start, "_last").alias("_to")
+    ).filter(F.col("_from") <= F.col("_to"))
+    inside = curves.filter(F.col("duration_s").between(*fit_range) & F.col("watts").isNotNull())
+    dealt = inside.join(served, ACTIVITY).select(OWNER, "duration_s", "_from", "_to", "watts").repartition(
+        shuffle_width(curves) * period_months, OWNER, "duration_s")
+    spans = dealt.groupBy(OWNER, "duration_s", "_from", "_to").agg(F.max("watts").alias("watts"))
+    reached = spans.select(OWNER, "duration_s", "watts", F.explode(F.sequence("_from", "_to", F.expr("interval 1 month"))).alias("date"))
     monthly = reached.groupBy(OWNER, "date", "duration_s").agg(F.max("watts").alias("watts"))
-    asked = monthly.join(bounds, OWNER).filter(F.col("date").between(F.col("_first"), F.col("_last")))
-    return fit(asked, [OWNER, "date"], fit_range).filter(F.col("cp").isNotNull()).select(
+    return fit(monthly, [OWNER, "date"], fit_range).filter(F.col("cp").isNotNull()).select(
         OWNER, "date", "cp", "wprime_kj", "r2"
     )
 

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from stridelake.operators import power, series
+from stridelake.operators import critical_power, power, series
 from stridelake.plans import store_queries
 from stridelake.plans import views as V
 
@@ -53,3 +53,13 @@ def test_files_of_athletes_are_written_by_several_tasks(spark, tmp_path):
     files = sorted((tmp_path / "log").glob("athlete_id=*/part-*"))
     assert len(files) == 60  # one for each athlete
     assert len({re.match(r"part-(\d+)", f.name)[1] for f in files}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_watts_repeated_for_each_month_do_not_travel(spark):
+    sessions = spark.range(40).selectExpr("cast(id div 1000 as string) athlete_id", "cast(id as string) source_file", "timestamp_ntz'2024-01-05 12:00:00' + make_dt_interval(cast(id * 20 as int)) timestamp")
+    curves = spark.range(200).selectExpr("cast(id div 1000 as string) athlete_id", "cast(id % 40 as string) source_file", "cast(120 + id div 40 as int) duration_s", "cast(200 + id % 9 - id div 40 as double) watts")
+    got = critical_power.over_time(sessions, curves, 6)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*date#[^)]*duration_s#", plan)
+    assert re.search(rf"hashpartitioning\(athlete_id#\d+, duration_s#\d+, {6 * int(spark.conf.get('spark.sql.shuffle.partitions'))}\)", plan)
+    assert got.count() == 20  # months from July 2024, 180 days after the first ride, to that of the last one
