@@ -36,9 +36,10 @@ def _totals(store):
     """Rows and sum of the main number per athlete and type, from what is committed."""
     out = None
     for msg_type, (number, _) in MAIN.items():
-        if store.read(msg_type) is None:
+        rows = store.read(msg_type)
+        if rows is None:
             continue
-        part = store.read(msg_type).groupBy("athlete_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(number).alias("total"))
+        part = rows.groupBy("athlete_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(number).alias("total"))
         part = part.withColumn("msg_type", F.lit(msg_type))
         out = part if out is None else out.unionByName(part)
     return out

@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shuffle_width
 from . import footers
 from . import messages as M
 
@@ -104,19 +105,30 @@ class Ledger:
         """Write a batch's unseen rows and its entries; nothing of it is visible before ``commit``."""
         if not batch[:1].isalpha() or "/" in batch:
             raise ValueError(f"a batch id starts with a letter and names a folder, {batch!r} does not")
-        for msg_type in msg_types or M.S.MESSAGE_TYPES:
-            rows = placed(M.dedup(M.flatten_messages(messages, msg_type).filter(~F.col("_bad")).drop("_bad")), msg_type).persist()
-            # one value for each day of the batch, and the buckets if some rows have none
-            places = [(r.dt, r.bucket) for r in rows.select("dt", "bucket").distinct().collect()]
-            if places:
-                stored = None if rebuild else self.read(msg_type, places)
-                new = (rows if stored is None else M.without_stored(rows, stored.drop("batch"))).withColumn("batch", F.lit(batch)).persist()
-                self._write(new, f"{self.base}/{msg_type}")
-                entries = new.groupBy(*SOURCE, "dt", "bucket").agg(F.count(F.lit(1)).alias("rows"))
-                (entries.withColumns({"batch": F.lit(batch), "msg_type": F.lit(msg_type)}).write
-                 .option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("batch", "msg_type").parquet(f"{self.base}/entries"))
+        kinds = list(msg_types or M.S.MESSAGE_TYPES)
+        # parsing costs far more than its bytes, so messages are dealt over the configured width however their files are cut
+        dealt = messages.filter(F.col("msg_type").isin(kinds)).repartition(shuffle_width(messages)).persist()
+        try:
+            for msg_type in kinds:
+                self._stage_type(dealt, batch, msg_type, rebuild)
+        finally:
+            dealt.unpersist()
+
+    def _stage_type(self, messages: DataFrame, batch: str, msg_type: str, rebuild: bool) -> None:
+        rows = placed(M.dedup(M.flatten_messages(messages, msg_type).filter(~F.col("_bad")).drop("_bad")), msg_type).persist()
+        # one value for each day of the batch, and the buckets if some rows have none
+        places = [(r.dt, r.bucket) for r in rows.select("dt", "bucket").distinct().collect()]
+        if places:
+            stored = None if rebuild else self.read(msg_type, places)
+            # where nothing is stored the rows at hand are the new ones and need no second copy
+            new = rows if stored is None else M.without_stored(rows, stored.drop("batch")).persist()
+            self._write(new.withColumn("batch", F.lit(batch)), f"{self.base}/{msg_type}")
+            entries = new.groupBy(*SOURCE, "dt", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+            (entries.withColumns({"batch": F.lit(batch), "msg_type": F.lit(msg_type)}).write
+             .option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("batch", "msg_type").parquet(f"{self.base}/entries"))
+            if stored is not None:
                 new.unpersist()
-            rows.unpersist()
+        rows.unpersist()
 
     def _write(self, rows: DataFrame, path: str) -> None:
         order = [c for c in (*SOURCE, "timestamp") if c in rows.columns]
@@ -144,9 +156,6 @@ class Ledger:
         """
         if self.committed(batch):
             return
-        fresh = (self.unknown(messages) if skip_known and not rebuild else messages).persist()
-        try:
-            self.stage(fresh, batch, msg_types, rebuild)
-            self.commit(batch, rebuild)
-        finally:
-            fresh.unpersist()
+        fresh = self.unknown(messages) if skip_known and not rebuild else messages
+        self.stage(fresh, batch, msg_types, rebuild)
+        self.commit(batch, rebuild)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stridelake.operators import critical_power, power, series
 from stridelake.plans import store_queries
 from stridelake.plans import views as V
+from stridelake.sources import ledger
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -55,6 +56,23 @@ def test_files_of_athletes_are_written_by_several_tasks(spark, tmp_path):
     assert len({re.match(r"part-(\d+)", f.name)[1] for f in files}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_messages_are_parsed_by_as_many_tasks_as_configured(spark, tmp_path, monkeypatch):
+    kinds, seen = ["record_mesgs", "split_summary_mesgs"], []
+    flatten = ledger.M.flatten_messages
+
+    def watched(messages, msg_type):
+        seen.append((messages.select(F.spark_partition_id()).distinct().count(), {r.msg_type for r in messages.select("msg_type").distinct().collect()}))
+        return flatten(messages, msg_type)
+
+    monkeypatch.setattr(ledger.M, "flatten_messages", watched)
+    rows = spark.range(300).selectExpr("'a' athlete_id", "'f' source_file", "element_at(array('record_mesgs', 'split_summary_mesgs', 'split_mesgs'), cast(id % 3 as int) + 1) msg_type",
+                                       """concat('{"timestamp":"2024-05-01 10:00:00","power":', id, ',"num_splits":', id, '}') fields""")
+    store = ledger.Ledger(spark, str(tmp_path))
+    store.append(rows.coalesce(1), "one", kinds)
+    assert seen == [(int(spark.conf.get("spark.sql.shuffle.partitions")), set(kinds))] * 2  # types not asked for are not kept
+    assert store.read("record_mesgs").count() == store.read("split_summary_mesgs").count() == 100
+
+
 def test_watts_repeated_for_each_month_do_not_travel(spark):
     sessions = spark.range(40).selectExpr("cast(id div 1000 as string) athlete_id", "cast(id as string) source_file", "timestamp_ntz'2024-01-05 12:00:00' + make_dt_interval(cast(id * 20 as int)) timestamp")
     curves = spark.range(200).selectExpr("cast(id div 1000 as string) athlete_id", "cast(id % 40 as string) source_file", "cast(120 + id div 40 as int) duration_s", "cast(200 + id % 9 - id div 40 as double) watts")
