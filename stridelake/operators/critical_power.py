@@ -59,12 +59,6 @@ def fitted_points(curve: DataFrame, fits: DataFrame, keys: list[str],
     return inside.join(model, keys).select(*keys, "duration_s", "watts", fitted.alias("fitted_watts"))
 
 
-def _daily_best(sessions: DataFrame, curves: DataFrame) -> DataFrame:
-    """Best watts per athlete, UTC day and duration."""
-    days = sessions.select(*ACTIVITY, utc_date("timestamp").alias("day"))
-    return days.join(curves, ACTIVITY).groupBy(OWNER, "day", "duration_s").agg(F.max("watts").alias("watts"))
-
-
 def over_time(sessions: DataFrame, curves: DataFrame, period_months: int,
               fit_range: tuple[int, int] = FIT_RANGE) -> DataFrame:
     """Fit at every month start, each over the ``period_months`` × 30 days before it.
@@ -102,17 +96,20 @@ def ride_models(sessions: DataFrame, curves: DataFrame, period_months: int = RID
     """CP and W' that apply to each ride: a fit over the months up to its day, else its
     threshold power and the default W'.
 
-    The look-back is a range frame over days; an athlete has at most one row per calendar
-    day and duration there.
+    A ride is sent to the ride days of its athlete it serves, its own and those of the months after it, so the look-back is
+    an equi-key aggregate. The days, one short list for each activity, meet the curves where these lie; curves are dealt
+    once, by athlete and duration, and what is repeated for each day does not travel.
     """
     span = period_months * DAYS_PER_MONTH
-    best = _daily_best(sessions, curves)
-    days = sessions.select(OWNER, utc_date("timestamp").alias("day")).distinct()
-    durations = best.select(OWNER, "duration_s").distinct()
-    grid = days.join(durations, OWNER).join(best, [OWNER, "day", "duration_s"], "left")
-    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
-    w = Window.partitionBy(OWNER, "duration_s").orderBy("_d").rangeBetween(-span, 0)
-    rolling = grid.withColumn("_d", number).select(OWNER, "day", "duration_s", F.max("watts").over(w).alias("watts"))
+    dated = sessions.select(*ACTIVITY, utc_date("timestamp").alias("day")).filter(F.col("day").isNotNull()).distinct()
+    ahead = Window.partitionBy(OWNER).orderBy(F.unix_date("day")).rangeBetween(0, span)
+    ridden = dated.select(OWNER, "day").distinct().select(OWNER, "day", F.collect_list("day").over(ahead).alias("_days"))
+    served = dated.join(ridden, [OWNER, "day"]).select(*ACTIVITY, "_days")
+    inside = curves.filter(F.col("duration_s").between(*fit_range) & F.col("watts").isNotNull())
+    dealt = inside.join(served, ACTIVITY).select(OWNER, "duration_s", "watts", "_days").repartition(
+        shuffle_width(curves), OWNER, "duration_s")
+    reached = dealt.select(OWNER, "duration_s", "watts", F.explode("_days").alias("day"))
+    rolling = reached.groupBy(OWNER, "day", "duration_s").agg(F.max("watts").alias("watts"))
     fits = fit(rolling, [OWNER, "day"], fit_range).select(OWNER, "day", "cp", "wprime_kj")
     first = sessions.groupBy(*ACTIVITY).agg(
         F.min(utc_date("timestamp")).alias("day"), F.min_by("threshold_power", "timestamp").alias("_ftp")
@@ -187,23 +184,26 @@ def _entering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def wprime_balance(records: DataFrame, models: DataFrame, order: list[str] | None = None) -> DataFrame:
     """W' balance of every point. ``models`` is ``ride_models``' result.
 
-    Chunks are solved side by side and in one way, whatever an activity's length: each is a map of the balance it
-    begins with, a pass over one small row per chunk applies these maps in turn, and the balances found meet the points again. Both uses of
-    the points share one exchange.
+    Chunks are solved side by side: each is a map of the balance it begins with, a pass over one small row per chunk
+    applies these maps in turn, and the balances found meet the points again. An activity of one chunk begins it with
+    all of its W', so only the points of longer activities are worked through for the maps.
     """
     found = models.select(*ACTIVITY, "cp", "wprime_kj")
-    points = _steps(repaired_power(records, order, of_activity=found).filter("own").drop("own"))
+    own = lambda parts: parts.filter("own").drop("own")
+    points = _steps(own(repaired_power(records, order, heavy=True, of_activity=found)))
+    longer = _steps(own(repaired_power(records, order, heavy=True, of_activity=found, longer_than=series.CHUNK_ROWS)))
     keys = [*ACTIVITY, "chunk"]
     after, last = _power_of_e(-F.col("t")), F.struct("_t", "_s")
-    ends = points.groupBy(*keys).agg(
+    ends = longer.groupBy(*keys).agg(
         (F.max("wprime_kj") * 1000).alias("full"), F.max_by(last, "seq").alias("e"), F.max("_v").alias("v"),
     ).select(*keys, "full", F.col("e._t").alias("t"), F.col("e._s").alias("s"), "v").select(
         *keys, "full", after.alias("a"), (after * F.col("s")).alias("c"), (after * (F.col("s") + F.col("v"))).alias("low")
     )
     entering = (ends.repartition(shuffle_width(records), *ACTIVITY).sortWithinPartitions(*keys)
                 .mapInArrow(_entering, _ENTRY))
-    solved = points.join(entering, keys).withColumn("balance", _after(F.col("b_in"), F.col("_t"), F.col("_s"), F.col("_v")))
     wp = F.col("wprime_kj") * 1000
+    solved = points.join(entering, keys, "left").withColumn(
+        "balance", _after(F.coalesce("b_in", wp), F.col("_t"), F.col("_s"), F.col("_v")))
     return solved.select(
         *ACTIVITY, "seq", (F.col("seq") / 60.0).alias("time_min"), "power",
         (F.col("balance") / 1000).alias("wprime_bal_kj"),

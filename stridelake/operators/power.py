@@ -39,7 +39,7 @@ FEW_DURATIONS = 64
 
 
 def repaired_power(records: DataFrame, order: list[str] | None = None, halo: int = 0,
-                   heavy: bool = False, of_activity: DataFrame | None = None) -> DataFrame:
+                   heavy: bool = False, of_activity: DataFrame | None = None, longer_than: int = 0) -> DataFrame:
     """Chunked whole-watt power of every activity that has any.
 
     A missing value becomes the mean of the two raw values before it when both exist, else
@@ -47,16 +47,19 @@ def repaired_power(records: DataFrame, order: list[str] | None = None, halo: int
     ``own`` and ``power``. ``halo`` is the look-back the caller needs; values of the copied
     rows are right except in the first two, which no frame within ``halo`` reaches.
     ``heavy`` keeps the configured number of tasks for costly work that follows. ``of_activity`` adds its columns (one
-    row for each activity; others are left out).
+    row for each activity; others are left out). Activities of ``longer_than`` rows or fewer are left out before the
+    chunks are dealt.
     """
     order = order or ["timestamp"]
     thin = records.select(*ACTIVITY, *order, "power")
     numbered = series.number_rows(
-        thin, ACTIVITY, order, series.hour_bucket(order[0]), totals={"_known": F.count("power")},
+        thin, ACTIVITY, order, series.hour_bucket(order[0]), totals={"_known": F.count("power"), "_rows": F.count(F.lit(1))},
         of_group=of_activity,
     )
+    if longer_than:
+        numbered = numbered.filter(F.col("_rows") > longer_than)
     # no chunk is shorter than its look-back, so a row is copied once at most
-    parts = series.chunked(numbered.filter(F.col("_known") > 0).drop("_known"), halo + 2, rows=max(series.CHUNK_ROWS, halo + 2))
+    parts = series.chunked(numbered.filter(F.col("_known") > 0).drop("_known", "_rows"), halo + 2, rows=max(series.CHUNK_ROWS, halo + 2))
     if heavy:
         parts = parts.repartition(shuffle_width(records), *ACTIVITY, "chunk")
     w = series.chunk_window(ACTIVITY)
@@ -90,16 +93,20 @@ def _few(records: DataFrame, durations: list[int], order: list[str] | None) -> D
 
 def _chunk_curve(durations: list[int]):
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        total = np.concatenate([[0], np.cumsum(pdf["power"].to_numpy(np.int64))])
+        place = np.argsort(pdf["seq"].to_numpy())
+        total = np.concatenate([[0], np.cumsum(pdf["power"].to_numpy(np.int64)[place])])
         first_own = int((~pdf["own"].to_numpy()).sum())  # copies lead the chunk
         rows = len(pdf)
-        found = []
+        gained = np.empty(rows + 1, np.int64)  # one buffer for all durations
+        found, best = [], []
         for d in durations:
             begin = max(first_own - d + 1, 0)
             if begin + d <= rows and first_own < rows:
-                found.append((d, (total[begin + d:] - total[begin:rows - d + 1]).max() / d))
-        out = pd.DataFrame(found, columns=["duration_s", "watts"]).astype({"duration_s": "int32", "watts": "float64"})
+                spans = np.subtract(total[begin + d:], total[begin:rows - d + 1], out=gained[:rows - d + 1 - begin])
+                found.append(d)
+                best.append(np.maximum.reduce(spans))
+        reached = np.array(found, np.int32)
+        out = pd.DataFrame({"duration_s": reached, "watts": np.array(best, np.int64) / reached})
         for k in ACTIVITY:
             out[k] = pdf[k].iloc[0] if rows else None
         return out[[*ACTIVITY, "duration_s", "watts"]]
@@ -107,10 +114,11 @@ def _chunk_curve(durations: list[int]):
 
 
 def _many(records: DataFrame, durations: list[int], order: list[str] | None) -> DataFrame:
+    """A chunk's curve is a row for each duration, so curves are dealt by activity: what meets them by activity needs no further exchange."""
     parts = repaired_power(records, order, max(durations) - 1, heavy=True)
     curves = parts.select(*ACTIVITY, "chunk", "seq", "own", "power").groupBy(*ACTIVITY, "chunk").applyInPandas(
         _chunk_curve(durations), "athlete_id string, source_file string, duration_s int, watts double"
-    )
+    ).repartition(shuffle_width(records), *ACTIVITY)
     return curves.groupBy(*ACTIVITY, "duration_s").agg(F.max("watts").alias("watts"))
 
 

@@ -81,3 +81,31 @@ def test_watts_repeated_for_each_month_do_not_travel(spark):
     assert not re.search(r"hashpartitioning\([^)]*date#[^)]*duration_s#", plan)
     assert re.search(rf"hashpartitioning\(athlete_id#\d+, duration_s#\d+, {6 * int(spark.conf.get('spark.sql.shuffle.partitions'))}\)", plan)
     assert got.count() == 20  # months from July 2024, 180 days after the first ride, to that of the last one
+
+
+def test_ride_models_read_the_curves_once(spark):
+    sessions = spark.range(40).selectExpr("cast(id div 1000 as string) athlete_id", "cast(id as string) source_file", "timestamp_ntz'2024-01-05 12:00:00' + make_dt_interval(cast(id * 20 as int)) timestamp",
+                                          "cast(null as double) threshold_power")
+    curves = spark.range(201).filter("id < 200").selectExpr("cast(id div 1000 as string) athlete_id", "cast(id % 40 as string) source_file", "cast(120 + id div 40 as int) duration_s", "cast(200 + id % 9 - id div 40 as double) watts")
+    got = critical_power.ride_models(sessions, curves)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Range (0, 201,") == 1
+    assert got.count() == 40
+
+
+def test_ride_models_look_over_days_without_a_curve(spark):
+    start = dt.datetime(2024, 1, 5, 12)
+    rides = {"r0": (0, 300), "r1": (30, None), "r2": (30, 250), "r3": (90, None), "r4": (91, None), "r5": (121, 200), "r6": (None, 400)}
+    sessions = spark.createDataFrame([("a", f, None if d is None else start + dt.timedelta(days=d), 222.0) for f, (d, _) in rides.items()],
+                                     "athlete_id string, source_file string, timestamp timestamp_ntz, threshold_power double")
+    curves = spark.createDataFrame([("a", f, t, cp + 12000 / t) for f, (_, cp) in rides.items() if cp for t in (120, 300, 1200)],
+                                   "athlete_id string, source_file string, duration_s int, watts double")
+    got = {r.source_file: (r.cp, r.from_model) for r in critical_power.ride_models(sessions, curves).collect()}
+    assert got == {"r0": (300, True), "r1": (300, True), "r2": (300, True), "r3": (300, True), "r4": (250, True), "r5": (200, True), "r6": (250, False)}
+
+
+def test_points_of_short_rides_are_worked_through_once(spark):
+    records = spark.range(300).selectExpr("'a' athlete_id", "cast(id % 3 as string) source_file", "timestamp_ntz'2024-01-05 12:00:00' + make_dt_interval(0, 0, 0, id) timestamp", "cast(id as double) power")
+    models = spark.range(3).selectExpr("'a' athlete_id", "cast(id as string) source_file", "200L cp", "15D wprime_kj")
+    got = critical_power.wprime_balance(records, models)
+    assert len(got.collect()) == 300
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
