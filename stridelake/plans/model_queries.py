@@ -115,9 +115,10 @@ def _rides(spark, sf_dir):
 
 
 def _design(spark, sf_dir):
-    rides = _rides(spark, sf_dir)
+    # one row per ride feeds the months, with and without sleep; the point-level plan runs once
+    rides = cut_lineage(_rides(spark, sf_dir))
     rows = K.design(K.monthly_peaks(rides, LABELS), K.monthly_sleep(rides, V.tour_nights(spark, sf_dir)), LABELS)
-    # one row per athlete and month feeds every model; the point-level plan runs once
+    # one row per athlete and month feeds every model
     return cut_lineage(rows)
 
 

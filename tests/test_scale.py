@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stridelake.operators import critical_power, power, series
-from stridelake.plans import store_queries
+from stridelake.plans import model_queries, store_queries
 from stridelake.plans import views as V
 from stridelake.sources import ledger
 
@@ -109,3 +109,20 @@ def test_points_of_short_rides_are_worked_through_once(spark):
     got = critical_power.wprime_balance(records, models)
     assert len(got.collect()) == 300
     assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_rides_behind_covariates_are_made_once(spark, monkeypatch):
+    made, seen = spark.range(30).selectExpr("'a' athlete_id", "cast(id as string) source_file", "date_add(date'2024-01-05', cast(id * 11 as int)) day",
+                                            "cast(date_trunc('month', date_add(date'2024-01-05', cast(id * 11 as int))) as date) month", "cast(id * 7 % 50 as double) training_stress_score",
+                                            "cast(id * 3 % 11 as double) p1", "cast(id * 5 % 13 as double) p2", "cast(id * 2 % 17 as double) p3"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    nights = made.selectExpr("athlete_id", "cast(date_sub(day, 1) as string) calendar_date", "cast(day(day) as int) score_overall")
+    monkeypatch.setattr(model_queries, "_rides", lambda *_: made.mapInPandas(counted, made.schema))
+    monkeypatch.setattr(model_queries.V, "tour_nights", lambda *_: nights)
+    assert model_queries._design(spark, "").count() == 2 * 11
+    assert seen.value == 30
