@@ -6,6 +6,9 @@ only, so a crash between two tables shows nothing of the batch, and a retry unde
 its own folders. What is stored is known from the entries: no table is read to skip known sources, and a
 batch meets the stored rows of its own days and buckets only.
 
+The types of a batch are written side by side. What they wrote is counted into entries once all of them are done: no plan that is kept
+reads a path written meanwhile, which would drop it and have it worked out again.
+
 Days spread dated rows; rows without a day (types without one, null times) lie under one date and are spread over
 buckets by their content. A rebuild is a batch of the next generation: readers go by the latest one, what came before stays
 until its folders are removed.
@@ -14,8 +17,11 @@ until its folders are removed.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,26 +115,38 @@ class Ledger:
         # parsing costs far more than its bytes, so messages are dealt over the configured width however their files are cut
         dealt = messages.filter(F.col("msg_type").isin(kinds)).repartition(shuffle_width(messages)).persist()
         try:
-            for msg_type in kinds:
-                self._stage_type(dealt, batch, msg_type, rebuild)
+            dealt.count()  # once, ahead of the types that read it together
+            # a small batch is mostly waiting for the driver, so the types are staged side by side; each thread has properties of its own
+            with ThreadPoolExecutor(len(kinds)) as side_by_side:
+                staged = {kind: side_by_side.submit(inheritable_thread_target(self.spark)(self._stage_type), dealt, batch, kind, rebuild) for kind in kinds}
+            placed_at = {kind: done.result() for kind, done in staged.items()}
         finally:
             dealt.unpersist()
+        self._write_entries(batch, {kind: places for kind, places in placed_at.items() if places})
 
-    def _stage_type(self, messages: DataFrame, batch: str, msg_type: str, rebuild: bool) -> None:
+    def _stage_type(self, messages: DataFrame, batch: str, msg_type: str, rebuild: bool) -> list[tuple[date, int]]:
+        """Write the unseen rows of a type; the places of all its rows."""
         rows = placed(M.dedup(M.flatten_messages(messages, msg_type).filter(~F.col("_bad")).drop("_bad")), msg_type).persist()
-        # one value for each day of the batch, and the buckets if some rows have none
-        places = [(r.dt, r.bucket) for r in rows.select("dt", "bucket").distinct().collect()]
-        if places:
-            stored = None if rebuild else self.read(msg_type, places)
-            # where nothing is stored the rows at hand are the new ones and need no second copy
-            new = rows if stored is None else M.without_stored(rows, stored.drop("batch")).persist()
-            self._write(new.withColumn("batch", F.lit(batch)), f"{self.base}/{msg_type}")
-            entries = new.groupBy(*SOURCE, "dt", "bucket").agg(F.count(F.lit(1)).alias("rows"))
-            (entries.withColumns({"batch": F.lit(batch), "msg_type": F.lit(msg_type)}).write
-             .option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("batch", "msg_type").parquet(f"{self.base}/entries"))
-            if stored is not None:
-                new.unpersist()
-        rows.unpersist()
+        try:
+            # one value for each day of the batch, and the buckets if some rows have none
+            places = [(r.dt, r.bucket) for r in rows.select("dt", "bucket").distinct().collect()]
+            if places:
+                stored = None if rebuild else self.read(msg_type, places)
+                new = rows if stored is None else M.without_stored(rows, stored.drop("batch"))
+                self._write(new.withColumn("batch", F.lit(batch)), f"{self.base}/{msg_type}")
+        finally:
+            rows.unpersist()
+        return places
+
+    def _write_entries(self, batch: str, places: dict[str, list[tuple[date, int]]]) -> None:
+        """One row for each (athlete, source, type, day, bucket) of the batch, counted from two columns of the files just written."""
+        found = [(kind, table(self.spark, f"{self.base}/{kind}"), at) for kind, at in places.items()]
+        parts = [rows.filter((F.col("batch") == batch) & within_places(at))
+                 .select(*SOURCE, "dt", "bucket", "batch", F.lit(kind).alias("msg_type")) for kind, rows, at in found if rows is not None]
+        if parts:
+            entries = reduce(DataFrame.unionByName, parts).groupBy(*SOURCE, "dt", "bucket", "batch", "msg_type").agg(F.count(F.lit(1)).alias("rows"))
+            (entries.write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+             .partitionBy("batch", "msg_type").parquet(f"{self.base}/entries"))
 
     def _write(self, rows: DataFrame, path: str) -> None:
         order = [c for c in (*SOURCE, "timestamp") if c in rows.columns]

@@ -19,6 +19,18 @@ EXTRA = "extra"
 CONTENT = "_content"
 
 
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _hash(columns: list[str]) -> str:
+    return f"xxhash64({', '.join(map(_name, columns))}) AS {CONTENT}"
+
+
 def flatten_messages(messages: DataFrame, msg_type: str, schema: T.StructType | None = None) -> DataFrame:
     """Typed rows of one message type. Arrays and objects are dropped, whole numbers and
     booleans become doubles, unparsable documents become null rows flagged ``_bad``.
@@ -29,24 +41,24 @@ def flatten_messages(messages: DataFrame, msg_type: str, schema: T.StructType |
     own = [f for f in schema.fields if f.name not in ("source_file", EXTRA)]
     keys = [c for c in ("athlete_id", "source_file") if c in messages.columns]
     # what a value is decides whether it is nested, not what its text looks like
-    document = F.expr("try_cast(try_parse_json(fields) as map<string, variant>)")
-    plain = F.map_filter("_all", lambda k, v: ~F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)"))
-    scalars = F.transform_values(plain, lambda k, v: F.try_variant_get(v, "$", "string"))
+    document = "try_cast(try_parse_json(fields) as map<string, variant>)"
+    scalars = "transform_values(_all, (k, v) -> if(schema_of_variant(v) rlike '^(ARRAY|OBJECT)', null, try_variant_get(v, '$', 'string')))"
     # generators keep filters on the result above them, so a document is parsed once
     parsed = (messages.filter(F.col("msg_type") == msg_type)
-              .select(*keys, F.explode(F.array(document)).alias("_all"))
-              .select(*keys, F.col("_all").isNull().alias("_bad"), F.explode(F.array(scalars)).alias("_f")))
+              .selectExpr(*keys, f"explode(array({document})) AS _all")
+              .selectExpr(*keys, "_all IS NULL AS _bad", f"explode(array({scalars})) AS _f"))
 
-    def column(f: T.StructField):
-        raw = F.try_element_at("_f", F.lit(f.name))
+    # as text: with a call for each part of each of 83 columns, building the plan took longer than a small batch's work
+    def column(f: T.StructField) -> str:
+        raw = f"try_element_at(_f, {_text(f.name)})"
         if isinstance(f.dataType, T.DoubleType):
-            return F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(raw.try_cast("double"))
-        return raw.try_cast(f.dataType)
+            return f"case when {raw} = 'true' then 1.0D when {raw} = 'false' then 0.0D else try_cast({raw} as double) end AS {_name(f.name)}"
+        return f"try_cast({raw} as {f.dataType.simpleString()}) AS {_name(f.name)}"
 
-    declared = [f.name for f in schema.fields] + keys
-    rest = F.map_filter("_f", lambda k, v: ~k.isin(declared) & v.isNotNull())
-    extra = F.when(F.size(rest) > 0, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(rest)))))
-    return parsed.select(*keys, "_bad", *[column(f).alias(f.name) for f in own], extra.alias(EXTRA))
+    declared = ", ".join(_text(n) for n in [f.name for f in schema.fields] + keys)
+    rest = f"map_filter(_f, (k, v) -> k not in ({declared}) and v is not null)"
+    extra = f"case when size({rest}) > 0 then to_json(map_from_entries(array_sort(map_entries({rest})))) end AS {EXTRA}"
+    return parsed.selectExpr(*keys, "_bad", *[column(f) for f in own], extra)
 
 
 def not_yet_stored(messages: DataFrame, stored: dict[str, DataFrame]) -> DataFrame:
@@ -76,7 +88,7 @@ def align(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def cast(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
         return df.select(*[
-            (S.lenient_cast(F.col(n), types[n], t) if n in types else F.lit(None).cast(t)).alias(n)
+            n if types.get(n) == t else (S.lenient_cast(F.col(n), types[n], t) if n in types else F.lit(None).cast(t)).alias(n)
             for n, t in want.items()
         ])
 
@@ -91,7 +103,7 @@ def dedup(df: DataFrame, ignore: str = "source_file") -> DataFrame:
     leading long settles nearly every comparison.
     """
     content = [c for c in df.columns if c != ignore]
-    hashed = df.withColumn(CONTENT, F.xxhash64(*content))
+    hashed = df.selectExpr("*", _hash(content))
     return hashed.groupBy(CONTENT, *content).agg(F.min(ignore).alias(ignore)).select(*df.columns)
 
 
@@ -99,11 +111,10 @@ def without_stored(new: DataFrame, stored: DataFrame, ignore: str = "source_file
     """Rows of ``new`` whose content ``stored`` does not hold under any ``source_file``."""
     left, right = align(stored, new)
     content = [c for c in right.columns if c != ignore]
-    s = left.withColumn(CONTENT, F.xxhash64(*content)).alias("s")
-    n = right.withColumn(CONTENT, F.xxhash64(*content)).alias("n")
-    same = F.col(f"n.{CONTENT}") == F.col(f"s.{CONTENT}")
-    for c in content:  # the hash finds candidates, the content decides
-        same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}"))
+    s = left.selectExpr("*", _hash(content)).alias("s")
+    n = right.selectExpr("*", _hash(content)).alias("n")
+    # the hash finds candidates, the content decides
+    same = F.expr(" and ".join([f"n.{CONTENT} = s.{CONTENT}", *[f"n.{_name(c)} <=> s.{_name(c)}" for c in content]]))
     return n.join(s, same, "left_anti").drop(CONTENT)
 
 

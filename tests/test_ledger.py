@@ -1,9 +1,11 @@
 """Committed batches: what readers see after crashes, retries, rebuilds, and what a batch reads."""
 
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stridelake.sources import messages as M
 from stridelake.sources.ledger import UNDATED, Ledger, placed, within_places
@@ -106,3 +108,52 @@ def test_workout_order_does_not_depend_on_files(spark, tmp_path):
     one, many = read_workouts(spark, str(tmp_path / "one"), "a"), read_workouts(spark, str(tmp_path / "many"))
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
     assert [(r.log_seq, r.body_weight) for r in many.orderBy("log_seq").collect()] == [(k, float(k)) for k in range(23)]
+
+
+def test_types_of_a_batch_are_staged_side_by_side(spark, tmp_path, monkeypatch):
+    meet, stage_type = threading.Barrier(2, timeout=60), Ledger._stage_type
+
+    def staged(self, messages, batch, msg_type, rebuild):
+        meet.wait()  # one type after the other never meet
+        return stage_type(self, messages, batch, msg_type, rebuild)
+
+    monkeypatch.setattr(Ledger, "_stage_type", staged)
+    store = Ledger(spark, str(tmp_path))
+    store.append(spark.createDataFrame([record("f", 1), record("f", 2, 2), undated("f", 7)], MSG), "one", ["record_mesgs", "split_summary_mesgs"])
+    assert seen(store) == [("f", 1.0), ("f", 2.0)] and seen(store, "split_summary_mesgs", "num_splits") == [("f", 7.0)]
+    entries = sorted((r.msg_type, str(r.dt), r.rows, r.batch) for r in store.entries().collect())
+    assert entries == [("record_mesgs", "2024-05-01", 1, "one"), ("record_mesgs", "2024-05-02", 1, "one"), ("split_summary_mesgs", str(UNDATED), 1, "one")]
+
+
+def test_a_type_that_fails_fails_the_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Ledger, "_write", lambda self, rows, path: 1 / 0)
+    store = Ledger(spark, str(tmp_path))
+    with pytest.raises(ZeroDivisionError):
+        store.append(spark.createDataFrame([record("f", 1), undated("f", 7)], MSG), "one")
+    assert not store.committed("one") and seen(store) == [] and store.entries() is None
+
+
+def test_unseen_rows_are_worked_out_once(spark, tmp_path, monkeypatch):
+    store, rows, without_stored = Ledger(spark, str(tmp_path)), spark.sparkContext.accumulator(0), M.without_stored
+    store.append(spark.createDataFrame([record("f", n, 1 + n % 3) for n in range(10)], MSG), "one")
+
+    def counted(new, stored):
+        def passes(_):
+            rows.add(1)
+            return True
+
+        passed = F.udf(passes, "boolean").asNondeterministic()  # stays behind the join
+        return without_stored(new, stored).filter(passed("source_file"))
+
+    monkeypatch.setattr(M, "without_stored", counted)
+    store.append(spark.createDataFrame([record("g", n, 1 + n % 3) for n in range(16)], MSG), "two", ["record_mesgs"], skip_known=False)
+    assert rows.value == 6 and len(seen(store)) == 16
+    assert sum(r.rows for r in store.entries().collect() if r.batch == "two") == 6
+
+
+def test_fields_of_any_name_are_found(spark):
+    schema = T.StructType([T.StructField("it's \\ \"x\"", T.DoubleType()), T.StructField("a`b", T.StringType()), T.StructField("c d", T.DoubleType())])
+    document = json.dumps({"it's \\ \"x\"": True, "a`b": "true", "c d": "[1]", "e": {"x": 1}, "f": "{y}", "g": None})
+    rows = M.flatten_messages(spark.createDataFrame([("a", "f", "t", document), ("a", "f", "t", "{")], MSG), "t", schema)
+    good, bad = sorted((tuple(r) for r in rows.collect()), key=lambda r: r[2])
+    assert good == ("a", "f", False, 1.0, "true", None, '{"f":"{y}"}') and bad == ("a", "f", True, None, None, None, None)
