@@ -111,7 +111,7 @@ class Ledger:
         """Write a batch's unseen rows and its entries; nothing of it is visible before ``commit``."""
         if not batch[:1].isalpha() or "/" in batch:
             raise ValueError(f"a batch id starts with a letter and names a folder, {batch!r} does not")
-        kinds = list(msg_types or M.S.MESSAGE_TYPES)
+        kinds = list(dict.fromkeys(msg_types or M.S.MESSAGE_TYPES))
         # parsing costs far more than its bytes, so messages are dealt over the configured width however their files are cut
         dealt = messages.filter(F.col("msg_type").isin(kinds)).repartition(shuffle_width(messages)).persist()
         try:
